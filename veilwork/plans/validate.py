@@ -79,7 +79,8 @@ def _family(type_name: Column) -> Column:
 def schema_findings(source_catalog: DataFrame, policy: DataFrame, target_catalog: DataFrame) -> DataFrame:
     """Expected column types (source type through its technique) against the actual ones."""
     keys = ["table_name", "column_name"]
-    expected = source_catalog.join(policy.select(*keys, "technique"), keys, "left").select(
+    live = source_catalog.select(*keys, "data_type")
+    expected = live.join(policy.select(*keys, "technique"), keys, "left").select(
         *keys, destination_type_column(F.col("data_type"), F.col("technique")).alias("expected")
     )
     actual = target_catalog.select(*keys, F.col("data_type").alias("actual"))
