@@ -20,14 +20,19 @@ def generalize_kind(pii_type: str | None, column_name: str) -> str:
     return "other"
 
 
-def generalize(text: Column, pii_type: str | None, column_name: str) -> Column:
+def generalize(
+    text: Column, pii_type: str | None, column_name: str, year: Column | None = None
+) -> Column:
+    """Category of a value.  ``year`` (of a real date) spares formatting the date first."""
     kind = generalize_kind(pii_type, column_name)
     if kind == "pincode":
         region = F.concat(F.left(text, F.lit(3)), F.lit("XXX"))
         return F.when(F.length(text) >= 3, region).otherwise(F.lit("XXXXXX"))
+    if kind == "birth" and year is not None:
+        return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-XX-XX"))
     if kind == "birth":
-        year = F.concat(F.left(text, F.lit(4)), F.lit("-XX-XX"))
-        return F.when(F.length(text) >= 4, year).otherwise(F.lit("XXXX-XX-XX"))
+        start = F.concat(F.left(text, F.lit(4)), F.lit("-XX-XX"))
+        return F.when(F.length(text) >= 4, start).otherwise(F.lit("XXXX-XX-XX"))
     fixed = {"city": "CITY", "state": "STATE", "location": "LOCATION", "other": "GENERALIZED"}
     return F.lit(fixed[kind])
 

@@ -76,6 +76,8 @@ class Site:
 Builder = Callable[[Site], Column]
 _REGISTRY: dict[str, Builder] = {}
 
+DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 # Techniques that leave a column as it is.
 KEEP = ("NO_CHANGE", "NONE", "PASSTHROUGH")
 
@@ -134,7 +136,8 @@ def _pseudonymization(site: Site) -> Column:
 
 @register_technique("GENERALIZATION")
 def _generalization(site: Site) -> Column:
-    return generalize.generalize(site.shown, site.rule.pii_type, site.rule.column_name)
+    year = F.year(site.value) if isinstance(site.dtype, DATES) else None
+    return generalize.generalize(site.shown, site.rule.pii_type, site.rule.column_name, year)
 
 
 @register_technique("REDACTION")
@@ -150,7 +153,7 @@ def _noise(site: Site) -> Column:
     text = F.concat(
         F.lit(f"{site.settings.key}|{rule.table_name}.{rule.column_name}|"), site.row_key
     )
-    if isinstance(site.dtype, T.DateType | T.TimestampType | T.TimestampNTZType):
+    if isinstance(site.dtype, DATES):
         if site.settings.date_noise_days is None:
             raise ValueError(
                 f"noise on date column {rule.table_name}.{rule.column_name}: set date_noise_days"
@@ -165,8 +168,7 @@ MERGING = ("MASKING", "GENERALIZATION", "REDACTION", "DIFFERENTIAL_PRIVACY")
 
 
 def needs_scale(rule: ColumnRule, dtype: T.DataType) -> bool:
-    dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    return rule.technique.upper() == "DIFFERENTIAL_PRIVACY" and not isinstance(dtype, dates)
+    return rule.technique.upper() == "DIFFERENTIAL_PRIVACY" and not isinstance(dtype, DATES)
 
 
 def rewrite(site: Site) -> Column:

@@ -58,8 +58,11 @@ def resolve_scopes(rules: Iterable[ColumnRule]) -> list[ColumnRule]:
 
 
 def row_text(columns: Iterable[str]) -> Column:
-    """Text that identifies a row: its key columns joined by an unprintable separator."""
-    return F.concat_ws("\u0001", *[F.col(name).cast("string") for name in columns])
+    """Text that identifies a row: its key columns around an unprintable separator, null as empty."""
+    parts: list[Column] = []
+    for name in columns:
+        parts += [F.lit("\u0001"), F.coalesce(F.col(name).cast("string"), F.lit(""))]
+    return F.concat(*parts[1:])
 
 
 def noise_scales(df: DataFrame, rules: Iterable[ColumnRule]) -> DataFrame:

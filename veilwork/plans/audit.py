@@ -40,8 +40,13 @@ def elapsed(logs: DataFrame, salts: int = 16) -> DataFrame:
     started = per_group_value(logs, ["run_id"], F.min("timestamp"), "_start", salts)
     micros = F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))
     millis = F.floor(F.greatest(micros, F.lit(0)) / 1000).cast("long")
+    # hundredths of a second in whole numbers: a formatted double rounds differently between engines
+    hundredths = F.floor((F.greatest(micros, F.lit(0)) + 5000) / 10_000).cast("long")
+    seconds = F.concat(
+        F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0")
+    )
     text = F.when(millis < 1000, F.concat(F.lit("+"), millis.cast("string"), F.lit("ms"))).otherwise(
-        F.concat(F.lit("+"), F.format_string("%.2f", micros / 1_000_000), F.lit("s"))
+        F.concat(F.lit("+"), seconds, F.lit("s"))
     )
     return started.select(*logs.columns, millis.alias("elapsed_ms"), text.alias("elapsed_text"))
 

@@ -75,7 +75,7 @@ def audit_run(t):
     cte("audit")
     + """, e AS (SELECT id, epoch_us(timestamp::timestamp) - epoch_us(min(timestamp) OVER (PARTITION BY run_id)::timestamp) AS us FROM audit)
     SELECT id, us // 1000 AS elapsed_ms, CASE WHEN us // 1000 < 1000 THEN '+' || (us // 1000)::varchar || 'ms'
-      ELSE '+' || printf('%.2f', us::double / 1000000) || 's' END AS elapsed_text FROM e""",
+      ELSE '+' || ((us + 5000) // 1000000)::varchar || '.' || lpad(((us + 5000) // 10000 % 100)::varchar, 2, '0') || 's' END AS elapsed_text FROM e""",
 )
 def audit_elapsed(t):
     """Time since the start of the run."""
@@ -267,7 +267,7 @@ def conformance_after(t):
 )
 def changed_values(t):
     """Columns without a rule keep their values, the masked one does not."""
-    done = apply_policy(t.customer, "customer", [rule("customer", "c_name", "MASKING")], SETTINGS)
+    done = apply_policy(t.spread("customer"), "customer", [rule("customer", "c_name", "MASKING")], SETTINGS)
     return audit.changed_values(t.customer, done, "c_custkey", ["c_acctbal", "c_mktsegment", "c_name"])
 
 
@@ -343,7 +343,7 @@ _TECH = "CASE lang WHEN 'en' THEN 'NO_CHANGE' WHEN 'fr' THEN 'HASHING' ELSE 'RED
 def _lang_findings(t):
     """Findings of the leak scan over whole documents, one column per language."""
     technique = F.when(F.col("grp") == "en", "NO_CHANGE").when(F.col("grp") == "fr", "HASHING").otherwise("REDACTION")
-    scanned = leaks.scan_text(t.documents, "documents", "text", group="lang")
+    scanned = leaks.scan_text(t.spread("documents"), "documents", "text", group="lang")
     scan = scanned.select(
         F.col("grp").alias("table_name"), F.lit("text").alias("column_name"), technique.alias("technique"), "pattern",
         F.col("row_count").alias("matches"),

@@ -56,6 +56,7 @@ class Dialect:
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)
+NUMBERS = ("dg", "n0", "n1", "n2")  # digest of the row's key and three numbers cut from it
 
 FIELD_NAMES = (
     "email", "phone_no", "mobile", "contact_id", "aadhaar_no", "uid_code", "pan_card", "company", "first_name",
@@ -77,12 +78,11 @@ CATEGORIES = ("pipeline", "security", "policy", "database")
 STEP_NAMES = ("Extract Schema", "PII Detection", "Policy Generation", "Batch Loading", "Audit Report")
 
 
-def _persons(d: Dialect) -> tuple[str, dict[str, str]]:
-    digest = d.sha("'person|' || cast(c_custkey as string)")
-    n0, n1, n2 = d.h(digest, 0), d.h(digest, 1), d.h(digest, 2)
+def _persons(d: Dialect) -> dict[str, str]:
+    digest, n0, n1, n2 = NUMBERS
     a, b, c = d.digits(n0, 4), d.digits(n1, 4), d.digits(n2, 4)
     pan = f"{d.letters(digest, 1, 5)} || {d.digits(n1, 4)} || {d.letters(digest, 6, 1)}"
-    return "customer", {
+    return {
         "customer_id": "c_custkey",
         "full_name": "c_name",
         "aadhaar_no": (
@@ -108,10 +108,9 @@ def _persons(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _fields(d: Dialect) -> tuple[str, dict[str, str]]:
-    digest = d.sha("'field|' || cast(event_id as string)")
-    n0, n1, n2 = d.h(digest, 0), d.h(digest, 1), d.h(digest, 2)
-    return "events", {
+def _fields(d: Dialect) -> dict[str, str]:
+    digest, n0, n1, n2 = NUMBERS
+    return {
         "policy_id": "user_id",
         "table_name": d.pick(TABLE_NAMES, n1),
         "column_name": f"{d.pick(FIELD_NAMES, n0)} || '_' || cast(event_id as string)",
@@ -127,10 +126,9 @@ def _fields(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _audit(d: Dialect) -> tuple[str, dict[str, str]]:
-    digest = d.sha("'audit|' || cast(event_id as string)")
-    n0, n1 = d.h(digest, 0), d.h(digest, 1)
-    return "events", {
+def _audit(d: Dialect) -> dict[str, str]:
+    _, n0, n1, _ = NUMBERS
+    return {
         "id": "'log_' || cast(event_id as string)",
         "timestamp": d.iso("ts"),
         "user_id": "'user_' || cast(user_id as string)",
@@ -145,10 +143,9 @@ def _audit(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _runs(d: Dialect) -> tuple[str, dict[str, str]]:
-    digest = d.sha("'run|' || cast(o_orderkey as string)")
-    n0 = d.h(digest, 0)
-    return "orders", {
+def _runs(d: Dialect) -> dict[str, str]:
+    _, n0, _, _ = NUMBERS
+    return {
         "user_id": "o_custkey",
         "run_id": "o_orderkey",
         "timestamp": d.iso("o_orderdate"),
@@ -159,8 +156,8 @@ def _runs(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _batches(d: Dialect) -> tuple[str, dict[str, str]]:
-    return "lineitem", {
+def _batches(d: Dialect) -> dict[str, str]:
+    return {
         "table_name": "l_returnflag || l_linestatus",
         "kind": "CASE WHEN l_discount >= 0.095 THEN 'deadlock' WHEN l_discount >= 0.085 THEN 'readonly' WHEN l_discount >= 0.075 THEN 'resume' ELSE 'batch' END",
         "rows": "cast(l_quantity as bigint)",
@@ -168,8 +165,8 @@ def _batches(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _reviews(d: Dialect) -> tuple[str, dict[str, str]]:
-    return "events", {
+def _reviews(d: Dialect) -> dict[str, str]:
+    return {
         "policy_id": "user_id",
         "ts": "ts",
         "event_id": "event_id",
@@ -178,9 +175,9 @@ def _reviews(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _log_lines(d: Dialect) -> tuple[str, dict[str, str]]:
+def _log_lines(d: Dialect) -> dict[str, str]:
     e = "cast(event_id as string)"
-    return "events", {
+    return {
         "seq": "event_id",
         "line": (
             "CASE event_type "
@@ -193,9 +190,9 @@ def _log_lines(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
-def _statements(d: Dialect) -> tuple[str, dict[str, str]]:
+def _statements(d: Dialect) -> dict[str, str]:
     k = "cast(o_orderkey as string)"
-    return "orders", {
+    return {
         "seq": "o_orderkey",
         "statement": (
             "CASE o_orderstatus "
@@ -207,22 +204,42 @@ def _statements(d: Dialect) -> tuple[str, dict[str, str]]:
     }
 
 
+# name -> (columns, source table, key column the digest is taken of)
 _VIEWS = {
-    "persons": _persons, "fields": _fields, "audit": _audit, "runs": _runs, "batches": _batches,
-    "reviews": _reviews, "log_lines": _log_lines, "statements": _statements,
-}
+    "persons": (_persons, "customer", "c_custkey"),
+    "fields": (_fields, "events", "event_id"),
+    "audit": (_audit, "events", "event_id"),
+    "runs": (_runs, "orders", "o_orderkey"),
+    "batches": (_batches, "lineitem", None),
+    "reviews": (_reviews, "events", None),
+    "log_lines": (_log_lines, "events", None),
+    "statements": (_statements, "orders", None),
+}
+
+
+def _digest(d: Dialect, name: str, key: str) -> str:
+    return d.sha(f"'{name}|' || cast({key} as string)")
 
 
 def frame(t: Tables, name: str) -> DataFrame:
-    source, columns = _VIEWS[name](SPARK)
-    return getattr(t, source).selectExpr(*[f"{sql} AS {alias}" for alias, sql in columns.items()])
+    """The view as a frame.  The digest is computed in a projection of its own, once per row."""
+    build, source, key = _VIEWS[name]
+    df = t.spread(source)
+    if key:
+        df = df.selectExpr("*", f"{_digest(SPARK, name, key)} AS dg")
+        df = df.selectExpr("*", *[f"{SPARK.h('dg', i)} AS n{i}" for i in range(3)])
+    return df.selectExpr(*[f"{sql} AS {alias}" for alias, sql in build(SPARK).items()])
 
 
 def cte(*names: str) -> str:
     """``WITH`` prefix that defines the views for the reference engine."""
     parts = []
     for name in names:
-        source, columns = _VIEWS[name](DUCK)
-        body = ", ".join(f'{sql} AS "{alias}"' for alias, sql in columns.items())
-        parts.append(f"{name} AS MATERIALIZED (SELECT {body} FROM {source})")
+        build, source, key = _VIEWS[name]
+        body = ", ".join(f'{sql} AS "{alias}"' for alias, sql in build(DUCK).items())
+        inner = source
+        if key:
+            numbers = ", ".join(f"{DUCK.h('dg', i)} AS n{i}" for i in range(3))
+            inner = f"(SELECT *, {numbers} FROM (SELECT *, {_digest(DUCK, name, key)} AS dg FROM {source}))"
+        parts.append(f"{name} AS MATERIALIZED (SELECT {body} FROM {inner})")
     return "WITH " + ", ".join(parts) + " "

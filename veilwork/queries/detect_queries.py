@@ -237,17 +237,17 @@ def _text_scan(table: str, text: str) -> str:
 @query("scan_documents", _text_scan("documents", "text"))
 def scan_documents(t):
     """Seven leak patterns over whole documents: rows and occurrences."""
-    return leaks.scan_text(t.documents, "documents", "text")
+    return leaks.scan_text(t.spread("documents"), "documents", "text")
 
 
 @query("scan_pages", _text_scan("pages", "html"))
 def scan_pages(t):
-    return leaks.scan_text(t.pages, "pages", "html")
+    return leaks.scan_text(t.spread("pages"), "pages", "html")
 
 
 @query("scan_conversations", _text_scan("conversations", "text"))
 def scan_conversations(t):
-    return leaks.scan_text(t.conversations, "conversations", "text")
+    return leaks.scan_text(t.spread("conversations"), "conversations", "text")
 
 
 @query(
@@ -261,7 +261,7 @@ def scan_conversations(t):
     + ")",
 )
 def scan_by_source(t):
-    return leaks.scan_text(t.documents, "documents", "text", group="source")
+    return leaks.scan_text(t.spread("documents"), "documents", "text", group="source")
 
 
 _SCANNED = ("aadhaar_no", "pan_no", "phone", "gstin", "credit_card", "email", "account_no", "balance")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.digests import HEX_SLICE, derive_key
 from ..functions.techniques import Settings
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread_small
 
 SECRET = "query-secret"  # an argument of the registered queries, not a credential
 SETTINGS = Settings(SECRET)
@@ -28,6 +28,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, self._folder, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for row-wise heavy work: every core gets a share even of a small file."""
+        return spread_small(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     def add(build: Callable[[Tables], DataFrame]) -> Query:

@@ -53,8 +53,8 @@ def policy_join(t):
     Orders are reduced to one row per hashed customer, map-side, before the
     join: a customer with a third of all orders joins as a single row.
     """
-    customer = apply_policy(t.customer, "customer", FLAGSHIP_RULES, SETTINGS)
-    orders = apply_policy(t.orders, "orders", FLAGSHIP_RULES, SETTINGS)
+    customer = apply_policy(t.spread("customer"), "customer", FLAGSHIP_RULES, SETTINGS)
+    orders = apply_policy(t.spread("orders"), "orders", FLAGSHIP_RULES, SETTINGS)
     per_customer = orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price")
     )
@@ -72,7 +72,7 @@ def policy_join(t):
 @query("hash_keys", "SELECT sha256(o_orderkey::varchar) AS o_orderkey, sha256(o_custkey::varchar) AS o_custkey FROM orders")
 def hash_keys(t):
     rules = [rule("orders", "o_orderkey", "hashing"), rule("orders", "o_custkey", "HASHING")]
-    return apply_policy(t.orders, "orders", rules, SETTINGS).select("o_orderkey", "o_custkey")
+    return apply_policy(t.spread("orders"), "orders", rules, SETTINGS).select("o_orderkey", "o_custkey")
 
 
 @query("hash_keyed", f"SELECT c_custkey, {keyed('c_custkey::varchar', '')} AS hashed FROM customer")
@@ -259,7 +259,7 @@ def noise_values(t):
         rule("lineitem", "l_extendedprice", "DIFFERENTIAL_PRIVACY", "FINANCIAL"),
         rule("lineitem", "l_quantity", "DIFFERENTIAL_PRIVACY"),
     ]
-    done = apply_policy(t.lineitem, "lineitem", rules, SETTINGS, ["l_orderkey", "l_linenumber", "l_partkey"])
+    done = apply_policy(t.spread("lineitem"), "lineitem", rules, SETTINGS, ["l_orderkey", "l_linenumber", "l_partkey"])
     return done.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
 
 
@@ -337,7 +337,7 @@ def apply_lineitem(t):
         rule("lineitem", "l_extendedprice", "DIFFERENTIAL_PRIVACY", "FINANCIAL"),
         rule("lineitem", "l_shipdate", "GENERALIZATION", "DATE_OF_BIRTH"),
     ]
-    return apply_policy(t.lineitem, "lineitem", rules, SETTINGS, ["l_orderkey", "l_linenumber", "l_partkey"])
+    return apply_policy(t.spread("lineitem"), "lineitem", rules, SETTINGS, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query(

@@ -27,78 +27,71 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten(documents: DataFrame) -> DataFrame:
-    """Policy rows of every document: list form first, else the two ``tables`` forms."""
-    listed = F.get_json_object("doc", "$.column_policies")
-    tables = F.get_json_object("doc", "$.tables")
-    has_list = F.coalesce(F.trim(listed).startswith("[{") | F.trim(listed).rlike(r"^\[\s*\{"), F.lit(False))
-    base = documents.select(
-        "policy_id",
-        F.when(has_list, listed).alias("as_list"),
-        F.when(~has_list & F.trim(tables).startswith("{"), tables).alias("as_map"),
-        F.when(~has_list & F.trim(tables).startswith("["), tables).alias("as_nested"),
-        F.coalesce(
-            F.get_json_object("doc", "$.policy_metadata.target_table"), F.lit("employees")
-        ).alias("fallback_table"),
+    """Policy rows of every document: list form first, else the two ``tables`` forms.
+
+    One pass: a document is parsed by the form it has, its rows become an array
+    of equal structs, and the array is inlined.
+    """
+    listed, tables = F.get_json_object("doc", "$.column_policies"), F.get_json_object("doc", "$.tables")
+    has_list = F.coalesce(listed.rlike(r"^\s*\[\s*\{"), F.lit(False))
+    fallback = F.coalesce(F.get_json_object("doc", "$.policy_metadata.target_table"), F.lit("employees"))
+    as_list = F.when(has_list, F.from_json(listed, LIST_FORM))
+    as_map = F.when(~has_list & F.trim(tables).startswith("{"), F.from_json(tables, MAP_FORM))
+    as_nested = F.when(~has_list & F.trim(tables).startswith("["), F.from_json(tables, NESTED_FORM))
+    rows = F.coalesce(
+        F.transform(as_list, _listed_row),
+        F.flatten(F.transform(F.map_entries(as_map), _mapped_rows)),
+        F.flatten(F.transform(as_nested, lambda table: _nested_rows(table, fallback))),
     )
-    return _from_list(base).unionByName(_from_map(base)).unionByName(_from_nested(base))
+    return documents.select("policy_id", F.inline(rows)).select(*OUTPUT)
 
 
-def _from_list(base: DataFrame) -> DataFrame:
-    rows = base.filter("as_list is not null").select(
-        "policy_id", F.explode(F.from_json("as_list", LIST_FORM)).alias("c")
-    )
-    return rows.select(
-        "policy_id",
-        "c.table_name",
-        "c.column_name",
-        F.coalesce("c.is_pii", F.lit(False)).alias("is_pii"),
-        "c.pii_type",
-        F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"),
-        F.upper(F.coalesce("c.anonymization_technique", F.lit("NO_CHANGE"))).alias("technique"),
-        "c.reason",
-    )
+def _row(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def _from_map(base: DataFrame) -> DataFrame:
-    per_table = base.filter("as_map is not null").select(
-        "policy_id", F.explode(F.from_json("as_map", MAP_FORM)).alias("table_name", "columns")
-    )
-    rows = per_table.select("policy_id", "table_name", F.explode("columns").alias("column_name", "c"))
-    return rows.select(
-        "policy_id",
-        "table_name",
-        "column_name",
-        F.lit(True).alias("is_pii"),
-        F.upper("column_name").alias("pii_type"),
-        F.lit(0.9).alias("confidence"),
-        _technique(F.col("c.technique")),
-        F.concat(F.lit("Sensitive column "), "column_name").alias("reason"),
+def _listed_row(c: Column) -> Column:
+    return _row(
+        table_name=c["table_name"],
+        column_name=c["column_name"],
+        is_pii=F.coalesce(c["is_pii"], F.lit(False)),
+        pii_type=c["pii_type"],
+        confidence=F.coalesce(c["confidence"], F.lit(0.0)),
+        technique=F.upper(F.coalesce(c["anonymization_technique"], F.lit("NO_CHANGE"))),
+        reason=c["reason"],
     )
 
 
-def _from_nested(base: DataFrame) -> DataFrame:
-    per_table = base.filter("as_nested is not null").select(
-        "policy_id", "fallback_table", F.explode(F.from_json("as_nested", NESTED_FORM)).alias("t")
+def _mapped_rows(table: Column) -> Column:
+    return F.transform(
+        F.map_entries(table["value"]),
+        lambda c: _row(
+            table_name=table["key"],
+            column_name=c["key"],
+            is_pii=F.lit(True),
+            pii_type=F.upper(c["key"]),
+            confidence=F.lit(0.9),
+            technique=_technique(c["value"]["technique"]),
+            reason=F.concat(F.lit("Sensitive column "), c["key"]),
+        ),
     )
-    rows = per_table.select(
-        "policy_id",
-        F.coalesce("t.table_name", "fallback_table").alias("table_name"),
-        F.explode("t.columns").alias("c"),
-    )
-    confidence = F.when(F.isnan("c.confidence"), None).otherwise(F.col("c.confidence"))
-    return rows.select(
-        "policy_id",
-        "table_name",
-        "c.column_name",
-        F.coalesce("c.is_pii", F.lit(True)).alias("is_pii"),
-        F.coalesce("c.pii_type", F.lit("PII")).alias("pii_type"),
-        F.coalesce(confidence, F.lit(0.9)).alias("confidence"),
-        _technique(F.col("c.anonymization_technique")),
-        F.coalesce("c.reason", F.lit("Sensitive data column")).alias("reason"),
+
+
+def _nested_rows(table: Column, fallback: Column) -> Column:
+    return F.transform(
+        table["columns"],
+        lambda c: _row(
+            table_name=F.coalesce(table["table_name"], fallback),
+            column_name=c["column_name"],
+            is_pii=F.coalesce(c["is_pii"], F.lit(True)),
+            pii_type=F.coalesce(c["pii_type"], F.lit("PII")),
+            confidence=F.coalesce(F.nanvl(c["confidence"], F.lit(0.9)), F.lit(0.9)),
+            technique=_technique(c["anonymization_technique"]),
+            reason=F.coalesce(c["reason"], F.lit("Sensitive data column")),
+        ),
     )
 
 
 def _technique(value: Column) -> Column:
     """Upper-cased technique; missing or empty means MASKING."""
-    present = F.when(value != "", value)
-    return F.upper(F.coalesce(present, F.lit("MASKING"))).alias("technique")
+    return F.upper(F.coalesce(F.when(value != "", value), F.lit("MASKING")))

@@ -28,6 +28,22 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     return spark.read.format(fmt).options(**options).load(f"{folder.rstrip('/')}/{name}.{fmt}")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that is planned in fewer tasks than there are cores.
+
+    A scan is split into at least as many tasks as cores once it holds 4 MB
+    (``spark.sql.files.openCostInBytes``) per core, so only a tiny input is
+    ever shuffled here; a large scan is returned as it is.  For plain scans
+    before row-wise heavy work (digests, patterns).  Rows are placed by a hash
+    of the whole row: repeatable after a lost executor, and even under hot keys.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.repartition(cores, F.xxhash64(*plain))
+
+
 def jdbc_options(
     kind: str,
     database: str,
