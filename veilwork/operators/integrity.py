@@ -28,7 +28,12 @@ class Relation:
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Union by name, built pairwise: every step is analyzed again, so a chain would cost n squared."""
+    level = list(parts)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return level[0]
 
 
 def key_counts(df: DataFrame, key: str, out: str = "n") -> DataFrame:

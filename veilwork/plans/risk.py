@@ -113,7 +113,8 @@ def ratio_risk(policy: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Fallback score: share of personal columns left as they are."""
     pii = F.count_if("is_pii")
     left = F.count_if(F.col("is_pii") & (F.upper(F.coalesce("technique", F.lit(""))) == "NO_CHANGE"))
-    score = F.coalesce(F.bround(F.least(F.lit(100.0), F.try_divide(left, pii) * 100), 1), F.lit(0.0))
+    share = F.coalesce(F.try_divide(left, pii), F.lit(0.0))  # a policy without personal columns scores 0
+    score = F.bround(F.least(F.lit(100.0), share * 100), 1)
     scored = policy.groupBy(*by).agg(score.alias("risk_score"))
     level = F.when(F.col("risk_score") <= 20, "LOW").when(F.col("risk_score") <= 50, "MEDIUM").otherwise("HIGH")
     return scored.select(

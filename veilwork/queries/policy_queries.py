@@ -150,8 +150,8 @@ def vulnerabilities(t):
 @query(
     "ratio_risk",
     cte("fields")
-    + """, s AS (SELECT policy_id, coalesce(round_even(least(100.0::double, count(*) FILTER (WHERE is_pii AND technique = 'NO_CHANGE')::double
-      / nullif(count(*) FILTER (WHERE is_pii), 0) * 100), 1), 0.0::double) AS risk_score FROM fields GROUP BY policy_id)
+    + """, s AS (SELECT policy_id, round_even(least(100.0::double, coalesce(count(*) FILTER (WHERE is_pii AND technique = 'NO_CHANGE')::double
+      / nullif(count(*) FILTER (WHERE is_pii), 0), 0.0::double) * 100), 1) AS risk_score FROM fields GROUP BY policy_id)
     SELECT policy_id, risk_score, round_even(100.0::double - risk_score, 1) AS privacy_score,
     CASE WHEN risk_score <= 20 THEN 'LOW' WHEN risk_score <= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM s""",
 )

@@ -24,9 +24,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self._folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self._folder, name)
+        if name not in self._read:
+            self._read[name] = read_table(self.spark, self._folder, name)
+        return self._read[name]
 
     def spread(self, name: str) -> DataFrame:
         """A table for row-wise heavy work: every core gets a share even of a small file."""

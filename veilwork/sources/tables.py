@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.integrity import union_all
+
 # JDBC URL forms and driver classes of the supported databases.
 JDBC_DIALECTS = {
     "postgresql": ("jdbc:postgresql://{host}:{port}/{database}", "org.postgresql.Driver", 5432),
@@ -145,9 +147,6 @@ def inspect_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
         )
         for name, df in tables.items()
     ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.rollup("table_name").agg(
+    return union_all(parts).rollup("table_name").agg(
         F.sum("row_count").alias("row_count"), F.sum("column_count").alias("column_count")
     )
