@@ -120,18 +120,21 @@ def hot(spark):
     return spark.createDataFrame(rows, "grp string, seq int, v int").cache()
 
 
-@pytest.mark.parametrize("width", [1, 13, 10_000])
+@pytest.mark.parametrize("width", [1, 13, 10_000, "even", None])
 def test_ordered_operators_equal_plain_windows(spark, hot, width):
     from pyspark.sql import Window
 
     w = Window.partitionBy("grp").orderBy("seq")
-    bucket = F.floor(F.col("seq") / width)
-    lagged = ordered.previous_value(hot, ["grp"], ["seq"], "v", bucket, "p")
+    if width == "even":
+        bucket = ordered.even_buckets(hot, F.col("seq"), rows_per_bucket=50)
+    else:
+        bucket = F.floor(F.col("seq") / width) if width else None
+    lagged = ordered.previous_value(hot, ["grp"], ["seq"], "v", "p", bucket)
     plain = hot.select("*", F.lag("v").over(w).alias("p"), (F.row_number().over(w) > 1).alias("p_exists"))
     assert lagged.exceptAll(plain).count() == 0 and lagged.count() == 600
-    numbered = ordered.row_numbers(hot, ["grp"], ["seq"], bucket, "n").select("*", F.col("n").cast("int").alias("m")).drop("n")
+    numbered = ordered.row_numbers(hot, ["grp"], ["seq"], "n", bucket).select("*", F.col("n").cast("int").alias("m")).drop("n")
     assert numbered.exceptAll(hot.select("*", F.row_number().over(w).alias("m"))).count() == 0
-    summed = ordered.running_sum(hot, ["grp"], ["seq"], F.coalesce("v", F.lit(0)), bucket, "s")
+    summed = ordered.running_sum(hot, ["grp"], ["seq"], F.coalesce("v", F.lit(0)), "s", bucket)
     assert summed.exceptAll(hot.select("*", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("s"))).count() == 0
     low = ordered.per_group_value(hot, ["grp"], F.min("v"), "low", salts=5)
     assert low.exceptAll(hot.select("*", F.min("v").over(Window.partitionBy("grp")).alias("low"))).count() == 0

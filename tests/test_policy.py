@@ -130,12 +130,12 @@ def fold(events):
     return state, seen
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("width", [1, 7, 1000, None])
 def test_status_machine_equals_a_fold(spark, width):
     """Whatever the bucket width, and with one policy that owns most events."""
     import random
 
-    draw = random.Random(width)
+    draw = random.Random(width or 0)
     histories = {p: [] for p in range(6)}
     rows = []
     for i in range(400):
@@ -144,10 +144,10 @@ def test_status_machine_equals_a_fold(spark, width):
         histories[p].append(e)
         rows.append((p, i, i, *e))
     df = spark.createDataFrame(rows, "policy_id int, ts int, event_id int, action string, comment string")
-    bucket = F.floor(F.col("ts") / width)
-    status = {r["policy_id"]: r["status"] for r in policy.current_status(df, bucket).collect()}
+    bucket = F.floor(F.col("ts") / width) if width else None
+    status = {r["policy_id"]: r["status"] for r in policy.current_status(df, bucket=bucket).collect()}
     assert status == {p: fold(h)[0] for p, h in histories.items() if h}
-    judged = policy.judge_events(df, bucket).orderBy("policy_id", "ts").collect()
+    judged = policy.judge_events(df, bucket=bucket).orderBy("policy_id", "ts").collect()
     expected = [ok for p in sorted(histories) for ok in fold(histories[p])[1]]
     assert [r["accepted"] for r in judged] == expected
 

@@ -182,7 +182,7 @@ def test_audit_trail(spark, log, tmp_path):
     assert [r["id"] for r in search.search_logs(log, user="u2", level="INF", category="all").collect()] == ["log_6", "log_4", "log_2", "log_0"]
     assert search.search_logs(log, category="LOAD").count() == 8
     assert search.search_logs(log, run_id="nope").count() == 0
-    kept = audit.drop_repeats(log, "action", ["run_id"], ["id"], F.lit(0))
+    kept = audit.drop_repeats(log, "action", ["run_id"], ["id"])
     assert {r["id"] for r in kept.collect()} == {"log_0", "log_2", "log_4", "log_6"}
     took = {r["id"]: (r["elapsed_ms"], r["elapsed_text"]) for r in audit.elapsed(log).collect()}
     assert took["log_0"] == (0, "+0ms") and took["log_5"] == (5000, "+5.00s")
@@ -197,9 +197,9 @@ def test_run_history(spark):
     history = spark.createDataFrame([("u", f"r{i}", f"2024-01-0{i}", "t", i) for i in range(1, 5)], schema)
     new = spark.createDataFrame([("u", "r2", "2024-02-01", "t", 20)], schema)
     merged = audit.upsert_runs(history, new)
-    got = {r["run_id"]: (r["version_no"], r["is_current"]) for r in audit.run_versions(merged, F.substring("timestamp", 1, 7)).collect()}
+    got = {r["run_id"]: (r["version_no"], r["is_current"]) for r in audit.run_versions(merged).collect()}
     assert got == {"r1": (1, False), "r3": (2, False), "r4": (3, False), "r2": (4, True)}
-    versions = audit.run_versions(merged, F.substring("timestamp", 1, 7))
+    versions = audit.run_versions(merged)
     assert audit.records_total(versions).first()["records"] == 20
     assert audit.records_total(versions.withColumn("records", F.when(F.col("is_current"), 0).otherwise(F.col("records")))).first()["records"] == 0
 

@@ -1,8 +1,16 @@
 """Order-dependent operators that survive a hot group.
 
 A plain window sorts a whole group in one task.  Here a group is cut into
-buckets by an expression that grows with the order key; windows run inside
-(group, bucket), and only one summary row per bucket is windowed per group.
+buckets along its order; windows run inside (group, bucket), and only one
+summary row per bucket is windowed per group.
+
+Where the buckets come from:
+
+* by default from a range partitioning on (group, order), kept by a
+  checkpoint.  Exact for any distribution: a group, or a single value of the
+  first order column, may hold any share of the rows.
+* or from an expression that grows with the order, such as ``even_buckets``
+  over a dense sequence number.  Saves the checkpoint.
 """
 
 from __future__ import annotations
@@ -12,9 +20,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
 
 
+def even_buckets(df: DataFrame, position: Column, rows_per_bucket: int = 1_000_000) -> Column:
+    """Bucket number of a numeric order column: equal widths, as many as the row count asks for.
+
+    The bounds are one aggregate row (a scalar subquery), so the bucket size
+    stays the same when the table grows.
+    """
+    bounds = df.agg(
+        F.struct(F.min(position).alias("low"), F.max(position).alias("high"), F.count(F.lit(1)).alias("n")).alias("b")
+    ).scalar()
+    buckets = F.ceil(bounds["n"] / F.lit(rows_per_bucket))
+    width = (bounds["high"] - bounds["low"] + 1).cast("double")
+    return F.floor((position - bounds["low"]) / width * buckets)
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
+    """The frame with its bucket column."""
+    if bucket is not None:
+        return df.withColumn(BUCKET, bucket)
+    ranged = df.repartitionByRange(*keys, *order).withColumn(BUCKET, F.spark_partition_id())
+    # partition numbers must not change between the uses of the frame
+    return cut_lineage(ranged)
+
+
 def _fine(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, BUCKET).orderBy(*order)
 
@@ -24,10 +57,10 @@ def _coarse(keys: Sequence[str]):
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column | None = None
 ) -> DataFrame:
     """``lag(value)`` per group in the given order, plus ``<out>_exists`` for "there was one"."""
-    cut = df.withColumn(BUCKET, bucket)
+    cut = _cut(df, keys, order, bucket)
     ends = cut.groupBy(*keys, BUCKET).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
     )
@@ -45,10 +78,10 @@ def previous_value(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, bucket: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str, bucket: Column | None = None
 ) -> DataFrame:
     """Sum of ``amount`` over the rows up to and including this one, per group."""
-    cut = df.withColumn(BUCKET, bucket).withColumn("_amount", amount)
+    cut = _cut(df, keys, order, bucket).withColumn("_amount", amount)
     totals = cut.groupBy(*keys, BUCKET).agg(F.sum("_amount").alias("_total"))
     before = _coarse(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
@@ -61,10 +94,10 @@ def running_sum(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column | None = None
 ) -> DataFrame:
     """``row_number()`` per group in ascending order."""
-    return running_sum(df, keys, order, F.lit(1), bucket, out)
+    return running_sum(df, keys, order, F.lit(1), out, bucket)
 
 
 def _join_bucket(fine: DataFrame, coarse: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,7 +111,7 @@ def _join_bucket(fine: DataFrame, coarse: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def salted_lookup(
-    df: DataFrame, on: dict[str, Column], summary: DataFrame, columns: Sequence[str], salts: int = 16
+    df: DataFrame, on: dict[str, Column], summary: DataFrame, columns: Sequence[str], salts: int = 8
 ) -> DataFrame:
     """Left join with one summary row per key; the rows of a hot key spread over ``salts`` tasks.
 
@@ -100,7 +133,7 @@ def salted_lookup(
 
 
 def per_group_value(
-    df: DataFrame, keys: Sequence[str], aggregate: Column, out: str, salts: int = 16
+    df: DataFrame, keys: Sequence[str], aggregate: Column, out: str, salts: int = 8
 ) -> DataFrame:
     """Attach one aggregate per group to every row of it; combined map-side, then looked up."""
     summary = df.groupBy(*keys).agg(aggregate.alias(out))

@@ -31,7 +31,7 @@ def tampered(logs: DataFrame, secret: str | bytes) -> DataFrame:
     return logs.filter(~F.col("audit_hash").eqNullSafe(hmac_sha256(signed_text(), secret)))
 
 
-def elapsed(logs: DataFrame, salts: int = 16) -> DataFrame:
+def elapsed(logs: DataFrame, salts: int = 8) -> DataFrame:
     """Milliseconds since the first entry of the run, and the same as text.
 
     The run's start is one aggregate per run, looked up with salted keys: a run
@@ -52,17 +52,19 @@ def elapsed(logs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def drop_repeats(
-    logs: DataFrame, message: str, keys: Sequence[str], order: Sequence[str], bucket: Column
+    logs: DataFrame, message: str, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """Drop entries that repeat the message just before them in their run."""
-    seen = previous_value(logs, keys, order, message, bucket, "_before")
+    seen = previous_value(logs, keys, order, message, "_before", bucket)
     keep = ~F.col("_before_exists") | ~F.col("_before").eqNullSafe(F.col(message))
     return seen.filter(keep).select(*logs.columns)
 
 
-def run_versions(runs: DataFrame, bucket: Column, keys: Sequence[str] = ("user_id",), salts: int = 16) -> DataFrame:
+def run_versions(
+    runs: DataFrame, keys: Sequence[str] = ("user_id",), bucket: Column | None = None, salts: int = 8
+) -> DataFrame:
     """Version number (oldest is 1), newest is current, label as shown in the history."""
-    numbered = row_numbers(runs, keys, ["timestamp", "run_id"], bucket, "version_no")
+    numbered = row_numbers(runs, keys, ["timestamp", "run_id"], "version_no", bucket)
     total = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     full = salted_lookup(numbered, {k: F.col(k) for k in keys}, total, ["_n"], salts)
     current = F.col("version_no") == F.col("_n")

@@ -191,7 +191,9 @@ def apply_overrides(
     return joined.select(*[swaps[c].alias(c) if c in swaps else F.col(c) for c in policy.columns])
 
 
-def judge_events(events: DataFrame, bucket: Column, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+def judge_events(
+    events: DataFrame, order: Sequence[str] = ("ts", "event_id"), bucket: Column | None = None
+) -> DataFrame:
     """Which review events took effect.
 
     ``events``: ``policy_id, action (approve / reject / reset), comment`` and the
@@ -206,7 +208,7 @@ def judge_events(events: DataFrame, bucket: Column, order: Sequence[str] = ("ts"
     valid = (F.col("action") == "approve") | (
         (F.col("action") == "reject") & (F.coalesce("comment", F.lit("")) != "")
     )
-    stretches = running_sum(events, ["policy_id"], list(order), is_reset.cast("int"), bucket, "stretch")
+    stretches = running_sum(events, ["policy_id"], list(order), is_reset.cast("int"), "stretch", bucket)
     decided = stretches.filter(valid).groupBy("policy_id", "stretch").agg(
         F.min(F.struct(*order)).alias("_first")
     )
@@ -222,9 +224,11 @@ def judge_events(events: DataFrame, bucket: Column, order: Sequence[str] = ("ts"
     return looked.select(*events.columns, accepted.alias("accepted"), F.when(accepted, after).alias("status_after"))
 
 
-def current_status(events: DataFrame, bucket: Column, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+def current_status(
+    events: DataFrame, order: Sequence[str] = ("ts", "event_id"), bucket: Column | None = None
+) -> DataFrame:
     """Status of every policy: that of its last accepted event, DRAFT without one."""
-    judged = judge_events(events, bucket, order)
+    judged = judge_events(events, order, bucket)
     key = F.when(F.col("accepted"), F.struct(*order))
     return judged.groupBy("policy_id").agg(
         F.coalesce(F.max_by("status_after", key), F.lit("DRAFT")).alias("status")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import leaks, search, stats
 from ..operators.apply import apply_policy
+from ..operators.ordered import even_buckets
 from ..plans import audit, risk, validate
 from ..plans.reports import compliance_report
 from ..sources import sinks
@@ -27,12 +28,6 @@ def hmac_sql(text: str) -> str:
 
 
 _SIGNED = "timestamp || ':' || user_id || ':' || run_id || ':' || action || ':' || coalesce(details, 'None')"
-_BUCKET = 500  # rows of the sequence per bucket; any width gives the same result
-
-
-def _by_seq():
-    return F.floor(F.col("seq") / _BUCKET)
-
 
 @query("audit_sign", cte("audit") + f"SELECT id, {hmac_sql(_SIGNED)} AS audit_hash FROM audit")
 def audit_sign(t):
@@ -90,7 +85,9 @@ def audit_elapsed(t):
 )
 def audit_dedupe(t):
     """Entries that do not repeat the message before them in their run."""
-    kept = audit.drop_repeats(frame(t, "audit"), "action", ["run_id"], ["seq"], _by_seq())
+    logs = frame(t, "audit")
+    bucket = even_buckets(logs, F.col("seq"), rows_per_bucket=100_000)
+    kept = audit.drop_repeats(logs, "action", ["run_id"], ["seq"], bucket)
     return kept.select("id", "run_id", "action")
 
 
@@ -109,10 +106,6 @@ _VERSIONS = """, v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER B
 """
 
 
-def _month():
-    return F.substring("timestamp", 1, 7)
-
-
 @query(
     "run_versions",
     cte("runs")
@@ -123,7 +116,7 @@ def _month():
 )
 def run_versions(t):
     """Version numbers of every user's runs; the newest is current."""
-    done = audit.run_versions(frame(t, "runs"), _month())
+    done = audit.run_versions(frame(t, "runs"))
     return done.select("user_id", "run_id", "version_no", "is_current", "version_label", "status")
 
 
@@ -151,7 +144,7 @@ def run_upsert(t):
 )
 def records_total(t):
     """Records of the current runs of each user (here the last two count as current)."""
-    versions = audit.run_versions(frame(t, "runs"), _month())
+    versions = audit.run_versions(frame(t, "runs"))
     n = versions.groupBy("user_id").agg(F.max("version_no").alias("n"))
     current = versions.join(n, "user_id").withColumn("is_current", F.col("version_no") >= F.col("n") - 1)
     return audit.records_total(current, ["user_id"])
@@ -181,7 +174,7 @@ def mean_scores(t):
 )
 def kpis(t):
     """Dashboard row per user from runs, audit entries and the active policy."""
-    runs = audit.run_versions(frame(t, "runs"), _month())
+    runs = audit.run_versions(frame(t, "runs"))
     logs = frame(t, "audit").withColumn("user_id", F.split("user_id", "_")[1].cast("long"))
     snapshots = frame(t, "fields").withColumn("user_id", F.col("policy_id"))
     return audit.kpis(runs, logs, snapshots)

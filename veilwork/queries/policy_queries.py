@@ -213,10 +213,6 @@ def policy_overrides(t):
     return done.select("policy_id", "table_name", "column_name", "technique", "admin_override", "admin_comment")
 
 
-def _day(column: str = "ts"):
-    return F.datediff(F.col(column).cast("date"), F.lit("2000-01-01").cast("date"))
-
-
 _FOLD = """list_reduce(list_prepend('DRAFT', list(code ORDER BY ts, event_id)), lambda s, a:
     CASE WHEN a = 'reset' THEN 'DRAFT' WHEN s = 'DRAFT' AND a IN ('APPROVED', 'REJECTED') THEN a ELSE s END)"""
 _CODE = "CASE action WHEN 'reset' THEN 'reset' WHEN 'approve' THEN 'APPROVED' ELSE CASE WHEN coalesce(comment, '') <> '' THEN 'REJECTED' ELSE 'void' END END AS code"
@@ -228,7 +224,7 @@ _CODE = "CASE action WHEN 'reset' THEN 'reset' WHEN 'approve' THEN 'APPROVED' EL
 )
 def policy_status(t):
     """Current status of every policy; the reference folds each history event by event."""
-    return policy.current_status(frame(t, "reviews"), _day())
+    return policy.current_status(frame(t, "reviews"))
 
 
 @query(
@@ -243,7 +239,7 @@ def policy_status(t):
 )
 def policy_transitions(t):
     """Which review events took effect."""
-    judged = policy.judge_events(frame(t, "reviews"), _day())
+    judged = policy.judge_events(frame(t, "reviews"))
     return judged.select("event_id", "policy_id", "action", "accepted", "status_after")
 
 
@@ -283,7 +279,7 @@ def schema_shift(t):
 def shift_status(t):
     """Policies whose tables got new columns go back to DRAFT."""
     shifted = frame(t, "fields").filter("is_pk and not is_pii and data_type = 'date'")
-    return policy.status_after_shift(policy.current_status(frame(t, "reviews"), _day()), shifted)
+    return policy.status_after_shift(policy.current_status(frame(t, "reviews")), shifted)
 
 
 @query(
