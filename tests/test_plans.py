@@ -63,3 +63,15 @@ def test_library_keeps_to_the_rules():
     source = "\n".join(p.read_text() for p in (ROOT / "veilwork").rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", ".toPandas(", "F.udf", "pandas_udf", "broadcast("):
         assert word not in source, word
+
+
+def test_long_methods_are_split(spark):
+    """The session keeps generated methods below the size the JVM compiles, unless told otherwise."""
+    from veilwork.session import METHOD_LIMIT, keep_methods_compiled
+
+    keep_methods_compiled(spark)
+    assert spark.conf.get(METHOD_LIMIT) == "8000"
+    spark.conf.set(METHOD_LIMIT, "5000")
+    keep_methods_compiled(spark)
+    assert spark.conf.get(METHOD_LIMIT) == "5000"
+    spark.conf.set(METHOD_LIMIT, "8000")

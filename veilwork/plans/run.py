@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.techniques import Settings
 from ..operators import detect
 from ..operators.apply import apply_policy, frozen_scales, row_text, rules_from
+from ..session import keep_methods_compiled
 from ..sources import sinks
 from ..sources.catalog import catalog, columns_of
 from ..sources.tables import require_distinct
@@ -64,6 +65,7 @@ def anonymize_tables(
     once and returned, so that a later stream can use the same ones.
     """
     policies.require_approved(statuses, policy_id)
+    keep_methods_compiled(spark)
     for source in sources:
         require_distinct(source, target)
     rules = rules_from(policy)

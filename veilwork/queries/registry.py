@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.digests import HEX_SLICE, derive_key
 from ..functions.techniques import Settings
+from ..session import keep_methods_compiled
 from ..sources.tables import read_table, spread_small
 
 SECRET = "query-secret"  # an argument of the registered queries, not a credential
@@ -39,7 +40,7 @@ class Tables:
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     def add(build: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Tables(spark, folder))
+            return build(Tables(keep_methods_compiled(spark), folder))
 
         run.__name__ = name
         run.__doc__ = build.__doc__

@@ -18,6 +18,22 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+JIT_LIMIT = 8000  # HotSpot never compiles a method with more bytecode than this
+
+
+def keep_methods_compiled(spark: SparkSession) -> SparkSession:
+    """Let stages with very long generated methods run as split projections.
+
+    A policy over many columns becomes one generated method.  Beyond 8000 bytes
+    the JVM interprets it, which costs a factor of two and more; below this
+    limit Spark splits the work into small methods instead.  A session that
+    sets the limit itself is left alone.
+    """
+    if spark.conf.get(METHOD_LIMIT) == "65535":  # Spark's default
+        spark.conf.set(METHOD_LIMIT, str(JIT_LIMIT))
+    return spark
+
 
 def get_session(
     app: str = "veilwork", master: str | None = None, **conf: str
@@ -30,7 +46,7 @@ def get_session(
             builder = builder.config(name, value)
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    return keep_methods_compiled(builder.getOrCreate())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

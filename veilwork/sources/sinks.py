@@ -24,6 +24,15 @@ def append_rows(df: DataFrame, target: str, source: str | None = None) -> None:
     df.write.mode("append").parquet(target)
 
 
+def append_jdbc(df: DataFrame, options: Mapping[str, str], batch_size: int = 10_000) -> None:
+    """Append to a database table, ``batch_size`` rows per round trip; each task writes its own share.
+
+    ``options`` come from ``tables.jdbc_options``.  A retried task may write
+    rows twice: load into an empty table and check keys with ``key_violations``.
+    """
+    df.write.format("jdbc").options(**options).option("batchsize", batch_size).mode("append").save()
+
+
 def conform(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
     """Cast an anonymized table to its destination types (text, number, or unchanged)."""
     technique = {r.column_name: r.technique for r in rules}

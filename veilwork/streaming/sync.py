@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.techniques import ColumnRule, Settings
 from ..operators.apply import apply_policy
+from ..session import keep_methods_compiled
 from ..sources.sinks import conform, write_batch
 
 PERIOD = "30 seconds"  # fixed value: how often the source is looked at
@@ -50,6 +51,7 @@ def start_sync(
         done = apply_policy(batch, table_name, rules, settings, row_key, dict(scales or {}))
         write_batch(conform(done, rules), target, batch_id)
 
+    keep_methods_compiled(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=PERIOD)
     return writer.start()
