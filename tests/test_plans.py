@@ -51,6 +51,13 @@ def test_scans_shuffle_one_row_per_task(spark, data, name):
     assert exchanges.count("SinglePartition") == 1 and len(exchanges) <= 2
 
 
+def test_cells_are_hash_aggregated(spark, data):
+    """The aggregate over all cells needs no sort; only the one over (column, type) rows may."""
+    text = simple(queries.all_queries()["detect_columns"](spark, data))
+    assert text.count("SortAggregate") <= 2 and text.index("HashAggregate") > text.index("SortAggregate")
+    assert text.rindex("HashAggregate") > text.rindex("SortAggregate") and text.count("FileScan") == 1
+
+
 def test_sample_is_a_top_k(spark, data):
     assert "TakeOrderedAndProject" in simple(queries.all_queries()["random_sample"](spark, data))
 

@@ -24,7 +24,8 @@ ROW_NAME_COLUMNS = ("first_name", "last_name", "full_name")
 
 def pick(pool: Sequence[str], digest: Column, slot: int = 0) -> Column:
     position = F.pmod(slice52(digest, slot), F.lit(len(pool))) + 1
-    return F.element_at(F.array(*[F.lit(word) for word in pool]), position.cast("int"))
+    words = F.split(F.lit("|".join(pool)), r"\|")  # folded to one constant array by the optimizer
+    return F.element_at(words, position.cast("int"))
 
 
 def first_name(digest: Column) -> Column:

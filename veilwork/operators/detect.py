@@ -16,7 +16,7 @@ SAFETY_NET_NAMES = (
     "pin", "dob", "birth", "card", "account",
 )
 AGREEMENT_BONUS, CEILING, LONE_RULE_PENALTY = 0.05, 0.99, 0.15
-VERDICT = ("table_name", "column_name", "is_pii", "pii_type", "confidence", "technique", "matches")
+ORDER_SLOTS = 16  # more than there are detectors
 
 
 def long_form(
@@ -58,23 +58,30 @@ def value_matches(cells: DataFrame) -> DataFrame:
 def column_verdicts(cells: DataFrame) -> DataFrame:
     """Verdict per column: most frequent type, the first seen wins ties, mean confidence of the type.
 
-    Two small aggregates after the map-side combine: (column, type) and then
-    (column).  No window and no list of values, so a column may have any length.
+    One pass and two small aggregates after the map-side combine: (column,
+    type) and then (column).  Cells without a match form a group of their own,
+    so that columns without any match are listed too.  No window and no list of
+    values: a column may have any length.
     """
-    per_type = value_matches(cells).groupBy("table_name", "column_name", "pii_type").agg(
-        F.count(F.lit(1)).alias("matches"),
-        F.avg("confidence").alias("confidence"),
-        F.min(F.struct("position", "ord")).alias("first_seen"),
+    found = F.explode_outer(matches_of(F.col("value"), F.col("column_name"))).alias("m")
+    per_type = (
+        cells.select("table_name", "column_name", "position", found)
+        .groupBy("table_name", "column_name", F.col("m.pii_type").alias("pii_type"))
+        .agg(
+            F.count(F.lit(1)).alias("matches"),
+            F.avg("m.confidence").alias("confidence"),
+            # position and detector order in one number: a fixed-width buffer keeps this a hash aggregate
+            F.min(F.col("position") * ORDER_SLOTS + F.col("m.ord")).alias("first_seen"),
+        )
     )
-    # the winner has most matches, then the earliest first match
+    # the winner has most matches, then the earliest first match; the group without a type cannot win
+    rank = F.struct("matches", (-F.col("first_seen")).alias("earliest"))
     leader = F.max_by(
-        F.struct("pii_type", "matches", "confidence"),
-        F.struct("matches", (-F.col("first_seen.position")).alias("p"), (-F.col("first_seen.ord")).alias("o")),
+        F.struct("pii_type", "matches", "confidence"), F.when(F.col("pii_type").isNotNull(), rank)
     )
     winners = per_type.groupBy("table_name", "column_name").agg(leader.alias("w"))
-    columns = cells.select("table_name", "column_name").distinct()
     technique = F.create_map(*[F.lit(x) for pair in TECHNIQUE_OF.items() for x in pair])
-    return columns.join(winners, ["table_name", "column_name"], "left").select(
+    return winners.select(
         "table_name",
         "column_name",
         F.col("w").isNotNull().alias("is_pii"),
