@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -124,7 +125,8 @@ def salted_lookup(
         *columns,
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r_salt"),
     )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     left = df.withColumns({f"_l_{k}": e for k, e in on.items()} | {"_salt": salt})
     test = F.col("_salt") == F.col("_r_salt")
     for k in on:

@@ -21,12 +21,14 @@ def scope_name(table_name: str, column_name: str, shared: bool = False) -> str:
 
 
 def build(df: DataFrame, column: str, replacement: Column, scope: str, key: str) -> DataFrame:
-    """One row per distinct value: scope, key hash, sealed original, sealed replacement."""
+    """One row per distinct value: scope, key hash, sealed original, sealed replacement.
+
+    ``replacement`` is an expression over ``column``.  Values are made distinct
+    first, map-side, so each is hashed and sealed once however often it occurs.
+    """
     text = F.col(column).cast("string")
-    pairs = df.select(text.alias("original"), replacement.alias("replacement")).filter(
-        "original is not null and original <> ''"
-    )
-    return pairs.dropDuplicates(["original"]).select(
+    pairs = df.select(column).distinct().select(text.alias("original"), replacement.alias("replacement"))
+    return pairs.filter("original is not null and original <> ''").select(
         F.lit(scope).alias("scope"),
         keyed_digest(F.col("original"), key).alias("key_hash"),
         seal(F.col("original"), key).alias("original_sealed"),

@@ -12,6 +12,7 @@ from ..operators.ordered import per_group_value, previous_value, row_numbers, sa
 from . import risk
 
 SIGNED_FIELDS = ("timestamp", "user_id", "run_id", "action", "details")  # fixed values, in this order
+# From which privacy score on a run counts as safe, and the two status texts.
 SAFE_PRIVACY = 80.0
 PASS_TEXT, FAIL_TEXT = "PRIVACY PROTECTED (PASS)", "ACTION REQUIRED (UNPROTECTED PII)"
 
@@ -37,8 +38,10 @@ def elapsed(logs: DataFrame, salts: int = 8) -> DataFrame:
     The run's start is one aggregate per run, looked up with salted keys: a run
     that wrote a third of the log does not end up in one task.
     """
-    started = per_group_value(logs, ["run_id"], F.min("timestamp"), "_start", salts)
-    micros = F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))
+    # microseconds as a number: a text minimum would need a sort-based aggregate
+    moment = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    started = per_group_value(logs, ["run_id"], F.min(moment), "_start", salts)
+    micros = moment - F.col("_start")
     millis = F.floor(F.greatest(micros, F.lit(0)) / 1000).cast("long")
     # hundredths of a second in whole numbers: a formatted double rounds differently between engines
     hundredths = F.floor((F.greatest(micros, F.lit(0)) + 5000) / 10_000).cast("long")
