@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwork.llm.bpe import op1_byte_bpe
 from veilwork.llm.langid import op9_language_id
 from veilwork.llm.licenses import OP7_SQL, op7_license_scan
+from veilwork.llm.lines import op5_line_dedup
+from veilwork.llm.minhash import op4_minhash_dedup
 from veilwork.llm.mixing import OP10_SQL, op10_mix_sources
 from veilwork.llm.quality import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op7_license_scan, op8_quality_rules, op9_language_id, op10_mix_sources)
+    found = (op1_byte_bpe, op4_minhash_dedup, op5_line_dedup, op7_license_scan, op8_quality_rules, op9_language_id, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
