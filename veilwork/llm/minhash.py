@@ -8,7 +8,9 @@ signature check are confirmed on the full sets, and confirmed links are joined
 to components.  What such a first round may have missed are pairs within a
 bucket whose ends are still in different components; the second round pairs
 exactly those, checks them in the same way, and the components of all links are
-the result.  No bucket is capped.
+the result.  No bucket is capped.  Shingles that no other class in question has
+bound what two sets can share, so that a large group of texts that are alike,
+but not enough to be linked, is not spread out into all its pairs.
 
 With ``b`` bands of ``r`` rows a pair at the threshold ``t`` is brought together
 with probability ``1 - (1 - t**r)**b``; ``b`` is chosen so that less than one
@@ -138,6 +140,26 @@ def _alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
+def _own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``(id, n, common)`` of the given classes: size of the set, and how much of it some other of them has."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+
+    def sets(batches):
+        digests = _WordDigests()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                made = [shingle_set(t, words, digests).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    each = texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"])
+    each = written(each)
+    alone = each.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    sized = each.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left")
+    return written(sized.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` on the full sets.
 
@@ -194,11 +216,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     comp = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
     known = members.join(comp("id"), "id", "left").join(comp("least"), "least", "left")
     known = known.select("band", "value", "id", F.coalesce("id_c", "id").alias("c"), F.coalesce("least_c", "least").alias("main"))
-    others = written(known.where(F.col("c") != F.col("main")).select("band", "value", F.col("id").alias("b"), F.col("c").alias("cb")))
-    here = known.select("band", "value", F.col("id").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("main")).alias("inside"))
+    others = written(known.where(F.col("c") != F.col("main")))
+    contested = written(known.join(others.select("band", "value").distinct(), ["band", "value"], "left_semi"))
+    # a shingle that no other contested class has can be in no common part: sizes and such shingles bound the similarity
+    bounded = contested.join(_own_shingles(contested.select("id").distinct(), docs, words), "id")
+    left = bounded.where(F.col("c") != F.col("main")).select("band", "value", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("mb"))
+    here = bounded.select(
+        "band", "value", F.col("id").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("main")).alias("inside"), F.col("n").alias("na"), F.col("common").alias("ma")
+    )
+    most = F.least("ma", "mb")
     open_pairs = (
-        others.join(here, ["band", "value"])
+        left.join(here, ["band", "value"])
         .where((F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("a") < F.col("b"))))
+        .where(100 * most >= percent * (F.col("na") + F.col("nb") - most))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
