@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.components import components
-from veilwork.llm.shared import table, written
+from veilwork.llm.shared import small, table, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ROWS = 5
 MISSED = 1e-7
+FEW_IDS = 500_000  # so many ids of eight bytes may be broadcast, counted first; beyond that texts are shuffled
 SLACK = 0.20  # signatures may agree by so much less than the threshold
 
 
@@ -142,7 +143,7 @@ def _alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 def _own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """``(id, n, common)`` of the given classes: size of the set, and how much of it some other of them has."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(written(ids), FEW_IDS), "id", "left_semi")
 
     def sets(batches):
         digests = _WordDigests()
@@ -168,7 +169,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     # copies of an id are one node, its set is that of the row that the class stands for
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(written(wanted), FEW_IDS), "id", "left_semi")
 
     def sets(batches):
         digests = _WordDigests()
@@ -178,7 +179,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 made = [shingle_set(t, words, digests).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
-    made = texts.mapInArrow(sets, "id long, shingles binary")
+    made = written(texts.mapInArrow(sets, "id long, shingles binary"))  # read from both sides of the pairs
     a, b = made.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), made.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
