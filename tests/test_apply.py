@@ -137,3 +137,49 @@ def test_mask_keeps_length_of_plain_text(spark, texts):
     done = apply_policy(df.withColumn("raw", F.col("v")), "t", [ColumnRule("t", "v", "MASKING")], SETTINGS)
     assert done.filter(F.length("raw") != F.length("v")).count() == 0
     assert done.filter((F.col("raw") != "") & F.col("v").rlike("[^X]")).count() == 0
+
+
+def test_reference_chains_keep_their_keys(spark):
+    """Children of other names, a referenced unique column and a chain of three tables still join."""
+    from veilwork.operators.apply import apply_policy
+
+    parent = spark.createDataFrame([(1, "a@x.org"), (2, "b@x.org")], "id long, email string")
+    child = spark.createDataFrame([(10, "a@x.org"), (11, "b@x.org"), (12, "a@x.org")], "id long, owner string")
+    third = spark.createDataFrame([(20, "b@x.org")], "id long, holder string")
+    for technique in ("TOKENIZATION", "PSEUDONYMIZATION", "HASHING"):
+        rules = [
+            ColumnRule("parent", "email", technique),
+            ColumnRule("child", "owner", technique, "FULL_NAME", fk_table="parent", fk_column="email"),
+            ColumnRule("third", "holder", technique, fk_table="child", fk_column="owner"),
+        ]
+        p, c, h = (apply_policy(d, n, rules, SETTINGS) for d, n in ((parent, "parent"), (child, "child"), (third, "third")))
+        assert c.join(p, c["owner"] == p["email"]).count() == 3
+        assert h.join(c, h["holder"] == c["owner"]).join(p, c["owner"] == p["email"]).count() == 1
+    with pytest.raises(ValueError, match="its reference"):
+        apply_policy(child, "child", [ColumnRule("parent", "email", "HASHING"), ColumnRule("child", "owner", "TOKENIZATION", fk_table="parent", fk_column="email")], SETTINGS)
+
+
+def test_noise_survives_bad_values(spark):
+    from veilwork.functions import noise
+
+    rows = [(float(v),) for v in (1, 2, 3, 4)] + [(float("nan"),), (float("inf"),), (None,)]
+    df = spark.createDataFrame(rows, "v double")
+    assert df.select(noise.noise_scale(F.col("v"))).first()[0] == 0.111803
+    tiny = spark.createDataFrame([(1e-9 * i,) for i in range(5)], "v double")
+    assert 0 < tiny.select(noise.noise_scale(F.col("v"))).first()[0] < 1e-9
+    out = df.select("v", noise.add_noise(F.col("v"), F.lit("t"), F.lit(0.1), None, "v").alias("n")).collect()
+    assert [r["n"] is None for r in out] == [False] * 4 + [True] * 3
+
+
+def test_timestamps_and_decimals_hash_alike_everywhere(spark):
+    from veilwork.functions import digests
+
+    df = spark.sql("SELECT timestamp_micros(1000000) AS t, cast(5 AS decimal(10,2)) AS d")
+    shown = lambda: tuple(df.select(*[digests.text_of(F.col(f.name), f.dataType) for f in df.schema.fields]).first())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert shown() == ("1000000", "5")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert shown() == ("1000000", "5") and "hunter2" not in repr(Settings("hunter2"))

@@ -136,7 +136,7 @@ def test_scan_columns_skips_realistic_tokens(spark):
 def test_scan_limit_is_optional(spark):
     df = spark.createDataFrame([("x",)] * 600 + [(LEAKS["SSN"],)], "a string").coalesce(1)
     assert leaks.scan_columns(df, "t").filter("matches > 0").count() == 1
-    assert leaks.scan_columns(df, "t", limit=500).filter("matches > 0").count() == 0
+    assert leaks.scan_columns(df.limit(500), "t").filter("matches > 0").count() == 0
 
 
 def test_samples(spark):

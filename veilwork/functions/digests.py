@@ -19,9 +19,16 @@ def text_of(value: Column, dtype: T.DataType | None = None) -> Column:
 
     Floating-point keys are refused: their text form differs between engines
     (``1e16`` and ``1.0E16``), so equal keys could hash differently.
+    A timestamp is hashed by its microseconds since 1970 in UTC, in any session
+    zone; decimals without their trailing zeros, so that the scale of a key's
+    type does not matter.
     """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         raise TypeError("floating-point values have no stable text form; cast to decimal first")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
     return value.cast("string")
 
 

@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 from .digests import TWO_52, digest52
 
 SPREAD_SHARE = 0.1  # fixed value: noise scale as a share of the population deviation
-SCALE_DIGITS = 6  # the scale is rounded: a float sum depends on the order of partitions
+SCALE_DIGITS = 6  # significant digits of the scale: a float sum depends on the order of partitions
 
 
 def noise_scale(value: Column) -> Column:
-    """Aggregate: the scale of one column; 1.0 when it holds no number."""
-    spread = F.round(F.stddev_pop(value) * SPREAD_SHARE, SCALE_DIGITS)
-    return F.coalesce(spread, F.lit(1.0))
+    """Aggregate: the scale of one column over its finite values; 1.0 when it holds none."""
+    return F.coalesce(significant(F.stddev_pop(finite(value)) * SPREAD_SHARE), F.lit(1.0))
+
+
+def finite(value: Column) -> Column:
+    """The value, or null if it is NaN or infinite."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
+def significant(value: Column, digits: int = SCALE_DIGITS) -> Column:
+    """A positive number rounded to significant digits, whatever its size."""
+    unit = F.concat(F.lit("1e"), (F.floor(F.log10(value)) - (digits - 1)).cast("string")).cast("double")
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / unit) * unit)
 
 
 def uniform(text: Column) -> Column:
@@ -44,7 +54,7 @@ def precision_kind(pii_type: str | None, column_name: str) -> str:
 def add_noise(
     value: Column, text: Column, scale: Column, pii_type: str | None, column_name: str
 ) -> Column:
-    noisy = value + laplace(text, scale)
+    noisy = finite(value) + laplace(text, scale)
     kind = precision_kind(pii_type, column_name)
     if kind == "cents":
         return F.round(noisy, 2)

@@ -24,10 +24,17 @@ class ColumnRule:
     is_primary_key: bool = False
     fk_table: str | None = None
     fk_column: str | None = None
+    referenced: bool = False  # another column refers to this one
+    root_name: str | None = None  # column name at the end of the chain of references
 
     @property
     def is_key(self) -> bool:
-        return self.is_primary_key or self.fk_table is not None
+        return self.is_primary_key or self.fk_table is not None or self.referenced
+
+    @property
+    def kind_name(self) -> str:
+        """The column name that chooses the kind of replacement."""
+        return self.root_name or self.column_name
 
     @property
     def scope(self) -> str:
@@ -41,7 +48,7 @@ class ColumnRule:
 class Settings:
     """Run-wide choices.  The secret is always passed in; there is no default."""
 
-    secret: str
+    secret: str = field(repr=False)
     strict: bool = True  # unknown or key-merging techniques raise instead of passing values through
     keyed_hash: bool = False  # HASHING with the secret, safe for small domains
     row_names: bool = False  # first, last and full name of a row agree
@@ -118,7 +125,7 @@ def _tokenization(site: Site) -> Column:
         and rule.column_name in tokens.ROW_NAME_COLUMNS
     ):
         return tokens.row_name(rule.column_name, site.row_key, settings.key, rule.table_name)
-    kind = tokens.token_kind(rule.pii_type, rule.column_name)
+    kind = tokens.token_kind(rule.pii_type, rule.kind_name)
     if kind == "word" and not isinstance(site.dtype, T.StringType):
         if rule.is_key and settings.strict:
             raise ValueError(f"no token form for key {rule.scope}; use HASHING")
@@ -129,7 +136,7 @@ def _tokenization(site: Site) -> Column:
 @register_technique("PSEUDONYMIZATION")
 def _pseudonymization(site: Site) -> Column:
     rule = site.rule
-    kind = tokens.pseudonym_kind(rule.pii_type, rule.column_name)
+    kind = tokens.pseudonym_kind(rule.pii_type, rule.kind_name)
     scope = f"{rule.scope}#pseudonym"
     return tokens.build(kind, site.text, site.settings.key, scope, unique=rule.is_key)
 
@@ -168,7 +175,7 @@ MERGING = ("MASKING", "GENERALIZATION", "REDACTION", "DIFFERENTIAL_PRIVACY")
 
 
 def needs_scale(rule: ColumnRule, dtype: T.DataType) -> bool:
-    return rule.technique.upper() == "DIFFERENTIAL_PRIVACY" and not isinstance(dtype, DATES)
+    return (rule.technique or "NO_CHANGE").strip().upper() == "DIFFERENTIAL_PRIVACY" and not isinstance(dtype, DATES)
 
 
 def rewrite(site: Site) -> Column:

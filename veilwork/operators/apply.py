@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,17 @@ def rules_from(policy: DataFrame, table_name: str | None = None) -> list[ColumnR
     )
 
 
-def resolve_scopes(rules: Iterable[ColumnRule]) -> list[ColumnRule]:
-    """Follow chains of foreign keys so that every column of a chain shares the root's scope."""
+def resolve_scopes(rules: Iterable[ColumnRule], strict: bool = False) -> list[ColumnRule]:
+    """Follow chains of foreign keys so that every column of a chain is replaced as the root is.
+
+    A chain shares the root's scope, the column name and type that choose the
+    kind of token, and the key flag: a referenced column counts as a key, unique
+    or primary.  With ``strict``, a column whose technique differs from its
+    root's is refused, because the keys would no longer meet.
+    """
     rules = list(rules)
+    declared = {(r.table_name, r.column_name): r for r in rules}
+    referenced = {(r.fk_table, r.fk_column) for r in rules if r.fk_table}
     target = {
         (r.table_name, r.column_name): (r.fk_table, r.fk_column) for r in rules if r.fk_table
     }
@@ -49,10 +58,15 @@ def resolve_scopes(rules: Iterable[ColumnRule]) -> list[ColumnRule]:
     for r in rules:
         if r.fk_table:
             table, column = root((r.table_name, r.column_name))
-            r = ColumnRule(
-                r.table_name, r.column_name, r.technique, r.pii_type, r.is_pii,
-                r.is_primary_key, table, column,
-            )
+            r = replace(r, fk_table=table, fk_column=column)
+            top = declared.get((table, column))
+            if top is not None:
+                mine, other = ((x.technique or "NO_CHANGE").strip().upper() for x in (r, top))
+                if strict and mine != other:
+                    raise ValueError(f"{r.table_name}.{r.column_name} has {mine}, its reference {table}.{column} has {other}")
+                r = replace(r, pii_type=top.pii_type, root_name=column)
+        if (r.table_name, r.column_name) in referenced:
+            r = replace(r, referenced=True)
         resolved.append(r)
     return resolved
 
@@ -98,7 +112,7 @@ def apply_policy(
     the scales of its batch run instead.  ``row_key`` defaults to the primary
     key columns of the policy.
     """
-    own = {r.column_name: r for r in rules if r.table_name == table_name}
+    own = {r.column_name: r for r in resolve_scopes(rules, settings.strict) if r.table_name == table_name}
     if not own:
         return df
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -133,7 +147,9 @@ def preview(
     """Before and after, side by side, for the first rows by key (the review view)."""
     own = [r for r in rules if r.table_name == table_name]
     keys = list(row_key) or [r.column_name for r in own if r.is_primary_key]
-    sample = df.orderBy(*keys).limit(limit) if keys else df.limit(limit)
+    if not keys:
+        raise ValueError(f"a preview of {table_name} needs a row key: without an order its rows are not defined")
+    sample = df.orderBy(*keys).limit(limit)
     shown = [r.column_name for r in own if r.column_name in df.columns]
     both = sample.select("*", *[F.col(c).alias(f"{c}__before") for c in shown])
     done = apply_policy(both, table_name, own, settings, keys, scales)

@@ -71,7 +71,7 @@ def column_verdicts(cells: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("matches"),
             F.avg("m.confidence").alias("confidence"),
             # position and detector order in one number: a fixed-width buffer keeps this a hash aggregate
-            F.min(F.col("position") * ORDER_SLOTS + F.col("m.ord")).alias("first_seen"),
+            F.min(F.col("position").cast("decimal(30,0)") * ORDER_SLOTS + F.col("m.ord")).alias("first_seen"),
         )
     )
     # the winner has most matches, then the earliest first match; the group without a type cannot win

@@ -17,19 +17,17 @@ def scan_columns(
     table_name: str,
     columns: Sequence[str] | None = None,
     techniques: Mapping[str, str] | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
     """``(table_name, column_name, technique, pattern, matches)`` for columns x patterns.
 
     A single aggregate without grouping keys: one row per task is shuffled,
-    whatever the size of the table.  ``limit`` scans a head only; the default
-    is the whole table.
+    whatever the size of the table.  The whole table is scanned.
     """
-    techniques = {k: v.upper() for k, v in (techniques or {}).items()}
+    techniques = {k: (v or "NO_CHANGE").upper() for k, v in (techniques or {}).items()}
     scanned = [
         c for c in (columns or df.columns) if techniques.get(c, "NO_CHANGE") not in SKIPPED_TECHNIQUES
     ]
-    rows = df.limit(limit) if limit else df
+    rows = df
     if not scanned:
         return rows.limit(0).select(
             F.lit(table_name).alias("table_name"), F.lit("").alias("column_name"),

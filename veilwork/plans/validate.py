@@ -268,7 +268,7 @@ def run_validators(run: Run) -> tuple[DataFrame, DataFrame]:
         try:
             parts.append(cut_lineage(build(run)))
         except Exception as error:  # isolation is the point: any failure becomes a finding
-            text = f"Validator failed: {type(error).__name__}: {str(error)[:200]}"
+            text = f"Validator failed: {type(error).__name__}: {error}"
             failed = (name, "SYSTEM", None, None, "VALIDATOR_ERROR", "CRITICAL", "FAIL", None, text)
             parts.append(run.spark.createDataFrame([failed], FINDING))
     findings = union_all(parts)

@@ -53,16 +53,14 @@ def fk_orphans(t):
 
 @query(
     "fk_orphans_with_nulls",
-    cte("persons")
-    + """, child AS (SELECT nullif(substr(aadhaar_no, 1, 2), '') AS k FROM persons), parent AS (SELECT DISTINCT substr(pincode, 1, 2) AS k FROM persons)
+    """WITH child AS (SELECT o_custkey AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey), parent AS (SELECT s_suppkey AS k FROM supplier)
     SELECT 'child.k -> parent.k' AS relation, count(*)::bigint AS orphans FROM child
     WHERE k IS NULL OR k NOT IN (SELECT k FROM parent WHERE k IS NOT NULL)""",
 )
 def fk_orphans_with_nulls(t):
-    """Orphans where a missing reference counts as one."""
-    persons = frame(t, "persons")
-    child = persons.select(F.nullif(F.substring("aadhaar_no", 1, 2), F.lit("")).alias("k"))
-    parent = persons.select(F.substring("pincode", 1, 2).alias("k")).distinct()
+    """Orphans where a missing reference counts as one: customers without an order have a null key."""
+    child = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("o_custkey").alias("k"))
+    parent = t.supplier.select(F.col("s_suppkey").alias("k"))
     return integrity.count_orphans({"child": child, "parent": parent}, Relation("child", "k", "parent", "k"), True)
 
 

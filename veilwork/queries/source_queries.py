@@ -22,9 +22,9 @@ WIDTHS = {
 }
 
 
-@query("table_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("table_scan", "SELECT * FROM orders")
 def table_scan(t):
-    return t.orders.drop("o_orderdate")
+    return t.orders
 
 
 @query("column_scan", "SELECT c_name FROM customer")
