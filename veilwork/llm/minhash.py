@@ -7,10 +7,11 @@ only the least class is paired with the others at first; pairs that pass the
 signature check are confirmed on the full sets, and confirmed links are joined
 to components.  What such a first round may have missed are pairs within a
 bucket whose ends are still in different components; the second round pairs
-exactly those, checks them in the same way, and the components of all links are
-the result.  No bucket is capped.  Shingles that no other class in question has
-bound what two sets can share, so that a large group of texts that are alike,
-but not enough to be linked, is not spread out into all its pairs.
+those of them that share one of their rarest shingles early enough to be linked
+at all (an exact prefix and position bound), checks them in the same way, and
+the components of all links are the result.  No bucket is capped, and a large
+group of texts that are alike, but not enough to be linked, is not spread out
+into all its pairs.
 
 With ``b`` bands of ``r`` rows a pair at the threshold ``t`` is brought together
 with probability ``1 - (1 - t**r)**b``; ``b`` is chosen so that less than one
@@ -141,8 +142,12 @@ def _alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``(id, n, common)`` of the given classes: size of the set, and how much of it some other of them has."""
+def _rare_shingles(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(id, s, n, place)`` of the given classes: the shingles that come first when rare ones, among these classes, go first.
+
+    A set of ``n`` shingles that is linked with another shares at least ``percent`` of
+    its own with it, so one of its first ``n - ceil(percent * n / 100) + 1`` is shared.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(written(ids), FEW_IDS), "id", "left_semi")
 
     def sets(batches):
@@ -153,12 +158,15 @@ def _own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 made = [shingle_set(t, words, digests).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    each = texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"])
-    each = written(each)
-    alone = each.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
-    sized = each.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left")
-    return written(sized.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
+    each = written(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+    single = each.select("id", F.explode("shingles").alias("s"))
+    often = single.groupBy("s").agg(F.count("*").alias("often"))
+    ordered = single.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
+    n = F.size("all")
+    first = n - F.ceil(F.lit(percent) * n / 100 - 1e-9).cast("int") + 1
+    return ordered.select("id", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "one")).where("one.often > 1").select(
+        "id", F.col("one.s").alias("s"), "n", "place"
+    )
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -219,21 +227,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     known = known.select("band", "value", "id", F.coalesce("id_c", "id").alias("c"), F.coalesce("least_c", "least").alias("main"))
     others = written(known.where(F.col("c") != F.col("main")))
     contested = written(known.join(others.select("band", "value").distinct(), ["band", "value"], "left_semi"))
-    # a shingle that no other contested class has can be in no common part: sizes and such shingles bound the similarity
-    bounded = contested.join(_own_shingles(contested.select("id").distinct(), docs, words), "id")
-    left = bounded.where(F.col("c") != F.col("main")).select("band", "value", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("mb"))
-    here = bounded.select(
-        "band", "value", F.col("id").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("main")).alias("inside"), F.col("n").alias("na"), F.col("common").alias("ma")
-    )
-    most = F.least("ma", "mb")
+    # two sets that are linked share one of their rare shingles, at places that leave room for the common part
+    nodes = contested.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("outside"))
+    rare = written(_rare_shingles(contested.select("id").distinct(), docs, words, percent).join(nodes, "id"))
+    left = rare.where("outside").select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    here = rare.select("s", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("outside").alias("out"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     open_pairs = (
-        left.join(here, ["band", "value"])
-        .where((F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("a") < F.col("b"))))
-        .where(100 * most >= percent * (F.col("na") + F.col("nb") - most))
+        left.join(
+            here,
+            (left["s"] == here["s"]) & (F.col("ca") != F.col("cb")) & (~F.col("out") | (F.col("a") < F.col("b")))
+            & (100 * most >= percent * (F.col("na") + F.col("nb") - most)),
+        )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
+    )
     second = written(_alike(open_pairs, reps, threshold))
     more = _confirmed(second, docs, words, percent) if second.limit(1).count() else second
     final = components(copies.unionByName(links).unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
