@@ -347,6 +347,21 @@ def test_languages_held_out(spark, data):
     assert langid.fit(docs.limit(0)) is None
 
 
+def test_languages_of_all_scripts_and_numbers_are_told_apart(spark):
+    rng = random.Random(9)
+    scripts = {"el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "hy": range(0x561, 0x587)}
+    scripts |= {f"z{i:03}": range(0x4E00 + 25 * i, 0x4E00 + 25 * i + 25) for i in range(110)}
+
+    def text(lang):
+        return " ".join("".join(chr(rng.choice(scripts[lang])) for _ in range(5)) for _ in range(20))
+
+    rows = [(lang, text(lang)) for lang in scripts for _ in range(8)] + [("z000", text("z000") * 9) for _ in range(40)]
+    frame = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(scripts)], frame.schema)
+    found = langid.identify(new, langid.fit(frame, landmarks=3), keep=("lang",)).toPandas()
+    assert (found.lang == found.lang_pred).all()
+
+
 def test_mix_meets_targets_and_caps(docs):
     mixed = mixing.mix(docs).toPandas()
     assert len(mixed) == docs.count()

@@ -3,14 +3,14 @@
 A text is the set of its letter n-grams of lengths 1 to 3 (presence, not
 counts); two texts are as similar as the cosine of their sets.  The kernel is
 approximated by Nyström features over landmark texts, and a one-versus-rest
-kernel ridge regression is solved in that feature space.  Scoring a batch of
-texts is one product of its presence matrix with the landmarks' and one with
-the regression weights.
+kernel ridge regression is solved in that feature space.  Scoring counts, for
+each text, the n-grams it shares with every landmark, from lists of the
+landmarks that hold an n-gram, and multiplies with the regression weights.
 
-Texts are read whole, in lower case; everything that is no letter of the
-landmarks' alphabet is one common gap symbol.  Training uses at most
-``per_language`` labelled texts of each of the ``most_languages`` most frequent
-languages; the texts with the smallest digest of their id are taken.
+Texts are read whole, in lower case; every letter of any script counts, and
+everything that is no letter is one common gap symbol.  Training uses at most
+``per_language`` labelled texts of every labelled language; the texts with the
+smallest digest of their id are taken.
 
 Null texts and texts without letters get ``und`` and score 0.  Without labelled
 texts every text gets ``und``.  Equal responses go to the first language by
@@ -19,8 +19,9 @@ code point.  Repeated rows are scored one by one, each the same.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from veilwork.llm.shared import table, written
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-ALPHABET = 80  # letters told apart; three symbols of it index a presence table of half a million bytes
+BITS = 21  # a code point and one more fit; three of them fit into one signed number
 TOGETHER = 256  # texts of one matrix product
 
 
@@ -42,93 +43,85 @@ class Model:
     """Everything that scoring needs; its size depends on the landmarks only."""
 
     languages: list[str]
-    letters: str
-    grams: np.ndarray  # places in the presence table of the n-grams that landmarks have
-    landmarks: np.ndarray  # presence of those n-grams, one column per landmark
+    grams: np.ndarray  # sorted n-grams that landmarks have
+    starts: np.ndarray  # where the list of an n-gram begins in ``holders``, and the end of the last
+    holders: np.ndarray  # places of the landmarks that hold an n-gram, one list after the other
     landmark_sizes: np.ndarray
     weights: np.ndarray | None = None  # landmarks x languages: Nyström map times ridge solution
 
 
-class Presence:
-    """Turns texts into rows of n-gram presence; one table is reused for all texts."""
+@cache
+def symbols() -> np.ndarray:
+    """For every code point its own symbol if it is a letter, else the gap symbol 1."""
+    table = np.ones(0x110000, np.int64)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    letters = np.array([ord(c) for c in LETTER.findall(every)])
+    table[letters] = letters + 1
+    return table
 
-    def __init__(self, letters: str):
-        self.base = len(letters) + 1
-        self.symbols = np.zeros(0x110000, np.int32)
-        for i, c in enumerate(letters):
-            self.symbols[ord(c)] = i + 1
-        self.offsets = np.cumsum([0, self.base, self.base**2])
-        self.table = np.zeros(self.base + self.base**2 + self.base**3, np.uint8)
 
-    def places(self, text: str) -> list[np.ndarray]:
-        codes = self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        pairs = codes[:-1] * self.base + codes[1:]
-        return [codes, self.offsets[1] + pairs, self.offsets[2] + pairs[:-1] * self.base + codes[2:]]
-
-    def row(self, text: str, grams: np.ndarray) -> tuple[np.ndarray, int]:
-        """Presence of the given n-grams, and the number of distinct n-grams in the text."""
-        found = self.places(text)
-        for p in found:
-            self.table[p] = 1
-        out, size = self.table[grams], 0
-        size = int(np.count_nonzero(self.table))
-        for p in found:
-            self.table[p] = 0
-        return out, size
+def gram_set(text: str) -> np.ndarray:
+    """The sorted distinct n-grams of a text.  No symbol is 0, so grams of different lengths differ."""
+    codes = symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    pairs = codes[:-1] << BITS | codes[1:]
+    return np.unique(np.concatenate([codes, pairs, pairs[:-1] << BITS | codes[2:]]))
 
 
 def landmark_model(texts: list[tuple[str, str]], languages: list[str]) -> Model:
-    """Alphabet and n-grams of the landmark texts."""
-    seen = Counter(c for _, t in texts for c in t.lower() if LETTER.match(c))
-    letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    presence = Presence(letters)
-    sets = [np.unique(np.concatenate(presence.places(t))) for _, t in texts]
-    grams = np.unique(np.concatenate(sets))
-    rows = np.zeros((len(grams), len(sets)), np.float32)
-    for j, s in enumerate(sets):
-        rows[np.searchsorted(grams, s), j] = 1
-    return Model(languages, letters, grams, rows, np.array([len(s) for s in sets], np.float32))
-
-
-def kernel(model: Model, presence: Presence, texts: list[str]) -> np.ndarray:
-    """Kernel values of texts and landmarks by one matrix product."""
-    rows = np.zeros((len(texts), len(model.grams)), np.float32)
+    """N-grams of the landmark texts, each with the landmarks that hold it."""
+    sets = [gram_set(t) for _, t in texts]
+    every, holders = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    grams, starts = np.unique(every[order], return_index=True)
+    return Model(languages, grams, np.r_[starts, len(every)], holders[order], np.array([len(s) for s in sets], np.float32))
+
+
+def shared_grams(model: Model, found: np.ndarray) -> np.ndarray:
+    """How many of a text's n-grams each landmark holds."""
+    at = np.minimum(np.searchsorted(model.grams, found), len(model.grams) - 1)
+    at = at[model.grams[at] == found]
+    begin, length = model.starts[at], model.starts[at + 1] - model.starts[at]
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return np.bincount(model.holders[np.repeat(begin, length) + inside], minlength=len(model.landmark_sizes))
+
+
+def kernel(model: Model, texts: list[str]) -> np.ndarray:
+    """Kernel values of texts and landmarks."""
+    rows = np.zeros((len(texts), len(model.landmark_sizes)), np.float32)
     sizes = np.ones(len(texts), np.float32)
     for i, t in enumerate(texts):
         if t:
-            rows[i], n = presence.row(t, model.grams)
-            sizes[i] = max(1, n)
-    return (rows @ model.landmarks) / np.sqrt(sizes[:, None] * model.landmark_sizes[None, :])
+            found = gram_set(t)
+            rows[i], sizes[i] = shared_grams(model, found), len(found)
+    return rows / np.sqrt(sizes[:, None] * model.landmark_sizes[None, :])
 
 
-def training_rows(docs: DataFrame, per_language: int, most_languages: int) -> tuple[DataFrame, list[str]]:
+def training_rows(docs: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
     """``(lang, text, place)`` of the training texts, and the languages.
 
-    One row per language reaches the driver, at most ``most_languages``.
+    One row per language reaches the driver.
     """
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = usable.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     draw, steps = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
-    picked = F.lit(False)
-    for r in counts:  # a digest below the threshold: about twice as many as are needed, whatever the size
-        share = min(1.0, 2.0 * per_language / r["count"] + 50 / r["count"])
-        picked = picked | ((F.col("lang") == r["lang"]) & (draw < int(share * steps) + 1))
+    # a digest below the threshold: about twice as many as are needed, whatever the size
+    share = lambda n: min(1.0, 2.0 * per_language / n + 50 / n)
+    below = docs.sparkSession.createDataFrame([(r["lang"], int(share(r["count"]) * steps) + 1) for r in counts], "lang string, below long")
     order = W.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
-    chosen = usable.where(picked).select("doc_id", "lang", "text")
+    # one row per language, which the driver holds anyway
+    chosen = usable.join(F.broadcast(below), "lang").where(draw < F.col("below")).select("doc_id", "lang", "text")
     return chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "text", "place"), languages
 
 
-def fit(
-    docs: DataFrame, per_language: int = 250, landmarks: int = 16, most_languages: int = 100, ridge: float = 1e-2
-) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 16, ridge: float = 1e-2) -> Model | None:
     """Choose landmarks, map the training texts through them on the executors, and solve the ridge system.
 
-    The driver holds the landmark texts (``landmarks`` per language) and one
-    row of kernel values per training text.
+    The driver holds the landmark texts (``landmarks`` per language), sums over
+    pairs of landmarks, and the kernel values of some training texts at a time.
     """
-    sample, languages = training_rows(docs, per_language, most_languages)
+    sample, languages = training_rows(docs, per_language)
     if not languages:
         return None
     sample = written(sample)
@@ -141,21 +134,24 @@ def fit(
 
     def features(frames):
         m = shared.value
-        presence = Presence(m.letters)
         for frame in frames:
             for i in range(0, len(frame), TOGETHER):
                 part = frame.iloc[i : i + TOGETHER]
-                yield pd.DataFrame({"lang": part.lang, "place": part.place, "k": list(kernel(m, presence, part.text.tolist()))})
-
-    rows = sample.mapInPandas(features, "lang string, place int, k array<float>").orderBy("lang", "place").collect()
-    k = np.array([r["k"] for r in rows], np.float64)
-    goal = np.array([[r["lang"] == x for x in languages] for r in rows], np.float64)
-    among = (model.landmarks.T @ model.landmarks) / np.sqrt(np.outer(model.landmark_sizes, model.landmark_sizes))
+                yield pd.DataFrame({"lang": part.lang, "place": part.place, "k": list(kernel(m, part.text.tolist()))})
+
+    n, place = len(model.landmark_sizes), {x: i for i, x in enumerate(languages)}
+    products, goals, total = np.zeros((n, n)), np.zeros((n, len(languages))), 0
+    rows = sample.mapInPandas(features, "lang string, place int, k array<float>").orderBy("lang", "place").toLocalIterator()
+    while part := list(islice(rows, 4 * TOGETHER)):
+        k = np.array([r["k"] for r in part], np.float64)
+        products += k.T @ k
+        np.add.at(goals.T, [place[r["lang"]] for r in part], k)
+        total += len(part)
+    among = kernel(model, [t for _, t in texts])
     values, vectors = np.linalg.eigh(among.astype(np.float64))
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    phi = k @ nystrom
-    solution = np.linalg.solve(phi.T @ phi + ridge * len(phi) * np.eye(phi.shape[1]), phi.T @ goal)
+    solution = np.linalg.solve(nystrom.T @ products @ nystrom + ridge * total * np.eye(nystrom.shape[1]), nystrom.T @ goals)
     model.weights = (nystrom @ solution).astype(np.float32)
     return model
 
@@ -172,7 +168,6 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
         import pyarrow as pa
 
         m = shared.value
-        presence = Presence(m.letters) if m else None
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start in range(0, max(1, batch.num_rows), TOGETHER):
@@ -180,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 names, scores = [UNKNOWN] * len(part), np.zeros(len(part))
                 known = [i for i, t in enumerate(part) if m and t and LETTER.search(t)]
                 if known:
-                    response = kernel(m, presence, [part[i] for i in known]) @ m.weights
+                    response = kernel(m, [part[i] for i in known]) @ m.weights
                     best = response.argmax(1)
                     scores[known] = np.clip(response[np.arange(len(known)), best], 0, 1)
                     for i, b in zip(known, best, strict=True):
