@@ -134,6 +134,24 @@ def test_suffix_dedup_equals_brute_force(spark, docs):
     assert found == brute_repeats(rows, 200)
 
 
+def test_no_task_gets_a_whole_hot_gram(spark, monkeypatch):
+    passage = prose(71, 40)[:150]  # shorter than a window: a part of many windows, most of them different
+    rows = [(i, prose(500 + i, 40) + " " + passage + " " + prose(600 + i % 35, 40)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sorted_runs, most = suffixes.sorted_runs, []
+
+    def seen(texts, size, parts):
+        by_gram = texts.select(F.explode("wanted").alias("w")).groupBy("w.gram").count()
+        most.append(by_gram.agg(F.max("count")).first()[0] or 0)
+        return sorted_runs(texts, size, parts)
+
+    monkeypatch.setattr(suffixes, "sorted_runs", seen)
+    monkeypatch.setattr(suffixes, "HOT", 10, raising=False)
+    found = sorted(tuple(r) for r in suffixes.drop_repeats(frame).drop("kept").collect())
+    assert found == brute_repeats(rows, 200)
+    assert most[0] <= 10 and any(r[2] for r in found)
+
+
 def test_loser_tree_merges_and_counts_shared_prefixes():
     rng = random.Random(8)
     every = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(500)]

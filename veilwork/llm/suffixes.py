@@ -19,6 +19,9 @@ windows of one anchor lie in one stretch of bytes, its context.
    are ordered by these alone, and equal ones compare bytes from there on, so
    no known prefix is compared again.  The result is the sorted suffix array of
    the gram with its common prefix lengths.
+   A gram with more than ``HOT`` contexts would be too much for one task.  Its
+   contexts are not sorted: each sends a 128-bit digest of every window, and
+   digests are counted map-side.  A repeated one is looked up by salted keys.
 4. Two contexts share a window exactly if the common part to the right of the
    anchor and the common part to the left of it add up to ``size``; the windows
    of a context that are repeated cover one interval around its anchor.
@@ -48,6 +51,8 @@ GRAM = 32
 STRETCH = 1 << 22  # bytes anchored at once; places within a stretch fit into 24 bits
 RUN_BYTES = 1 << 20  # bytes of a front-coded run
 PART_SUFFIXES = 20_000  # suffixes that a merging task is meant to get
+HOT = 2_000  # contexts of one gram that a merging task gets at most
+SALTS = 64  # tasks over which the rows of a hot gram or window are dealt
 
 _BYTES = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -316,21 +321,79 @@ def merged_intervals(runs: DataFrame, size: int) -> DataFrame:
     return runs.groupBy("part").applyInArrow(merge, "context long, before int, behind int")
 
 
+def window_rows(texts: DataFrame, size: int) -> DataFrame:
+    """``(w1, w2, distance, context)``: digests of all windows around the wanted anchors, and the start's distance from the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [], [])
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                for w in wanted:
+                    for distance in range(w["after"], w["before"] + 1):
+                        start = w["at"] - distance
+                        digest = xxhash.xxh3_128_intdigest(raw[start : start + size])
+                        values = ((digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, distance, w["context"])
+                        for c, v in zip(columns, values, strict=True):
+                            c.append(v)
+                    if len(columns[0]) > 50_000:
+                        yield rows_of(columns)
+                        columns = ([], [], [], [])
+            yield rows_of(columns)
+
+    def rows_of(columns):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["w1", "w2", "distance", "context"])
+
+    return texts.mapInArrow(run, "w1 long, w2 long, distance int, context long")
+
+
+def salted(keys: DataFrame) -> DataFrame:
+    """Every key with all salts, to meet rows that have one each."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def counted_intervals(windows: DataFrame, size: int) -> DataFrame:
+    """``(context, before, behind)`` as of ``merged_intervals``, from windows of hot grams; each context comes once."""
+    windows = written(windows.withColumn("salt", F.pmod("context", F.lit(SALTS)).cast("int")))
+    key = ["w1", "w2", "distance"]
+    several = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    found = windows.join(salted(several), [*key, "salt"])
+    return found.groupBy("context").agg(F.max("distance").alias("before"), (F.lit(size) - F.min("distance")).alias("behind"))
+
+
 def repeated_intervals(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``(doc_id, h, spans)``: arrays of ``(start, end)`` bytes that repeated windows cover."""
     rows = anchor_rows(docs, size)
     contexts = written(
         rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "before", "after")).alias("one"))
     )
-    several = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    kept = contexts.join(several, "gram").select("gram", "context", "one.*")
-    asked = written(kept.groupBy("doc_id", "h").agg(F.collect_list(F.struct("gram", "context", "at", "before", "after")).alias("wanted"), F.count("*").alias("k")))
-    total = asked.agg(F.sum("k")).first()[0] or 0
-    parts = max(1, -(-total // PART_SUFFIXES), docs.sparkSession.sparkContext.defaultParallelism)
+    several = written(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    hot = several.where(F.col("kinds") > HOT).select("gram")
+    any_hot = not hot.isEmpty()
+    cold = contexts
+    if any_hot:
+        salt = F.pmod("context", F.lit(SALTS)).cast("int")
+        parted = contexts.withColumn("salt", salt).join(salted(hot).withColumn("hot", F.lit(True)), ["gram", "salt"], "left")
+        parted = written(parted.drop("salt"))
+        cold = parted.where(F.col("hot").isNull())
     # rows of one id and text have the same bytes: one of them is enough
     named = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(whole("text")).alias("__h"), whole("text").alias("text"))
-    texts = named.join(asked, F.col("__id").eqNullSafe(asked["doc_id"]) & (F.col("__h") == asked["h"])).dropDuplicates(["__id", "__h"])
-    merged = merged_intervals(sorted_runs(texts.select("text", "wanted"), size, parts), size)
+
+    def by_document(kept: DataFrame) -> DataFrame:
+        wanted = F.collect_list(F.struct("gram", "context", "at", "before", "after")).alias("wanted")
+        return written(kept.select("gram", "context", "one.*").groupBy("doc_id", "h").agg(wanted, F.count("*").alias("k")))
+
+    def with_text(asked: DataFrame) -> DataFrame:
+        same = F.col("__id").eqNullSafe(asked["doc_id"]) & (F.col("__h") == asked["h"])
+        return named.join(asked, same).dropDuplicates(["__id", "__h"]).select("text", "wanted")
+
+    asked = by_document(cold.join(several.where(F.col("kinds") <= HOT).select("gram"), "gram"))
+    total = asked.agg(F.sum("k")).first()[0] or 0
+    parts = max(1, -(-total // PART_SUFFIXES), docs.sparkSession.sparkContext.defaultParallelism)
+    merged = merged_intervals(sorted_runs(with_text(asked), size, parts), size)
+    if any_hot:
+        merged = merged.unionByName(counted_intervals(window_rows(with_text(by_document(parted.where("hot"))), size), size))
     whole_context = contexts.where("n > 1").select(
         "context", F.col("one.before").alias("before"), (F.lit(size) - F.col("one.after")).alias("behind")
     )
