@@ -331,6 +331,19 @@ def test_license_join_equals_containment(spark):
     assert found == {(i, k) for i, t in rows for k, w in sets.items() if len(set(w) & set(t.split())) >= 0.8 * len(w) - 1e-9}
 
 
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    rows = []
+    for width in (20, 40, 80):
+        for name, notice in licenses.TEMPLATES.items():
+            wrapped = textwrap.fill(notice, width, initial_indent=" * ", subsequent_indent=" * ")
+            rows.append((len(rows), name, f"{prose(len(rows), 9)}\n\n{wrapped}\n{prose(len(rows) + 50, 9)}"))
+    frame = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    found = {(r["doc_id"], r["label"]) for r in licenses.template_matches(frame, licenses.TEMPLATES).collect()}
+    assert {(i, name) for i, name, _ in rows} <= found
+
+
 def test_text_stats_equal_plain_python(docs):
     for r in quality.text_stats(docs).collect():
         text = r["text"] or ""

@@ -1,4 +1,8 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with notice templates.
+"""License scans: an exact set-similarity join of text blocks with notice templates.
+
+A block is a line and, as notices are wrapped, as many words of the lines after
+it as the longest template has, less one: a notice that begins in the line lies
+in its block, however it is broken.  Lines without words are passed over.
 
 A block matches a template if it holds at least ``threshold`` of the template's
 distinct words.  ``token_order`` counts how many documents of the corpus
@@ -62,23 +66,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP, -1), "")
 
 
-def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+def _template_lists(templates: dict[str, str]) -> dict[str, list[str]]:
     import re
 
     cut = {k: re.findall("[0-9a-z\u0080-\U0010ffff]+", v.translate(str.maketrans(UPPER, LOWER))) for k, v in templates.items()}
-    return {k: sorted(set(v)) for k, v in cut.items() if v}
+    return {k: v for k, v in cut.items() if v}
+
+
+def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {k: sorted(set(v)) for k, v in _template_lists(templates).items()}
 
 
 def _literal(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def blocks(docs: DataFrame, any_of: list[str]) -> DataFrame:
-    """Lines that hold one of the words, as ``(doc_id, words)``; texts without such a word are not cut into lines."""
-    wanted = _literal(any_of)
-    bodies = docs.select("doc_id", lowered(whole("text")).alias("body")).where(F.arrays_overlap(words_of(F.col("body")), wanted))
-    lines = bodies.select("doc_id", F.explode(F.split("body", "\n", -1)).alias("line"))
-    return lines.select("doc_id", words_of(F.col("line")).alias("words")).where(F.arrays_overlap("words", wanted))
+def blocks(docs: DataFrame, any_of: list[str], longest: int, known_of: list[str], shortest: int) -> DataFrame:
+    """``(doc_id, words)`` of the blocks that hold one of ``any_of``; ``longest``: words of the longest template.
+
+    Texts that hold none of them, or fewer than ``shortest`` of ``known_of``, are not cut.
+    """
+    wanted, known = _literal(any_of), _literal(known_of)
+    bodies = docs.select("doc_id", lowered(whole("text")).alias("body")).withColumn("all", words_of(F.col("body")))
+    bodies = bodies.where(F.arrays_overlap("all", wanted) & (F.size(F.array_intersect(known, "all")) >= shortest))
+    cut = F.filter(F.transform(F.split("body", "\n", -1), words_of), lambda w: F.size(w) > 0)
+
+    def run(lines: Column) -> Column:
+        # the lines kept have a word at least, so that many of them are enough
+        more = lambda i: F.slice(F.flatten(F.slice(lines, i + 1, longest)), 1, longest - 1)
+        each = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.concat(F.get(lines, i - 1), more(i)))
+        return F.when(F.size(lines) > 0, each)
+
+    found = bodies.select("doc_id", F.explode(F.transform(F.array(cut), run)[0]).alias("words"))
+    return found.where(F.arrays_overlap("words", wanted))
 
 
 def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
@@ -116,8 +136,8 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: floa
     index = spark.createDataFrame(rows, "word string, label string, place int, size int, need int, template array<string>")
     rare = sorted({r[0] for r in rows})
     # the block's words that templates know, in the global order (array_intersect keeps the order of its first argument)
-    known = blocks(docs, rare).select("doc_id", F.array_intersect(_literal(order), "words").alias("known"))
-    shortest = min(r[4] for r in rows)
+    shortest, longest = min(r[4] for r in rows), max(map(len, _template_lists(templates).values()))
+    known = blocks(docs, rare, longest, order, shortest).select("doc_id", F.array_intersect(_literal(order), "words").alias("known"))
     probes = known.where(F.size("known") >= shortest).select("doc_id", "known", F.posexplode("known").alias("at", "word"))
     hits = probes.join(F.broadcast(index), "word")  # the index has a fixed size: the words of the given templates
     first = F.element_at(F.array_intersect("template", "known"), 1) == F.col("word")
