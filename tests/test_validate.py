@@ -216,3 +216,14 @@ def test_conformance_and_changes(spark):
     df = spark.createDataFrame([("A", "B", "A B", "123456", "+91 9", "a@b"), ("A", "B", "B A", "12", "9", "ab")],
                                "first_name string, last_name string, full_name string, pincode string, phone string, email string")
     assert tuple(audit.conformance(df).first()) == (2, 1, 1, 1, 1)
+
+
+def test_kpis_of_users_without_runs(spark):
+    runs = spark.createDataFrame([("a", "r1", 5, 1, True)], "user_id string, run_id string, records long, timestamp int, is_current boolean")
+    logs = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "user_id string")
+    fields = "user_id string, table_name string, column_name string, technique string, pii_type string, is_pii boolean"
+    got = {r["user_id"]: r for r in audit.kpis(runs, logs, spark.createDataFrame([], fields)).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["runs"] == 1 and got["a"]["risk_level"] == "LOW"
+    b = got["b"]
+    assert (b["records"], b["runs"], b["privacy_score"], b["risk_score"], b["audit_events"]) == (0, 0, 0.0, 0.0, 2)
+    assert b["risk_level"] == "NOT_EVALUATED" and b["compliance_status"] == audit.IDLE_TEXT

@@ -15,6 +15,7 @@ SIGNED_FIELDS = ("timestamp", "user_id", "run_id", "action", "details")  # fixed
 # From which privacy score on a run counts as safe, and the two status texts.
 SAFE_PRIVACY = 80.0
 PASS_TEXT, FAIL_TEXT = "PRIVACY PROTECTED (PASS)", "ACTION REQUIRED (UNPROTECTED PII)"
+IDLE_TEXT = "DATABASE CONNECTED (PIPELINE NOT STARTED)"
 
 
 def signed_text() -> Column:
@@ -103,21 +104,25 @@ def kpis(runs: DataFrame, logs: DataFrame, snapshots: DataFrame, by: str = "user
     """Dashboard row per user: totals, scores of the active policy, level, status text, audit events.
 
     ``snapshots`` holds the column policies frozen with each user's active run.
+    Every user of any of the three has a row; one without a run is not evaluated.
     """
     totals = records_total(runs, [by])
     executed = runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"))
     events = logs.groupBy(by).agg(F.count(F.lit(1)).alias("audit_events"))
     scored = risk.policy_risk(snapshots, [by]).select(by, "risk_score", "privacy_score", "risk_level")
-    joined = totals.join(executed, by).join(scored, by, "left").join(events, by, "left")
+    users = executed.select(by).union(events.select(by)).union(scored.select(by)).filter(F.col(by).isNotNull()).distinct()
+    joined = users.join(totals, by, "left").join(executed, by, "left").join(scored, by, "left").join(events, by, "left")
+    ran = F.col("runs").isNotNull()
     privacy = F.coalesce("privacy_score", F.lit(100.0))
+    status = F.when(privacy >= SAFE_PRIVACY, PASS_TEXT).otherwise(FAIL_TEXT)
     return joined.select(
         by,
-        "records",
-        "runs",
-        privacy.alias("privacy_score"),
-        F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
-        F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"),
-        F.when(privacy >= SAFE_PRIVACY, PASS_TEXT).otherwise(FAIL_TEXT).alias("compliance_status"),
+        F.when(ran, F.col("records")).otherwise(0).alias("records"),
+        F.coalesce("runs", F.lit(0)).alias("runs"),
+        F.when(ran, privacy).otherwise(0.0).alias("privacy_score"),
+        F.when(ran, F.coalesce("risk_score", F.lit(0.0))).otherwise(0.0).alias("risk_score"),
+        F.when(ran, F.coalesce("risk_level", F.lit("LOW"))).otherwise("NOT_EVALUATED").alias("risk_level"),
+        F.when(ran, status).otherwise(IDLE_TEXT).alias("compliance_status"),
         F.coalesce("audit_events", F.lit(0)).alias("audit_events"),
     )
 

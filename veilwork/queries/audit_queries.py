@@ -173,11 +173,11 @@ def mean_scores(t):
     FROM r LEFT JOIN pts ON pts.policy_id = r.user_id LEFT JOIN l ON l.user_id = r.user_id""",
 )
 def kpis(t):
-    """Dashboard row per user from runs, audit entries and the active policy."""
+    """Dashboard row per user from runs, audit entries and the active policy; as in the SQL, of users with runs."""
     runs = audit.run_versions(frame(t, "runs"))
     logs = frame(t, "audit").withColumn("user_id", F.split("user_id", "_")[1].cast("long"))
     snapshots = frame(t, "fields").withColumn("user_id", F.col("policy_id"))
-    return audit.kpis(runs, logs, snapshots)
+    return audit.kpis(runs, logs, snapshots).filter("runs > 0")
 
 
 @query(
