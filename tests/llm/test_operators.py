@@ -286,6 +286,14 @@ def test_html_blocks_and_boilerplate(spark):
     assert found == {**{i: (t, len(t)) for i, t in enumerate(pages.values())}, 99: ("", 0)}
 
 
+def test_deep_pages_keep_their_structure():
+    page = "<div><article>" + "<div>" * 5000 + "x" + "</div>" * 5000 + "<section>after</section></article><nav>n</nav>"
+    blocks = html_text.in_order(html_text.parse(page))
+    above = {b.tag: b.parent.tag for b in blocks if b.tag in ("section", "nav", "article")}
+    assert above == {"article": "div", "section": "article", "nav": "div"} and len(blocks) == 5005
+    html_text.parse("<blockquote>" * 50_000 + "</p></div><td>" * 50_000)
+
+
 def test_messages_equal_enumeration():
     """Sum-product on a small tree against summing over all states."""
     model = html_text.train()

@@ -13,8 +13,7 @@ Scripts, styles, comments and the controls of forms hold no text at all.
 Character references are decoded, white space within a block becomes one space,
 blocks are joined by an empty line in the order of the page.  A null or empty
 page, and one without content, gives the empty string.  Nothing is cut, however
-long; a page nested deeper than ``DEEP`` keeps its text but not its structure
-below.  Pages are independent rows; repeated rows give repeated results.
+long or deeply nested.  Pages are independent rows; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from pyspark.sql import DataFrame
 from veilwork.llm.html_training import PAGES
 from veilwork.llm.shared import table
 
-DEEP = 2000
 # What HTML says about elements.
 BLOCKS = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -68,8 +66,17 @@ class Block:
 def parse(page: str) -> Block:
     """The block tree of a page; tolerant of unclosed and stray tags."""
     root = here = Block("html", "", None)
-    depth, at, in_link, silent, level = 0, 0, False, "", 0
+    depth, at, in_link, silent = 0, 0, False, ""
     size = len(page)
+    opened = Counter()  # open blocks by tag, so that a stray tag does not climb a deep page in vain
+
+    def closed(upto: Block) -> Block:
+        node = here
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+        return upto
+
     while at < size:
         if silent:  # raw text and controls: on to the end tag
             end = re.compile(rf"</{silent}\s*>|</{silent}(?=[\s/])[^>]*>", re.IGNORECASE).search(page, at)
@@ -93,13 +100,11 @@ def parse(page: str) -> Block:
         if m.group(1):
             if name == "a":
                 in_link = False
-            elif name in BLOCKS:
+            elif opened[name]:
                 node = here
-                while node is not root and node.tag != name:
+                while node.tag != name:
                     node = node.parent
-                if node is not root:
-                    here = node.parent
-                    level = max(0, level - 1)
+                here = closed(node.parent)
             elif name == "br":
                 here.parts.append(" ")
             continue
@@ -118,18 +123,18 @@ def parse(page: str) -> Block:
             if name == "body":
                 root.attributes = m.group(3)
                 continue
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened["p"]:
                 node = here
                 while node is not root and node.tag not in SCOPES and node.tag != "p" and node.tag != "li":
                     node = node.parent
                 if node.tag == "p":
-                    here = node.parent
-            if name in SIBLINGS:
+                    here = closed(node.parent)
+            if name in SIBLINGS and any(opened[x] for x in SIBLINGS[name]):
                 node = here
                 while node is not root and node.tag not in SCOPES and node.tag not in SIBLINGS[name]:
                     node = node.parent
                 while node.tag in SIBLINGS[name]:
-                    here = node = node.parent
+                    here = node = closed(node.parent)
             if name == "hr":
                 here.parts.append(Block("hr", "", here))
                 continue
@@ -137,9 +142,8 @@ def parse(page: str) -> Block:
             new = Block(name, m.group(3), here)
             here.parts.append(new)
             here.children.append(new)
-            level += 1
-            if level <= DEEP:
-                here = new
+            opened[name] += 1
+            here = new
     return root
 
 
