@@ -14,6 +14,7 @@ from veilwork.llm.lines import op5_line_dedup
 from veilwork.llm.minhash import op4_minhash_dedup
 from veilwork.llm.mixing import OP10_SQL, op10_mix_sources
 from veilwork.llm.quality import op8_quality_rules
+from veilwork.llm.recompression import op13_periodic_runs
 from veilwork.llm.suffixes import op3_suffix_dedup
 from veilwork.llm.topk import OP2_SQL, op2_exact_topk
 
@@ -21,7 +22,7 @@ from veilwork.llm.topk import OP2_SQL, op2_exact_topk
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe, op2_exact_topk, op3_suffix_dedup, op4_minhash_dedup, op5_line_dedup, op6_html_text, op7_license_scan,
-        op8_quality_rules, op9_language_id, op10_mix_sources,
+        op8_quality_rules, op9_language_id, op10_mix_sources, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
