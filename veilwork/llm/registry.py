@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm.bpe import op1_byte_bpe
 from veilwork.llm.collocations import OP11_SQL, op11_collocations
+from veilwork.llm.disclosure import op12_disclosure
 from veilwork.llm.html_text import op6_html_text
 from veilwork.llm.langid import op9_language_id
 from veilwork.llm.licenses import OP7_SQL, op7_license_scan
@@ -23,7 +24,7 @@ from veilwork.llm.topk import OP2_SQL, op2_exact_topk
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe, op2_exact_topk, op3_suffix_dedup, op4_minhash_dedup, op5_line_dedup, op6_html_text, op7_license_scan,
-        op8_quality_rules, op9_language_id, op10_mix_sources, op11_collocations, op13_periodic_runs,
+        op8_quality_rules, op9_language_id, op10_mix_sources, op11_collocations, op12_disclosure, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
