@@ -36,7 +36,8 @@ from veilwork.llm.words import MIXER, among, bit_table, byte_set, chunks, hashes
 
 SUPPORT = 30  # least count of a phrase in its language
 LONGEST = 4  # words of a phrase, at most
-SHARDS = 8  # logical shards; results don't depend on them
+SHARDS = 4  # logical shards; results don't depend on them
+CHUNK_BYTES = 4 << 20  # texts that a task counts at once
 BITS = 26  # a bit table has 2**26 bits (8 MB)
 SHARD_SHIFT = 0x9E3779B1  # slots of different shards are that far apart
 CLOSED_PERCENT = 80  # a phrase is dropped for a longer one with so many percent of its count
@@ -110,43 +111,48 @@ def _arrays(tables: list) -> list[np.ndarray]:
 
 
 def local_counts(docs: DataFrame, tables: list, bits: int) -> DataFrame:
-    """``(lang, shard, key, count)`` of the phrases one word longer than the tables go."""
-    size = len(tables) + 1
+    """``(tongue, shard, key, count)`` of the phrases one word longer than the tables go.
+
+    ``tongue`` is a hash of the language, so that rows are narrow; two
+    languages of one hash would share a lowered support, which stays low enough.
+    """
 
     def run(batches):
         held = _arrays(tables)
         for batch in batches:
-            for part in chunks(batch, 2):
+            for part in chunks(batch, 2, CHUNK_BYTES):
                 pieces = Pieces(part.column(0), part.column(2))
                 shard = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[pieces.row]
                 keys, live = list(pieces.live(held, bits, shard * SHARD_SHIFT))[-1]
                 at = np.flatnonzero(live)
-                group = (pieces.lang[at] << 32 | shard[at]).astype(np.int64)
-                code, names = pd.factorize(mixed(keys[at] + group.astype(np.uint64)))
-                first = np.zeros(len(names), np.int64)
-                first[code[::-1]] = at[::-1]
-                columns = [
-                    pieces.langs.take(pa.array(pieces.lang[first])),
-                    pa.array(shard[first].astype(np.int32)),
-                    pa.array(keys[first].astype(np.int64)),
-                    pa.array(np.bincount(code, minlength=len(names)).astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "key", "count"])
-
-    if size > 1:
-        docs = docs.where(F.col("text") != "")
-    counted = docs.select("lang", "shard", "text").mapInArrow(run, "lang string, shard int, key long, count long")
-    return counted.groupBy("lang", "shard", "key").agg(F.sum("count").alias("count"))
+                counts = np.ones(len(at), np.int64)
+                if not held:  # words recur within a chunk, phrases hardly do
+                    code, names = pd.factorize(mixed(keys[at] + shard[at].astype(np.uint64)))
+                    counts = np.bincount(code, minlength=len(names))
+                    first = np.zeros(len(names), np.int64)
+                    first[code[::-1]] = at[::-1]
+                    at = first
+                columns = [pieces.seed[at].astype(np.int64), shard[at].astype(np.int32), keys[at].astype(np.int64), counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tongue", "shard", "key", "count"])
+
+    counted = docs.select("lang", "shard", "text").mapInArrow(run, "tongue long, shard int, key long, count long")
+    return counted.groupBy("tongue", "shard", "key").agg(F.sum("count").alias("count"))
 
 
 def global_counts(docs: DataFrame, tables: list, bits: int) -> DataFrame:
-    """``(lang, size, phrase, a)``: exact counts of all phrases whose bits, and those of their parts, are set."""
+    """``(lang, size, phrase, a)``: exact counts of all phrases whose bits, and those of their parts, are set.
+
+    Rows of size 0 count all words of a language.
+    """
 
     def run(batches):
         held = _arrays(tables)
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, CHUNK_BYTES):
                 pieces = Pieces(part.column(0), part.column(1))
+                words = np.bincount(pieces.lang, minlength=len(pieces.langs))
+                none = [pa.array(np.zeros(len(words), np.int32)), pa.array([""] * len(words), pa.string()), pa.array(words.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pieces.langs, *none], names=["lang", "size", "phrase", "count"])
                 tested = list(pieces.live(held, bits, 0))[1::2]
                 for size, (_, live) in enumerate(tested, 1):
                     lang, phrase, counts = pieces.phrases(np.flatnonzero(live), size)
@@ -172,22 +178,22 @@ def mine(
     shard = F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(shards)).cast("int")
     docs = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), shard.alias("shard"))
     local = written(local_counts(docs, [], bits))
-    shares = local.groupBy("lang", "shard").agg(F.sum("count").alias("words"))
-    sizes = written(shares.groupBy("lang").agg(F.sum("words").alias("n")))
+    shares = local.groupBy("tongue", "shard").agg(F.sum("count").alias("words"))
+    n = shares.groupBy("tongue").agg(F.sum("words").alias("n"))
     lowered = F.expr(f"cast(({support} * words + n - 1) div n as long)")  # rounded up
-    lowered = written(shares.join(sizes, "lang").select("lang", "shard", lowered.alias("lowered")))
+    lowered = written(shares.join(n, "tongue").select("tongue", "shard", lowered.alias("lowered")))
     tables, found = [], []
     for size in range(1, longest + 1):
         if size > 1:
             local = local_counts(docs, tables, bits)
-        frequent = written(local.join(lowered, ["lang", "shard"]).where(F.col("count") >= F.col("lowered")).select("shard", "key"))
+        frequent = written(local.join(lowered, ["tongue", "shard"]).where(F.col("count") >= F.col("lowered")).select("shard", "key"))
         found.append(frequent)
         if size < longest:
             place = F.pmod(F.shiftrightunsigned("key", 24) + F.col("shard") * F.lit(SHARD_SHIFT), F.lit(1 << bits))
             tables.append(spark.sparkContext.broadcast(bit_table(frequent.select(place.alias("slot")), bits)))
     united = [spark.sparkContext.broadcast(bit_table(f.select(slot_of(F.col("key"), bits).alias("slot")), bits)) for f in found]
-    phrases = global_counts(docs, united, bits).where(F.col("a") >= support)
-    return written(phrases), sizes
+    counted = written(global_counts(docs, united, bits).where((F.col("a") >= support) | (F.col("size") == 0)))
+    return counted.where("size > 0"), counted.where("size = 0").select("lang", F.col("a").alias("n"))
 
 
 def scored(phrases: DataFrame, scale: int = 2_000_000) -> DataFrame:

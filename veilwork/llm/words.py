@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 16 << 20  # texts that are handled at once; one longer text is a chunk of its own
+CHUNK_BYTES = 2 << 20  # texts that are handled at once; one longer text is a chunk of its own
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
