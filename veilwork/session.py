@@ -8,6 +8,7 @@ only fills in what a local test run needs, and lineage is cut with
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,21 +50,32 @@ def get_session(
     return keep_methods_compiled(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the cluster's shared folder.
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a folder of its own; on a cluster a missing setting is an
-    error, because a machine-local folder does not survive a lost executor.
+    Only a local master may fall back to a folder of its own; on a cluster a
+    missing setting is an error, because a machine-local folder does not
+    survive a lost executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
+        return folder
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="veilwork-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into the cluster's shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
