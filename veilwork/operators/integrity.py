@@ -173,14 +173,14 @@ def referential_subset(
 
 
 def load_levels(tables: Iterable[str], edges: Iterable[tuple[str, str]]) -> list[tuple[str, int]]:
-    """Load order from foreign keys: ``(table, level)``, parents before children.
+    """Load order of a few declared tables: ``(table, level)``, parents before children.
 
-    Runs on catalog rows (one per foreign key), so its size is that of the
-    schema.  Tables left in a cycle share one last level.
+    Tables in a cycle, and those behind one, share one last level; a table
+    that references itself is no cycle.
     """
     waiting = {t: set() for t in tables}
     for child, parent in edges:
-        if child in waiting and parent in waiting:
+        if child in waiting and parent in waiting and child != parent:
             waiting[child].add(parent)
     done: set[str] = set()
     result, level = [], 0
@@ -194,13 +194,35 @@ def load_levels(tables: Iterable[str], edges: Iterable[tuple[str, str]]) -> list
     return result
 
 
+def load_order_of(tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(table_name, level)`` from ``tables (table_name)`` and ``edges (child, parent)``, as a frame.
+
+    A recursive query follows the edges from every table.  A table's level is
+    its longest way from a table without parents.  A way as long as there are
+    tables must repeat one: such tables are in a cycle or behind one, and
+    share the level after all others.  Bounded by the schema, never by rows.
+    """
+    spark = tables.sparkSession
+    return spark.sql(
+        """
+        WITH RECURSIVE known AS (SELECT DISTINCT table_name FROM {tables}),
+        steps AS (SELECT DISTINCT child, parent FROM {edges} JOIN known a ON a.table_name = child JOIN known b ON b.table_name = parent
+          WHERE child <> parent),
+        ways(table_name, level) AS (
+          SELECT table_name, 0 FROM known
+          UNION ALL
+          SELECT steps.child, ways.level + 1 FROM ways JOIN steps ON steps.parent = ways.table_name
+          WHERE ways.level < (SELECT count(*) FROM known)),
+        longest AS (SELECT table_name, max(level) AS level FROM ways GROUP BY table_name),
+        total AS (SELECT (SELECT count(*) FROM known) AS n, coalesce((SELECT max(level) FROM longest WHERE level < (SELECT count(*) FROM known)), -1) AS last)
+        SELECT table_name, cast(CASE WHEN level < (SELECT n FROM total) THEN level ELSE (SELECT last + 1 FROM total) END AS int) AS level FROM longest
+        """,
+        tables=tables,
+        edges=edges,
+    )
+
+
 def load_order(catalog: DataFrame) -> DataFrame:
     """Load levels of the tables in a catalog with declared foreign keys."""
-    tables = [r["table_name"] for r in catalog.select("table_name").distinct().collect()]
-    edges = [
-        (r["table_name"], r["fk_table"])
-        for r in catalog.filter("fk_table is not null").select("table_name", "fk_table").distinct().collect()
-    ]
-    return catalog.sparkSession.createDataFrame(
-        load_levels(tables, edges), "table_name string, level int"
-    )
+    edges = catalog.filter("fk_table is not null").select(F.col("table_name").alias("child"), F.col("fk_table").alias("parent"))
+    return load_order_of(catalog.select("table_name"), edges)
