@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import hmac_sha256
-from ..operators.ordered import per_group_value, previous_value, row_numbers, salted_lookup
+from ..operators.ordered import per_group_value, previous_value, row_numbers
 from . import risk
 
 SIGNED_FIELDS = ("timestamp", "user_id", "run_id", "action", "details")  # fixed values, in this order
@@ -33,7 +33,7 @@ def tampered(logs: DataFrame, secret: str | bytes) -> DataFrame:
     return logs.filter(~F.col("audit_hash").eqNullSafe(hmac_sha256(signed_text(), secret)))
 
 
-def elapsed(logs: DataFrame, salts: int = 8) -> DataFrame:
+def elapsed(logs: DataFrame, salts: int | None = None) -> DataFrame:
     """Milliseconds since the first entry of the run, and the same as text.
 
     The run's start is one aggregate per run, looked up with salted keys: a run
@@ -65,12 +65,10 @@ def drop_repeats(
 
 
 def run_versions(
-    runs: DataFrame, keys: Sequence[str] = ("user_id",), bucket: Column | None = None, salts: int = 8
+    runs: DataFrame, keys: Sequence[str] = ("user_id",), bucket: Column | None = None
 ) -> DataFrame:
     """Version number (oldest is 1), newest is current, label as shown in the history."""
-    numbered = row_numbers(runs, keys, ["timestamp", "run_id"], "version_no", bucket)
-    total = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    full = salted_lookup(numbered, {k: F.col(k) for k in keys}, total, ["_n"], salts)
+    full = row_numbers(runs, keys, ["timestamp", "run_id"], "version_no", bucket, "_n")
     current = F.col("version_no") == F.col("_n")
     label = F.concat(
         F.lit("v"), F.col("version_no").cast("string"),
@@ -86,11 +84,14 @@ def run_versions(
 
 
 def upsert_runs(history: DataFrame, new: DataFrame, keys: Sequence[str] = ("user_id", "run_id")) -> DataFrame:
-    """One row per run: the latest record of a run id wins; versions are renumbered afterwards."""
-    both = history.unionByName(new)
-    rest = [c for c in both.columns if c not in keys]
-    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "timestamp").alias("r"))
-    return latest.select(*keys, "r.*").select(*both.columns)
+    """One row per run: the latest record of a run id wins; versions are renumbered afterwards.
+
+    Of records with the same time the new one wins, then that with the greatest digest.
+    """
+    both = history.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in history.columns if c not in keys]
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("timestamp", "_new", F.xxhash64(*rest))).alias("r"))
+    return latest.select(*keys, "r.*").select(*history.columns)
 
 
 def records_total(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
