@@ -62,9 +62,10 @@ def add_noise(
     return F.greatest(whole, F.lit(0.0)) if kind == "age" else whole
 
 
-def shift_date(value: Column, text: Column, days: float) -> Column:
-    """Move a date by a Laplace draw of scale ``days``."""
-    return F.date_add(value, F.round(laplace(text, F.lit(float(days)))).cast("int"))
+def shift_date(value: Column, text: Column, days: float, timed: bool = False) -> Column:
+    """Move a date, or with ``timed`` a timestamp at its time of day, by a Laplace draw of scale ``days``."""
+    drawn = F.round(laplace(text, F.lit(float(days)))).cast("int")
+    return value + F.make_dt_interval(drawn) if timed else F.date_add(value, drawn)
 
 
 def fixed_factor(value: Column) -> Column:

@@ -84,6 +84,7 @@ Builder = Callable[[Site], Column]
 _REGISTRY: dict[str, Builder] = {}
 
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+TIME_TYPES = tuple(t().simpleString() for t in DATES)
 
 # Techniques that leave a column as it is.
 KEEP = ("NO_CHANGE", "NONE", "PASSTHROUGH")
@@ -165,7 +166,7 @@ def _noise(site: Site) -> Column:
             raise ValueError(
                 f"noise on date column {rule.table_name}.{rule.column_name}: set date_noise_days"
             )
-        return noise.shift_date(site.value, text, site.settings.date_noise_days)
+        return noise.shift_date(site.value, text, site.settings.date_noise_days, not isinstance(site.dtype, T.DateType))
     number = site.value.try_cast("double")
     return noise.add_noise(number, text, site.scale, rule.pii_type, rule.column_name)
 
@@ -205,9 +206,9 @@ def rewrite(site: Site) -> Column:
 
 
 def destination_type(source_type: str, technique: str | None) -> str:
-    """Type name of a column after the technique."""
+    """Type name of a column after the technique; dates and times under noise stay what they are."""
     name = (technique or "NO_CHANGE").strip().upper()
-    if name in KEEP:
+    if name in KEEP or name == "DIFFERENTIAL_PRIVACY" and source_type.strip().lower() in TIME_TYPES:
         return source_type
     return "NUMERIC" if name == "DIFFERENTIAL_PRIVACY" else "TEXT"
 
@@ -215,8 +216,9 @@ def destination_type(source_type: str, technique: str | None) -> str:
 def destination_type_column(source_type: Column, technique: Column) -> Column:
     """The same rule over a policy table."""
     name = F.upper(F.trim(F.coalesce(technique, F.lit("NO_CHANGE"))))
+    moved = (name == "DIFFERENTIAL_PRIVACY") & F.lower(F.trim(source_type)).isin(*TIME_TYPES)
     return (
-        F.when(name.isin(*KEEP), source_type)
+        F.when(name.isin(*KEEP) | moved, source_type)
         .when(name == "DIFFERENTIAL_PRIVACY", F.lit("NUMERIC"))
         .otherwise(F.lit("TEXT"))
     )

@@ -14,22 +14,31 @@ from ..functions.techniques import ColumnRule, Settings, Site, needs_scale, rewr
 RULE_FIELDS = ("table_name", "column_name", "technique", "pii_type", "is_pii", "is_pk", "fk_table", "fk_column")
 
 
-def rules_from(policy: DataFrame, table_name: str | None = None) -> list[ColumnRule]:
-    """Policy rows as rules.  Bounded by the number of columns of the schema, never by data rows."""
-    rows = policy if table_name is None else policy.filter(F.col("table_name") == table_name)
-    return resolve_scopes(
-        ColumnRule(
-            row["table_name"],
-            row["column_name"],
-            row["technique"],
-            row["pii_type"],
-            bool(row["is_pii"]),
-            bool(row["is_pk"]),
-            row["fk_table"],
-            row["fk_column"],
-        )
-        for row in rows.select(*RULE_FIELDS).collect()
+def rules_from(policy: DataFrame, table_name: str | None = None, strict: bool = False) -> list[ColumnRule]:
+    """Policy rows as rules.  Bounded by the number of columns of the schema, never by data rows.
+
+    Chains of foreign keys are resolved over the whole policy, also where the
+    rules of one table are asked for: its columns must be replaced as their
+    roots in other tables are.
+    """
+    rows = policy.select(*RULE_FIELDS).collect()
+    rules = resolve_scopes(
+        (
+            ColumnRule(
+                row["table_name"],
+                row["column_name"],
+                row["technique"],
+                row["pii_type"],
+                bool(row["is_pii"]),
+                bool(row["is_pk"]),
+                row["fk_table"],
+                row["fk_column"],
+            )
+            for row in rows
+        ),
+        strict,
     )
+    return [r for r in rules if table_name is None or r.table_name == table_name]
 
 
 def resolve_scopes(rules: Iterable[ColumnRule], strict: bool = False) -> list[ColumnRule]:
@@ -145,7 +154,7 @@ def preview(
     scales: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Before and after, side by side, for the first rows by key (the review view)."""
-    own = [r for r in rules if r.table_name == table_name]
+    own = [r for r in resolve_scopes(rules, settings.strict) if r.table_name == table_name]
     keys = list(row_key) or [r.column_name for r in own if r.is_primary_key]
     if not keys:
         raise ValueError(f"a preview of {table_name} needs a row key: without an order its rows are not defined")

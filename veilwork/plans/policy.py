@@ -128,6 +128,33 @@ def generate_policy(detections: DataFrame, catalog: DataFrame, keys: Sequence[st
     )
 
 
+def keep_keys_apart(policy: DataFrame, hops: int = 8) -> DataFrame:
+    """The policy with one technique along every chain of keys that it rewrites.
+
+    A chain is a referenced column with all columns that reference it, over
+    at most ``hops`` tables.  If any of them is to be changed, all are hashed:
+    masks and general values would merge keys, and different techniques would
+    part them.  Primary keys without references count as chains of one.
+    """
+    links = policy.filter("fk_table is not null").select(
+        F.col("table_name").alias("_ft"), F.col("column_name").alias("_fc"), F.col("fk_table").alias("_tt"), F.col("fk_column").alias("_tc")
+    )
+    rooted = policy.withColumns({"_t": F.coalesce("fk_table", "table_name"), "_c": F.coalesce("fk_column", "column_name")})
+    for _ in range(hops - 1):
+        rooted = rooted.join(links, (F.col("_t") == F.col("_ft")) & (F.col("_c") == F.col("_fc")), "left").select(
+            *policy.columns, F.coalesce("_tt", "_t").alias("_t"), F.coalesce("_tc", "_c").alias("_c")
+        )
+    changed = F.col("technique") != "NO_CHANGE"
+    is_key = F.coalesce("is_pk", F.lit(False)) | F.col("fk_table").isNotNull()
+    chains = rooted.groupBy("_t", "_c").agg(F.bool_or(changed).alias("_any"), F.bool_or(is_key).alias("_key"))
+    hashed = F.col("_any") & F.col("_key") & (F.col("technique") != "HASHING")
+    reason = reason_text(F.lit(True), F.col("pii_type"), F.lit("HASHING"), F.col("confidence"))
+    swaps = {"technique": F.lit("HASHING"), "reason": reason}
+    return rooted.join(chains, ["_t", "_c"]).select(
+        *[F.when(hashed, swaps[c]).otherwise(F.col(c)).alias(c) if c in swaps else F.col(c) for c in policy.columns]
+    )
+
+
 def policy_totals(policy: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Columns, personal columns and their share."""
     total, pii = F.count(F.lit(1)), F.count_if("is_pii")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.techniques import Settings
 from ..operators import detect
 from ..operators.apply import apply_policy, frozen_scales, row_text, rules_from
+from ..operators.ordered import position
 from ..session import keep_methods_compiled
 from ..sources import sinks
 from ..sources.catalog import catalog, columns_of
@@ -36,15 +37,21 @@ def draft_policy(
 ) -> DataFrame:
     """Policy proposed for whole tables: pattern verdicts, external answers, name safety net.
 
-    ``positions`` names a numeric column per table that orders its values.
+    ``positions`` names a column per table that orders its values (a key of any
+    type).  Every catalog column of the tables has a row, also of empty ones.
+    The draft can be run: keys get a technique that keeps them apart.
     """
-    cells = detect.long_forms({t: (df, F.col(positions[t]).cast("long")) for t, df in tables.items()})
-    verdicts = detect.column_verdicts(cells)
+    cells = detect.long_forms({t: (df, position(df, positions[t])) for t, df in tables.items()})
+    known = catalog_df.filter(F.col("table_name").isin(*tables)).select("table_name", "column_name")
+    verdicts = known.join(detect.column_verdicts(cells), ["table_name", "column_name"], "left").select(
+        "table_name", "column_name", F.coalesce("is_pii", F.lit(False)).alias("is_pii"), "pii_type",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "technique", F.coalesce("matches", F.lit(0)).alias("matches"),
+    )
     if external is not None:
         answers = detect.fill_missing_answers(catalog_df, external)
         verdicts = detect.merge_detections(answers, verdicts)
     found = detect.upper_labels(detect.safety_net(verdicts))
-    return policies.generate_policy(found, catalog_df)
+    return policies.keep_keys_apart(policies.generate_policy(found, catalog_df))
 
 
 def anonymize_tables(
@@ -68,7 +75,7 @@ def anonymize_tables(
     keep_methods_compiled(spark)
     for source in sources:
         require_distinct(source, target)
-    rules = rules_from(policy)
+    rules = rules_from(policy, strict=settings.strict)
     scales: dict[str, dict[str, float]] = {}
     for name, df in tables.items():
         own = [r for r in rules if r.table_name == name]
@@ -98,7 +105,7 @@ def resume_table(
     The destination's key column holds rewritten keys; the same expression maps
     the source keys before the comparison.
     """
-    rules = rules_from(policy, name)
+    rules = rules_from(policy, name, settings.strict)
     marked = source.withColumn("_row", row_text([key]))
     done = apply_policy(marked, name, rules, settings, [key], scales)
     return sinks.rows_to_resume(done, loaded, key, F.col(key)).drop("_row")

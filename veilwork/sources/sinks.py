@@ -42,7 +42,7 @@ def conform(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
         column = F.col(f.name)
         if kind == "TEXT" and not isinstance(f.dataType, T.StringType):
             column = column.cast("string")
-        elif kind == "NUMERIC" and not isinstance(f.dataType, T.DoubleType | T.DateType):
+        elif kind == "NUMERIC" and not isinstance(f.dataType, T.DoubleType):
             column = column.cast("double")
         columns.append(column.alias(f.name))
     return df.select(*columns)
@@ -56,8 +56,11 @@ def recreate_table(df: DataFrame, target: str, rules: Sequence[ColumnRule], sour
 
 
 def rows_to_insert(new: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Insert-if-absent: one row per unseen key."""
-    fresh = new.dropDuplicates(list(key))
+    """Insert-if-absent: one row per unseen key; of several new rows that with the least digest, so reruns agree."""
+    rest = [c for c in new.columns if c not in key]
+    fresh = new.distinct()
+    if rest:
+        fresh = new.groupBy(*key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select(*key, "_r.*").select(*new.columns)
     return fresh.join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
