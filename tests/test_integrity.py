@@ -1,5 +1,7 @@
 """Keys, references, the vault and order-dependent operators."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,80 @@ def test_ordered_operators_equal_plain_windows(spark, hot, width):
     assert summed.exceptAll(hot.select("*", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("s"))).count() == 0
     low = ordered.per_group_value(hot, ["grp"], F.min("v"), "low", salts=5)
     assert low.exceptAll(hot.select("*", F.min("v").over(Window.partitionBy("grp")).alias("low"))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "text", "stamp", "wide"])
+def test_sketched_buckets_split_hot_groups_and_hot_values(spark, monkeypatch, kind):
+    """Without a bucket expression the quantiles cut: any type, one value with most rows, null orders."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 40)
+    value = {
+        "int": lambda i: 5 if i % 2 else i, "text": lambda i: f"2024-01-{i % 28:02d}T{i % 24:02d}", "stamp": lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i),
+        "wide": lambda i: float(i) ** 9 if i % 5 else None,
+    }[kind]
+    kinds = {"int": "int", "text": "string", "stamp": "timestamp_ntz", "wide": "double"}
+    rows = [("hot" if i % 3 else None, value(i), i, i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, f"g string, a {kinds[kind]}, b int, v int")
+    cut = ordered.with_sketched_buckets(df, ["a", "b"], 40).withColumnRenamed(ordered.BUCKET, "_b")
+    sizes = [r["count"] for r in cut.groupBy("g", "_b").count().collect()]
+    assert max(sizes) <= 90 and len(sizes) > 8
+    w = Window.orderBy("a", "b")
+    assert cut.withColumn("_p", F.lag("_b").over(w)).filter("_p > _b").count() == 0  # never falls along the order
+    own = Window.partitionBy("g").orderBy("a", "b")
+    numbered = ordered.row_numbers(df, ["g"], ["a", "b"], "n", total="t")
+    plain = df.select("*", F.row_number().over(own).cast("long").alias("n"), F.count("*").over(Window.partitionBy("g")).alias("t"))
+    assert numbered.exceptAll(plain).count() == 0 and numbered.count() == 500
+
+
+def test_ordered_plans_shuffle_the_table_once(spark):
+    """No checkpoint; the rows are exchanged once, the other exchanges move one row per bucket."""
+    from tests.test_plans import simple
+
+    table = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = simple(ordered.row_numbers(table, ["g"], ["id"], "n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    main = text.split("Subquery")[0] if text.index("Join") < text.find("Subquery") else text
+    assert "ExistingRDD" not in text and "SortMergeJoin" in main
+    fine = main[main.index("SortMergeJoin") :]
+    rows = fine[: fine.index("HashAggregate")] if "HashAggregate" in fine else fine
+    assert rows.count("Exchange hashpartitioning") <= 3 and "max_by" not in rows
+
+
+def test_vault_store_first_writer_wins(spark, tmp_path):
+    value = F.col("v")
+    store = vault.VaultStore(str(tmp_path / "v"), 4)
+    scope = vault.scope_name("t", "v")
+    some = lambda *vs: spark.createDataFrame([(v,) for v in vs], "v string")
+    asked = lambda df, prefix, epoch: {r["v"]: r["replacement"] for r in store.assign(df, "v", F.concat(F.lit(prefix), value), scope, KEY, epoch).collect()}
+    assert asked(some("a", "b", "", None, "a"), "one-", 1) == {"a": "one-a", "b": "one-b", "": "", None: None}
+    assert asked(some("b", "c"), "two-", 2) == {"b": "one-b", "c": "two-c"}
+    assert asked(some("a", "b", "c"), "three-", 3) == {"a": "one-a", "b": "one-b", "c": "two-c"}
+    held = store.read(spark)
+    assert held.count() == 3 and {r["original"] for r in vault.reveal(some("one-a", "two-c", "zzz"), "v", held, scope, KEY).collect()} == {"a", "c"}
+    # a run of an earlier epoch that wrote apart: its entries win when they are put
+    late = vault.lookup_or_create(some("c", "d"), "v", spark.createDataFrame([], vault.ENTRY), F.concat(F.lit("zero-"), value), scope, KEY, 0)[1]
+    store.put(late)
+    assert asked(some("c", "d"), "four-", 4) == {"c": "zero-c", "d": "zero-d"}
+
+
+def test_a_vault_writer_that_lost_looks_again(spark, tmp_path, monkeypatch):
+    store = vault.VaultStore(str(tmp_path / "v"), 4)
+    scope, value = vault.scope_name("t", "v"), F.col("v")
+    df = spark.createDataFrame([("a",)], "v string")
+    real, met = vault.VaultStore.put, []
+
+    def other_first(self, entries):
+        if not met:
+            met.append(1)
+            version = real(self, vault.lookup_or_create(df, "v", self.read(spark), F.lit("theirs"), scope, KEY, 1)[1])
+            spark.range(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/_version={version}")  # what a late writer meets
+        return real(self, entries)
+
+    monkeypatch.setattr(vault.VaultStore, "put", other_first)
+    got = store.assign(df, "v", F.lit("ours"), scope, KEY, 2)
+    assert [r["replacement"] for r in got.collect()] == ["theirs"]

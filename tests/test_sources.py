@@ -138,3 +138,35 @@ def test_spread_small(spark, tmp_path):
     assert tables.spread_small(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 1000, 1, 50)
     assert tables.spread_small(wide) is wide
+
+
+def test_drafts_of_text_keys_and_empty_tables_run(spark, tmp_path):
+    """A draft has every column of every table, and a run of it keeps keys joined."""
+    from veilwork.functions.techniques import Settings
+    from veilwork.operators.apply import apply_policy, rules_from
+
+    people = spark.createDataFrame([(f"ABCDE{1000 + i}F", f"n{i}") for i in range(30)], "pan_key string, note string")
+    visits = spark.createDataFrame([(i, f"ABCDE{1000 + i % 20}F") for i in range(60)], "id bigint, visitor string")
+    empty = spark.createDataFrame([], "code string, email string")
+    tables_ = {"people": people, "visits": visits, "empty": empty}
+    keys = [("people", "pan_key", True, None, None, True), ("visits", "id", True, None, None, True), ("visits", "visitor", False, "people", "pan_key", False)]
+    cat = catalog.catalog(catalog.columns_of(spark, tables_), catalog.declared_keys(spark, keys))
+    policy = draft_policy(tables_, cat, {"people": "pan_key", "visits": "id", "empty": "code"})
+    got = {(r["table_name"], r["column_name"]): r["technique"] for r in policy.collect()}
+    assert set(got) == {("people", "pan_key"), ("people", "note"), ("visits", "id"), ("visits", "visitor"), ("empty", "code"), ("empty", "email")}
+    assert got["people", "pan_key"] == got["visits", "visitor"] == "HASHING" and got["visits", "id"] == "NO_CHANGE"
+    done = {n: apply_policy(df, n, rules_from(policy, n, strict=True), Settings("s"), ["id"] if n == "visits" else ()) for n, df in tables_.items()}
+    assert done["visits"].join(done["people"], F.col("visitor") == F.col("pan_key")).count() == 60
+
+
+def test_documents_keep_every_field(spark):
+    from veilwork.sources import policy_docs
+
+    doc = """{"column_policies": [{"table_name": "t", "column_name": "a", "is_primary_key": true, "unknown": {"x": [1, 2]}, "confidence": "0.5"},
+      {"table_name": "t", "column_name": "b", "is_foreign_key": false, "foreign_key_details": {"referred_table": "u", "referred_columns": ["c"]}},
+      {"table_name": "t", "column_name": "c", "foreign_key_details": {"referred_table": "u", "referred_columns": ["c", "d"]}, "admin_comments": "ok"}]}"""
+    docs = spark.createDataFrame([("p", doc), ("bad", "{not json"), ("none", None), ("empty", "{}")], "policy_id string, doc string")
+    got = {r["column_name"]: r for r in policy_docs.policy_rows(docs).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["is_pk"] is True and got["a"]["confidence"] == 0.5
+    assert '"x":[1,2]' in got["a"]["entry"]
+    assert (got["b"]["fk_table"], got["c"]["fk_table"], got["c"]["fk_column"], got["c"]["admin_comment"]) == (None, "u", "c", "ok")

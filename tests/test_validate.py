@@ -227,3 +227,51 @@ def test_kpis_of_users_without_runs(spark):
     b = got["b"]
     assert (b["records"], b["runs"], b["privacy_score"], b["risk_score"], b["audit_events"]) == (0, 0, 0.0, 0.0, 2)
     assert b["risk_level"] == "NOT_EVALUATED" and b["compliance_status"] == audit.IDLE_TEXT
+
+
+def test_written_tables_are_read_once(spark, customers, monkeypatch):
+    """All validators share one profile; what was scanned and tried is reported."""
+    calls = []
+    real = validate.profile_table
+    monkeypatch.setattr(validate, "profile_table", lambda *a: calls.append(a[1]) or real(*a))
+    run = _run(spark, customers)
+    results, findings = validate.run_validators(run)
+    assert calls == ["customers"] and results.count() > 4
+    metrics = validate.scan_metrics(run.profile).first()
+    assert metrics["rows_scanned"] == customers.count() and metrics["columns_scanned"] == len(customers.columns)
+    assert metrics["patterns_tried"] > metrics["values_scanned"] > 0
+    tried = validate.exploit_metrics(run.policy, findings).first()
+    assert tried["attempts"] == run.policy.count() + 1
+    assert tried["successful_exploits"] == findings.filter("validator in ('exploit', 'linkage')").count()
+
+
+def test_validators_need_no_shared_folder(spark, customers, monkeypatch):
+    import veilwork.session
+
+    def refuse(*_):
+        raise RuntimeError("set spark.checkpoint.dir")
+
+    monkeypatch.setattr(veilwork.session, "shared_root", refuse)
+    results, findings = validate.run_validators(_run(spark, customers))
+    assert findings.filter("code = 'VALIDATOR_ERROR'").count() == 0
+
+
+def test_dates_under_noise_keep_their_type(spark):
+    import datetime as dt
+
+    from veilwork.functions.techniques import ColumnRule, Settings
+    from veilwork.operators.apply import apply_policy
+    from veilwork.sources.catalog import catalog, columns_of, declared_keys
+    from veilwork.sources.sinks import conform
+
+    rows = [(i, dt.date(2020, 1, 1), dt.datetime(2020, 1, 1, 7, 30)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, day date, at timestamp").withColumn("local", F.col("at").cast("timestamp_ntz"))
+    rules = [ColumnRule("t", "id", "NO_CHANGE", is_primary_key=True)] + [ColumnRule("t", c, "DIFFERENTIAL_PRIVACY", "DOB") for c in ("day", "at", "local")]
+    done = conform(apply_policy(df, "t", rules, Settings("s", date_noise_days=30.0)), rules)
+    assert done.dtypes == df.dtypes
+    assert done.filter("date_format(at, 'HH:mm') = '07:30' and date_format(local, 'HH:mm') = '07:30'").count() == 50
+    assert done.select("day").distinct().count() > 10
+    noisy = spark.createDataFrame([("t", c, "DIFFERENTIAL_PRIVACY") for c in ("day", "at", "local")], "table_name string, column_name string, technique string")
+    keys = declared_keys(spark, [("t", "id", True, None, None, True)])
+    source, target = (catalog(columns_of(spark, {"t": d}), keys) for d in (df, done))
+    assert validate.schema_findings(source, noisy, target).count() == 0

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,3 +170,102 @@ def upper_labels(detections: DataFrame) -> DataFrame:
     return detections.withColumns(
         {"pii_type": F.upper("pii_type"), "technique": F.upper("technique")}
     )
+
+
+# --- detectors as plug-ins --------------------------------------------------------------------
+
+Detector = Callable[[DataFrame], DataFrame]
+_DETECTORS: dict[str, Detector] = {}
+VERDICT = "table_name string, column_name string, is_pii boolean, pii_type string, confidence double, technique string, matches long"
+
+
+def register_detector(name: str) -> Callable[[Detector], Detector]:
+    """Add a detector: from cells (``long_form``) to one verdict per column, in the form of ``VERDICT``."""
+
+    def add(build: Detector) -> Detector:
+        _DETECTORS[name] = build
+        return build
+
+    return add
+
+
+def known_detectors() -> tuple[str, ...]:
+    return tuple(_DETECTORS)
+
+
+register_detector("patterns")(column_verdicts)
+
+
+def expression_detector(pii_type: str, test: Callable[[Column], Column], technique: str, least: float = 0.5) -> Detector:
+    """A detector from a test of one value: a column is of the type if a share of its values passes.
+
+    The share is the confidence.  Null and empty values don't count.
+    """
+
+    def verdicts(cells: DataFrame) -> DataFrame:
+        filled = F.col("value").isNotNull() & (F.col("value") != "")
+        counted = cells.groupBy("table_name", "column_name").agg(
+            F.count_if(filled).alias("n"), F.count_if(filled & F.coalesce(test(F.col("value")), F.lit(False))).alias("matches")
+        )
+        share = F.coalesce(F.col("matches") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
+        hit = (F.col("matches") > 0) & (share >= least)
+        return counted.select(
+            "table_name", "column_name", hit.alias("is_pii"), F.when(hit, F.lit(pii_type)).alias("pii_type"),
+            F.when(hit, share).otherwise(0.0).alias("confidence"), F.when(hit, F.lit(technique)).alias("technique"), "matches",
+        )
+
+    return verdicts
+
+
+def batch_detector(pii_type: str, test: Callable[[Any], Any], technique: str, least: float = 0.5) -> Detector:
+    """The same from a test of Arrow arrays: it gets the values of a batch and returns as many booleans.
+
+    For models that are no Spark expression; values go to Python in Arrow batches, counts come back.
+    """
+
+    def verdicts(cells: DataFrame) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                hit = pa.array(test(batch.column(2)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hit], names=["table_name", "column_name", "value"])
+
+        judged = cells.filter("value is not null and value <> ''").select("table_name", "column_name", "value")
+        judged = judged.mapInArrow(run, "table_name string, column_name string, value boolean")
+        known = cells.select("table_name", "column_name").distinct().withColumn("value", F.lit(None).cast("string"))
+        texts = judged.withColumn("value", F.col("value").cast("string")).unionByName(known)
+        return expression_detector(pii_type, lambda v: v == "true", technique, least)(texts)
+
+    return verdicts
+
+
+def detect_with(cells: DataFrame, detectors: Sequence[str] | None = None) -> DataFrame:
+    """Verdicts of several detectors merged by one rule, one row per column.
+
+    The verdict of the highest confidence decides, of equal ones that of the
+    detector named first.  Every further detector that found the same type adds
+    the bonus of agreement, up to the ceiling; a pattern that nobody confirms
+    loses the penalty of a lone rule.  ``detectors`` holds the names of all
+    that found the column personal, in the order given.
+    """
+    names = list(_DETECTORS if detectors is None else detectors)
+    parts = [
+        _DETECTORS[name](cells).select("table_name", "column_name", "is_pii", "pii_type", "confidence", "technique", F.lit(i).alias("place"))
+        for i, name in enumerate(names)
+    ]
+    found = union_all(parts).withColumn("pii_type", F.lower("pii_type"))
+    best = F.max_by(
+        F.struct("pii_type", "confidence", "technique", "place"), F.when(F.col("is_pii"), F.struct("confidence", (-F.col("place")).alias("p")))
+    )
+    said = F.array_sort(F.collect_list(F.when(F.col("is_pii"), F.struct("place", "pii_type"))))
+    merged = found.groupBy("table_name", "column_name").agg(best.alias("b"), said.alias("said"))
+    agreeing = F.size(F.filter("said", lambda s: s["pii_type"] == F.col("b.pii_type"))) - 1
+    lone = (F.size("said") == 1) & (F.element_at(F.array(*[F.lit(n) for n in names]), F.col("b.place") + 1) == "patterns") & F.lit(len(names) > 1)
+    raised = F.least(F.greatest(F.lit(CEILING), F.col("b.confidence")), F.col("b.confidence") + agreeing * AGREEMENT_BONUS)
+    confidence = F.when(lone, F.greatest(F.lit(0.0), F.col("b.confidence") - LONE_RULE_PENALTY)).otherwise(raised)
+    return merged.select(
+        "table_name", "column_name", F.col("b").isNotNull().alias("is_pii"), F.col("b.pii_type").alias("pii_type"),
+        F.coalesce(confidence, F.lit(0.0)).alias("confidence"), F.col("b.technique").alias("technique"),
+        F.array_join(F.transform("said", lambda s: F.element_at(F.array(*[F.lit(n) for n in names]), s["place"] + 1)), ",").alias("detectors"),
+    )

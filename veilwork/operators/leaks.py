@@ -74,3 +74,33 @@ def non_null_counts(df: DataFrame, table_name: str, columns: Sequence[str]) -> D
     return counts.unpivot([], list(columns), "column_name", "records").select(
         F.lit(table_name).alias("table_name"), "column_name", "records"
     )
+
+
+def profile_table(df: DataFrame, table_name: str, techniques: Mapping[str, str] | None = None) -> DataFrame:
+    """Everything the checks of a written table need, from one pass over it.
+
+    ``(table_name, rows, column_name, records, technique, scanned, pattern,
+    matches)``: a row per column and leak pattern, ``matches`` null where the
+    technique exempts the column.  A single aggregate without grouping keys.
+    """
+    techniques = {k: (v or "NO_CHANGE").upper() for k, v in (techniques or {}).items()}
+    how = {c: techniques.get(c, "NO_CHANGE") for c in df.columns}
+    cells = [(c, p) for c in df.columns for p in LEAK_PATTERNS]
+    hits = {i: F.count_if(leak_hit(F.col(c).cast("string"), p)) for i, (c, p) in enumerate(cells) if how[c] not in SKIPPED_TECHNIQUES}
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
+        *[hit.alias(f"m{i}") for i, hit in hits.items()],
+    )
+    place = {c: i for i, c in enumerate(df.columns)}
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"), F.col(f"n{place[c]}").alias("records"), F.lit(how[c]).alias("technique"),
+                F.lit(i in hits).alias("scanned"), F.lit(p).alias("pattern"),
+                (F.col(f"m{i}") if i in hits else F.lit(None)).cast("long").alias("matches"),
+            )
+            for i, (c, p) in enumerate(cells)
+        ]
+    )
+    return counted.select(F.lit(table_name).alias("table_name"), "rows", F.inline(rows))

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.techniques import ColumnRule, destination_type_column
 from ..operators.integrity import union_all
-from ..operators.leaks import non_null_counts, scan_columns
-from ..session import cut_lineage
+from ..operators.leaks import profile_table
 
 FINDING = (
     "validator string, category string, table_name string, column_name string, code string,"
     "severity string, status string, matches long, message string"
 )
+PROFILE = (
+    "table_name string, rows long, column_name string, records long, technique string, scanned boolean, pattern string, matches long"
+)
 FINDING_COLUMNS = tuple(part.strip().split(" ")[0] for part in FINDING.split(","))
 
 # Points of a validator's status and of a finding's severity, and the floor of a clean run.
@@ -205,6 +208,18 @@ class Run:
     policy_status: str = "APPROVED"
     disabled: frozenset[str] = field(default_factory=frozenset)
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """``leaks.profile_table`` of every written table: read once, whichever validators ask.
+
+        The rows (one per column and pattern) are kept by the driver as values
+        of the plan, so that no validator scans a table again.
+        """
+        parts = [profile_table(df, t, _techniques(self, t)) for t, df in self.target.items()]
+        if not parts:
+            return self.spark.createDataFrame([], PROFILE)
+        return self.spark.createDataFrame(union_all(parts).collect(), PROFILE)
+
 
 Validator = Callable[[Run], DataFrame]
 _VALIDATORS: dict[str, Validator] = {}
@@ -224,7 +239,9 @@ def _techniques(run: Run, table: str) -> dict[str, str]:
 
 @register_validator("row_count")
 def _row_count(run: Run) -> DataFrame:
-    return row_count_findings(table_counts(run.source, run.target))
+    written = run.profile.groupBy("table_name").agg(F.max("rows").alias("target_rows"))
+    source = union_all(df.agg(F.count(F.lit(1)).alias("source_rows")).select(F.lit(t).alias("table_name"), "source_rows") for t, df in run.source.items())
+    return row_count_findings(source.join(written, "table_name", "full_outer"))
 
 
 @register_validator("schema")
@@ -234,9 +251,32 @@ def _schema(run: Run) -> DataFrame:
 
 @register_validator("leak_scan")
 def _leak_scan(run: Run) -> DataFrame:
-    scans = [scan_columns(df, t, techniques=_techniques(run, t)) for t, df in run.target.items()]
-    records = [non_null_counts(df, t, df.columns) for t, df in run.target.items()]
-    return exposure_findings(run.policy, union_all(records)).unionByName(leak_findings(union_all(scans)))
+    records = run.profile.select("table_name", "column_name", "records").distinct()
+    return exposure_findings(run.policy, records).unionByName(leak_findings(run.profile.filter("scanned")))
+
+
+def scan_metrics(profile: DataFrame) -> DataFrame:
+    """What the leak scan looked at per table: rows, columns, values that are not null, and patterns tried on them."""
+    per_column = profile.groupBy("table_name", "column_name").agg(
+        F.max("rows").alias("rows"), F.max("records").alias("records"), F.count_if("scanned").alias("tried"),
+        F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"),
+    )
+    seen = F.col("tried") > 0
+    return per_column.groupBy("table_name").agg(
+        F.max("rows").alias("rows_scanned"),
+        F.count_if(seen).alias("columns_scanned"),
+        F.coalesce(F.sum(F.when(seen, F.col("records"))), F.lit(0)).alias("values_scanned"),
+        F.coalesce(F.sum(F.when(seen, F.col("records") * F.col("tried"))), F.lit(0)).alias("patterns_tried"),
+        F.sum("matches").alias("matches"),
+    )
+
+
+def exploit_metrics(policy: DataFrame, findings: DataFrame) -> DataFrame:
+    """Attempts and successes of the attacker's view: every policy column is tried once, every linkable table once."""
+    tried = policy.select("table_name", "column_name").distinct().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("table_name").alias("t"))
+    worked = findings.filter(F.col("validator").isin("exploit", "linkage")).agg(F.count(F.lit(1)).alias("successful_exploits"))
+    attempts = tried.select((F.col("n") + F.col("t")).alias("n")).scalar()
+    return worked.select(attempts.alias("attempts"), "successful_exploits")
 
 
 @register_validator("exploit")
@@ -257,8 +297,9 @@ def _compliance(run: Run) -> DataFrame:
 def run_validators(run: Run) -> tuple[DataFrame, DataFrame]:
     """All enabled validators: ``(results, findings)``.
 
-    Each one is executed and its findings checkpointed, so a validator that
-    fails turns into a finding of its own and the others still run.
+    Each one is executed and its findings are kept (they follow the schema,
+    not the rows), so a validator that fails turns into a finding of its own
+    and the others still run.
     """
     parts, names = [], []
     for name, build in _VALIDATORS.items():
@@ -266,7 +307,9 @@ def run_validators(run: Run) -> tuple[DataFrame, DataFrame]:
             continue
         names.append((name,))
         try:
-            parts.append(cut_lineage(build(run)))
+            kept = build(run).persist()
+            kept.count()
+            parts.append(kept)
         except Exception as error:  # isolation is the point: any failure becomes a finding
             text = f"Validator failed: {type(error).__name__}: {error}"
             failed = (name, "SYSTEM", None, None, "VALIDATOR_ERROR", "CRITICAL", "FAIL", None, text)

@@ -165,19 +165,23 @@ def mean_scores(t):
     + _EXPOSED.format(by="policy_id")
     + """, r AS (SELECT user_id, CASE WHEN sum(records) FILTER (WHERE rn = 1) = 0 THEN arg_max(records, -rn) ELSE sum(records) FILTER (WHERE rn = 1) END::bigint AS records,
       count(*) AS runs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, run_id DESC) AS rn FROM runs) GROUP BY user_id),
-    l AS (SELECT split_part(user_id, '_', 2)::bigint AS user_id, count(*) AS audit_events FROM audit GROUP BY 1)
-    SELECT r.user_id, records, runs, 100.0::double - coalesce(risk_score, 0.0::double) AS privacy_score, coalesce(risk_score, 0.0::double) AS risk_score,
-    CASE WHEN coalesce(risk_score, 0) = 0 THEN 'LOW' WHEN risk_score < 50 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
-    CASE WHEN 100.0 - coalesce(risk_score, 0) >= 80 THEN 'PRIVACY PROTECTED (PASS)' ELSE 'ACTION REQUIRED (UNPROTECTED PII)' END AS compliance_status,
+    l AS (SELECT split_part(user_id, '_', 2)::bigint AS user_id, count(*) AS audit_events FROM audit GROUP BY 1),
+    u AS (SELECT user_id FROM r UNION SELECT user_id FROM l UNION SELECT policy_id FROM pts)
+    SELECT u.user_id, coalesce(records, 0) AS records, coalesce(runs, 0) AS runs,
+    CASE WHEN runs IS NULL THEN 0.0::double ELSE 100.0::double - coalesce(risk_score, 0.0::double) END AS privacy_score,
+    CASE WHEN runs IS NULL THEN 0.0::double ELSE coalesce(risk_score, 0.0::double) END AS risk_score,
+    CASE WHEN runs IS NULL THEN 'NOT_EVALUATED' WHEN coalesce(risk_score, 0) = 0 THEN 'LOW' WHEN risk_score < 50 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+    CASE WHEN runs IS NULL THEN 'DATABASE CONNECTED (PIPELINE NOT STARTED)'
+      WHEN 100.0 - coalesce(risk_score, 0) >= 80 THEN 'PRIVACY PROTECTED (PASS)' ELSE 'ACTION REQUIRED (UNPROTECTED PII)' END AS compliance_status,
     coalesce(audit_events, 0) AS audit_events
-    FROM r LEFT JOIN pts ON pts.policy_id = r.user_id LEFT JOIN l ON l.user_id = r.user_id""",
+    FROM u LEFT JOIN r ON r.user_id = u.user_id LEFT JOIN pts ON pts.policy_id = u.user_id LEFT JOIN l ON l.user_id = u.user_id WHERE u.user_id IS NOT NULL""",
 )
 def kpis(t):
-    """Dashboard row per user from runs, audit entries and the active policy; as in the SQL, of users with runs."""
+    """Dashboard row per user of runs, audit entries or policies; users without a run are not evaluated."""
     runs = audit.run_versions(frame(t, "runs"))
     logs = frame(t, "audit").withColumn("user_id", F.split("user_id", "_")[1].cast("long"))
     snapshots = frame(t, "fields").withColumn("user_id", F.col("policy_id"))
-    return audit.kpis(runs, logs, snapshots).filter("runs > 0")
+    return audit.kpis(runs, logs, snapshots)
 
 
 @query(
@@ -279,7 +283,8 @@ def row_count_check(t):
     "schema_check",
     cte("fields")
     + """SELECT table_name, column_name, CASE WHEN policy_id % 7 = 3 THEN 'COLUMN_MISSING' ELSE 'TYPE_MISMATCH' END AS code FROM fields
-    WHERE policy_id % 7 = 3 OR (CASE WHEN technique = 'NO_CHANGE' THEN data_type WHEN technique = 'DIFFERENTIAL_PRIVACY' THEN 'double' ELSE 'string' END) <> data_type""",
+    WHERE policy_id % 7 = 3 OR (CASE WHEN technique = 'NO_CHANGE' THEN data_type WHEN technique = 'DIFFERENTIAL_PRIVACY' AND data_type <> 'date' THEN 'double'
+      WHEN technique = 'DIFFERENTIAL_PRIVACY' THEN data_type ELSE 'string' END) <> data_type""",
 )
 def schema_check(t):
     """Expected types (source type through its technique) against the actual ones."""
@@ -402,6 +407,19 @@ def validation_totals(t):
     return validate.validation_totals(_lang_results(t, findings), findings)
 
 
+@query(
+    "validation_scan",
+    r"""WITH c AS (SELECT count(*) AS n, count(text) AS k, count(source) AS s,
+      count(*) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS mail FROM documents)
+    SELECT 'documents' AS table_name, n AS rows_scanned, 2::bigint AS columns_scanned, (k + s)::bigint AS values_scanned, mail AS email_rows FROM c""",
+)
+def validation_scan(t):
+    """What one pass over a written table counts for all its checks: rows, columns, values, and matches."""
+    profile = leaks.profile_table(t.documents.select("text", "lang", "source"), "documents", {"lang": "MASKING"})
+    mail = profile.filter("column_name = 'text' and pattern = 'EMAIL'").select("matches").scalar()
+    return validate.scan_metrics(profile).select("table_name", "rows_scanned", "columns_scanned", "values_scanned", mail.alias("email_rows"))
+
+
 @query(
     "validation_messages",
     f"WITH {_scan_sql()} "

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.techniques import ColumnRule
+from ..operators import compare
 from ..operators.apply import apply_policy
+from ..session import shared_folder
 from ..sources import sinks
-from ..streaming import changes, statements
+from ..sources.keyed import KeyedTarget
+from ..streaming import changes, statements, upsert
 from .derived import cte, frame
 from .registry import SETTINGS, query
 
@@ -214,3 +217,67 @@ def resume_load(t):
     loaded = apply_policy(t.orders.filter("o_totalprice > 450000"), "orders", key_rule, SETTINGS)
     done = apply_policy(t.customer.select("c_custkey", "c_name", "c_acctbal"), "customer", rules, SETTINGS)
     return sinks.rows_to_resume(done, loaded.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", F.col("c_custkey"))
+
+
+_OP = "CASE WHEN l_returnflag = 'R' THEN 'DELETE' WHEN l_linestatus = 'F' THEN 'INSERT' ELSE 'UPDATE' END"
+_BY = ", ".join(c.strip() + " DESC" for c in _ORDER.split(","))
+
+
+@query(
+    "upsert_target",
+    f"""WITH events AS (SELECT *, {_OP} AS op FROM lineitem),
+    kept AS (SELECT * FROM events WHERE NOT (op = 'DELETE' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))),
+    latest AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_BY}) = 1)
+    SELECT sha256(l_orderkey::varchar) AS l_orderkey, l_partkey, l_extendedprice FROM latest WHERE op <> 'DELETE'""",
+)
+def upsert_target(t):
+    """A target kept by key, fed late and twice: as one run over all events, with refused deletes."""
+    rules = [
+        ColumnRule("lineitem", "l_orderkey", "HASHING", is_primary_key=True),
+        ColumnRule("orders", "o_orderkey", "HASHING", fk_table="lineitem", fk_column="l_orderkey"),
+    ]
+    op = F.when(F.col("l_returnflag") == "R", "DELETE").when(F.col("l_linestatus") == "F", "INSERT").otherwise("UPDATE")
+    events = apply_policy(t.lineitem.withColumn("op", op), "lineitem", rules, SETTINGS)
+    finished = apply_policy(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey"), "orders", rules, SETTINGS)
+    target = KeyedTarget(shared_folder(t.spark, "upsert"), ("l_orderkey",), 8)
+    order = [c.strip() for c in _ORDER.split(",")]
+    early = F.col("l_linenumber") <= 2
+    for batch in (events.filter(~early), events.filter(early), events.filter(~early)):
+        upsert.merge_events(target, batch, order, "op", [(finished, "o_orderkey")])
+    return target.read(t.spark).select("l_orderkey", "l_partkey", "l_extendedprice")
+
+
+_OTHER = """SELECT CASE WHEN o_orderkey % 19 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderkey % 17 <> 0"""
+
+
+@query(
+    "changed_rows",
+    f"""WITH b AS ({_OTHER})
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+      CASE WHEN a.o_orderkey IS NULL THEN 'inserted' WHEN b.o_orderkey IS NULL THEN 'deleted' ELSE 'updated' END AS change
+    FROM orders a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey
+    WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""",
+)
+def changed_rows(t):
+    """Updated, inserted and deleted keys between two states of a table, by digest tree."""
+    key = F.col("o_orderkey")
+    later = t.orders.filter(key % 17 != 0).withColumn("o_orderstatus", F.when(key % 13 != 0, F.col("o_orderstatus")))
+    later = later.withColumn("o_orderkey", F.when(key % 19 == 0, -key).otherwise(key))
+    return compare.compare_rows(t.orders, later, ["o_orderkey"], 15_000, rows_per_leaf=16)
+
+
+@query(
+    "differing_nodes",
+    f"""WITH b AS ({_OTHER}), o AS (SELECT count(*) AS n FROM orders)
+    SELECT 'root' AS node, (SELECT n FROM o) AS left_rows, (SELECT count(*) FROM b) AS right_rows""",
+)
+def differing_nodes(t):
+    """The root of two digest trees: equal for a shuffled copy, different for a changed one."""
+    key = F.col("o_orderkey")
+    later = t.orders.filter(key % 17 != 0).withColumn("o_orderstatus", F.when(key % 13 != 0, F.col("o_orderstatus")))
+    later = later.withColumn("o_orderkey", F.when(key % 19 == 0, -key).otherwise(key))
+    trees = [compare.digest_tree(df, ["o_orderkey"], 1) for df in (t.orders, t.orders.repartition(3), later)]
+    found = compare.differing_nodes(trees[0], trees[2]).unionByName(compare.differing_nodes(trees[0], trees[1]))
+    return found.filter("level = 0").select(F.lit("root").alias("node"), "left_rows", "right_rows")

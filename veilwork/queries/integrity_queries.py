@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.digests import sha256_hex
 from ..functions.techniques import ColumnRule
 from ..operators import integrity, vault
-from ..operators.apply import apply_policy
+from ..operators.apply import apply_policy, rules_from
 from ..operators.integrity import Relation
+from ..session import shared_folder
+from ..plans import run
 from .derived import cte, frame
 from .registry import KEY, SETTINGS, keyed, q, query
 
@@ -185,9 +187,10 @@ _EDGES = f"""WITH o AS ({_ALL}), e AS (SELECT split_part(relation, '.', 1) AS ch
 def load_order(t):
     """Load levels over the references that hold in the data (relations without orphans)."""
     report = integrity.union_all(integrity.count_orphans(_tables(t), r) for r in RELATIONS)
-    held = {row["relation"] for row in report.filter("orphans = 0").collect()}  # one row per relation
-    edges = [(r.child, r.parent) for r in RELATIONS if r.name in held]
-    return t.spark.createDataFrame(integrity.load_levels(TABLES, edges), "table_name string, level int")
+    names = F.split("relation", " -> ")
+    edge = lambda i: F.split(names[i], r"\.")[0]
+    edges = report.filter("orphans = 0").select(edge(0).alias("child"), edge(1).alias("parent"))
+    return integrity.load_order_of(t.spark.createDataFrame([(n,) for n in TABLES], "table_name string"), edges.cache())
 
 
 @query(
@@ -206,6 +209,66 @@ def fk_preserved(t):
     return joined.agg(F.sum("n").alias("joined"), F.count(F.lit(1)).alias("parents"))
 
 
+_CHAIN = [
+    # table, column, technique, type, primary key, referenced table and column
+    ("customer", "c_custkey", "HASHING", "IDENTIFIER", True, None, None),
+    ("customer", "c_name", "TOKENIZATION", "EMAIL", False, None, None),
+    ("orders", "o_custkey", "HASHING", None, False, "customer", "c_custkey"),
+    ("orders", "o_owner", "TOKENIZATION", "FULL_NAME", False, "customer", "c_name"),
+    ("events", "user_id", "HASHING", "FREE_TEXT", False, "orders", "o_custkey"),
+    ("events", "holder", "TOKENIZATION", "PHONE", False, "orders", "o_owner"),
+]
+
+
+def _chain_policy(t):
+    rows = [(*r[:4], True, *r[4:]) for r in _CHAIN]
+    return t.spark.createDataFrame(
+        rows, "table_name string, column_name string, technique string, pii_type string, is_pii boolean, is_pk boolean, fk_table string, fk_column string"
+    )
+
+
+def _chain_tables(t):
+    """Customers, orders that name their owner by a unique text, and events that name the orders' owner."""
+    owner = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("o_owner"))
+    orders = t.orders.select("o_orderkey", "o_custkey").join(owner, "o_custkey")
+    holder = owner.select(F.col("o_custkey").alias("user_id"), F.col("o_owner").alias("holder"))
+    return {"customer": t.customer.select("c_custkey", "c_name"), "orders": orders, "events": t.events.select("event_id", "user_id").join(holder, "user_id")}
+
+
+@query(
+    "fk_chain",
+    """SELECT count(*) AS joined, count(DISTINCT c_custkey) AS parents, count(*) AS by_name FROM
+    (SELECT o_custkey FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey JOIN events ON user_id = o_custkey""",
+)
+def fk_chain(t):
+    """A chain of three tables, by key and by a referenced unique text, joins as the raw tables do.
+
+    Every table is rewritten by its own rules, as a run does it table by table.
+    """
+    policy, tables = _chain_policy(t), _chain_tables(t)
+    done = {n: apply_policy(df, n, rules_from(policy, n, strict=True), SETTINGS) for n, df in tables.items()}
+    orders = done["orders"].select("o_custkey", "o_owner").distinct()
+    by_key = orders.join(done["customer"], orders["o_custkey"] == F.col("c_custkey")).join(done["events"], F.col("user_id") == F.col("o_custkey"))
+    by_name = orders.join(done["customer"], orders["o_owner"] == F.col("c_name")).join(done["events"], F.col("holder") == F.col("o_owner"))
+    counted = by_key.agg(F.count(F.lit(1)).alias("joined"), F.count_distinct("c_custkey").alias("parents"))
+    return counted.select("*", by_name.agg(F.count(F.lit(1)).alias("n")).scalar().alias("by_name"))
+
+
+@query(
+    "resume_chain",
+    """SELECT count(*) AS missing, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0) AS equal_to_batch
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0""",
+)
+def resume_chain(t):
+    """What a half-done load still lacks is replaced as the batch run replaces it, chains included."""
+    policy, orders = _chain_policy(t), _chain_tables(t)["orders"]
+    batch = apply_policy(orders, "orders", rules_from(policy), SETTINGS, ["o_orderkey"])
+    loaded = batch.filter("o_orderkey % 3 = 0")
+    rest = run.resume_table(orders, "orders", loaded, policy, SETTINGS, "o_orderkey")
+    same = rest.join(batch, rest.columns, "left_semi")
+    return rest.agg(F.count(F.lit(1)).alias("missing")).select("*", same.agg(F.count(F.lit(1)).alias("n")).scalar().alias("equal_to_batch"))
+
+
 # --- vault ------------------------------------------------------------------------------------
 
 SCOPE = vault.scope_name("persons", "pan_no")
@@ -262,6 +325,53 @@ def vault_merge(t):
     return vault.merge(existing, offline).groupBy("origin").agg(F.count(F.lit(1)).alias("entries"))
 
 
+_STORED = "CASE WHEN substr(sha256(pan_no), 1, 1) < '8' THEN 'kept-' || lower(pan_no) ELSE sha256(pan_no) END"
+
+
+@query(
+    "vault_lookup_or_create",
+    cte("persons")
+    + f"""SELECT DISTINCT pan_no, {_STORED} AS replacement, substr(sha256(pan_no), 1, 1) < '8' AS stored FROM persons""",
+)
+def vault_lookup_or_create(t):
+    """Half the values are stored under other replacements, which win; the rest is made."""
+    value = F.col("pan_no")
+    stored = frame(t, "persons").filter(F.substring(sha256_hex(value), 1, 1) < "8")
+    held = vault.build(stored, "pan_no", F.concat(F.lit("kept-"), F.lower(value)), SCOPE, KEY)
+    return vault.lookup_or_create(frame(t, "persons"), "pan_no", held, sha256_hex(value), SCOPE, KEY, 2)[0]
+
+
+@query(
+    "vault_first_writer",
+    cte("persons")
+    + """SELECT DISTINCT pan_no, CASE WHEN substr(sha256(pan_no), 1, 1) >= 'c' THEN 'late-' || pan_no
+      WHEN substr(sha256(pan_no), 1, 1) >= '4' THEN 'first-' || pan_no ELSE NULL END AS replacement FROM persons""",
+)
+def vault_first_writer(t):
+    """Two runs stored replacements of overlapping values: the earlier epoch wins wherever it wrote."""
+    value, digit = F.col("pan_no"), F.substring(sha256_hex(F.col("pan_no")), 1, 1)
+    epoch = lambda rows, prefix, n: vault.build(
+        rows, "pan_no", F.concat(F.lit(prefix), value), SCOPE, KEY
+    ).withColumn("epoch", F.lit(n))
+    persons = frame(t, "persons")
+    first = epoch(persons.filter((digit >= "4") & (digit < "c")), "first-", 1)
+    late = epoch(persons.filter(digit >= "8"), "late-", 2)
+    return vault.lookup(persons, "pan_no", vault.first_entries(late.unionByName(first)), SCOPE, KEY, "replacement")
+
+
+@query(
+    "vault_assigned",
+    cte("persons") + "SELECT DISTINCT pan_no, CASE WHEN substr(sha256(pan_no), 1, 1) < '8' THEN 'one-' ELSE 'two-' END || pan_no AS replacement FROM persons",
+)
+def vault_assigned(t):
+    """Replacements handed out by a stored vault in two runs: the second keeps those of the first."""
+    value = F.col("pan_no")
+    store = vault.VaultStore(shared_folder(t.spark, "vault"), 8)
+    persons = frame(t, "persons")
+    store.assign(persons.filter(F.substring(sha256_hex(value), 1, 1) < "8"), "pan_no", F.concat(F.lit("one-"), value), SCOPE, KEY, 1)
+    return store.assign(persons, "pan_no", F.concat(F.lit("two-"), value), SCOPE, KEY, 2)
+
+
 @query(
     "vault_stats",
     cte("persons")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.techniques import destination_type_column
 from ..operators import search, stats
+from ..operators.apply import apply_policy, rules_from
 from ..plans import classify, policy, risk, validate
 from ..sources import policy_docs
 from .derived import cte, frame
-from .registry import first_of, has_any, q, query
+from .registry import SETTINGS, first_of, has_any, q, query
 
 _LOW = "lower(column_name)"
 
@@ -343,7 +344,7 @@ def linkage_tables(t):
     "destination_types",
     cte("fields")
     + """SELECT policy_id, column_name, CASE WHEN technique IN ('NO_CHANGE', 'NONE', 'PASSTHROUGH') THEN data_type
-    WHEN technique = 'DIFFERENTIAL_PRIVACY' THEN 'NUMERIC' ELSE 'TEXT' END AS target_type FROM fields""",
+    WHEN technique = 'DIFFERENTIAL_PRIVACY' THEN CASE WHEN data_type = 'date' THEN data_type ELSE 'NUMERIC' END ELSE 'TEXT' END AS target_type FROM fields""",
 )
 def destination_types(t):
     kind = destination_type_column(F.col("data_type"), F.col("technique"))
@@ -410,12 +411,54 @@ def policy_documents(t):
     return policy_docs.flatten(_documents(t))
 
 
-def _documents(t):
+_PAPER = """{"policy_metadata": {"owner": "privacy"}, "column_policies": [
+  {"table_name": "customer", "column_name": "c_custkey", "is_pii": true, "pii_type": "IDENTIFIER", "anonymization_technique": "hashing", "is_primary_key": true, "ticket": 7},
+  {"table_name": "customer", "column_name": "c_mktsegment", "is_pii": true, "pii_type": "OTHER", "anonymization_technique": "masking", "admin_override": true, "admin_comments": "checked"},
+  {"table_name": "orders", "column_name": "o_custkey", "is_pii": true, "pii_type": "IDENTIFIER", "anonymization_technique": "HASHING",
+   "is_foreign_key": true, "foreign_key_details": {"referred_table": "customer", "referred_columns": ["c_custkey"]}},
+  {"table_name": "orders", "column_name": "o_totalprice", "is_pii": false}]}"""
+
+
+@query(
+    "document_run",
+    """SELECT sha256(c_custkey::varchar) AS c_custkey, repeat('X', length(c_mktsegment)) AS c_mktsegment, o_orderkey, o_totalprice
+    FROM customer JOIN orders ON o_custkey = c_custkey""",
+)
+def document_run(t):
+    """From a policy document to anonymized tables that still join on their keys."""
+    policy = policy_docs.policy_rows(t.spark.createDataFrame([("paper", _PAPER)], "policy_id string, doc string"))
+    rules = rules_from(policy, strict=True)
+    customer = apply_policy(t.customer.select("c_custkey", "c_mktsegment"), "customer", rules, SETTINGS)
+    orders = apply_policy(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "orders", rules, SETTINGS)
+    return customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "document_keys",
+    cte("fields")
+    + """SELECT seq::varchar AS policy_id, column_name, seq % 4 = 0 AND is_pk AS is_pk,
+    CASE WHEN seq % 4 = 0 AND NOT is_pk THEN 'parent' END AS fk_table, CASE WHEN seq % 4 = 0 AND NOT is_pk THEN 'id' END AS fk_column,
+    seq % 4 = 0 AND coalesce(confidence, 0) > 0.5 AS admin_override, CASE WHEN seq % 4 = 0 THEN seq END AS ticket FROM fields""",
+)
+def document_keys(t):
+    """Key, override and unknown fields of policy documents survive, entry by entry."""
+    found = policy_docs.policy_rows(_documents(t, whole=True))
+    return found.select(
+        "policy_id", "column_name", "is_pk", "fk_table", "fk_column", "admin_override", F.get_json_object("entry", "$.ticket").cast("long").alias("ticket")
+    )
+
+
+def _documents(t, whole=False):
     f = frame(t, "fields")
     form = F.col("seq") % 4
     entry = F.struct(
         "table_name", "column_name", "is_pii", "pii_type", "confidence",
         F.lower("technique").alias("anonymization_technique"), F.col("data_type").alias("reason"),
+        *([
+            F.col("is_pk").alias("is_primary_key"), (~F.col("is_pk")).alias("is_foreign_key"),
+            F.struct(F.lit("parent").alias("referred_table"), F.array(F.lit("id")).alias("referred_columns")).alias("foreign_key_details"),
+            (F.coalesce("confidence", F.lit(0.0)) > 0.5).alias("admin_override"), F.col("seq").alias("ticket"),
+        ] if whole else []),
     )
     listed = F.to_json(F.struct(F.array(entry).alias("column_policies")))
     technique = F.struct(F.when(~F.col("is_pk"), F.lower("technique")).alias("technique"))
