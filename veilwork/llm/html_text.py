@@ -37,7 +37,9 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SECTIONS = frozenset("article aside dialog div footer form header main menu nav search section".split())
+CELLS = frozenset("td th".split())  # hold columns of a page as well as figures
 SILENT = frozenset("script style template noscript textarea select button svg math iframe object canvas audio video head title option datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol menu dl table body html article section div".split())
@@ -54,13 +56,14 @@ NAME = re.compile(r"[a-z]+")
 class Block:
     """A block element: text runs and child blocks in order."""
 
-    __slots__ = ("attributes", "children", "link", "parent", "parts", "tag")
+    __slots__ = ("attributes", "children", "inner", "inner_link", "link", "parent", "parts", "tag")
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.parts: list = []  # strings and blocks
         self.children: list[Block] = []
         self.link = 0  # characters inside links
+        self.inner = self.inner_link = 0  # characters below this block, and of these inside links
 
 
 def parse(page: str) -> Block:
@@ -79,10 +82,7 @@ def parse(page: str) -> Block:
 
     while at < size:
         if silent:  # raw text and controls: on to the end tag
-            end = re.compile(rf"</{silent}\s*>|</{silent}(?=[\s/])[^>]*>", re.IGNORECASE).search(page, at)
-            nested = silent in ("svg", "math", "object", "select", "button", "template", "noscript")
-            at = end.end() if end else (size if not nested else at)
-            silent = ""
+            at, silent = past(page, at, silent), ""
             continue
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -112,7 +112,7 @@ def parse(page: str) -> Block:
             continue
         if name in SILENT:
             if not m.group(3).rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                silent = re.escape(name)
+                silent = name
             continue
         if name == "a":
             in_link = True
@@ -147,6 +147,23 @@ def parse(page: str) -> Block:
     return root
 
 
+NESTED = frozenset("svg math object select button template noscript".split())  # may hold elements, also of their own name
+
+
+def past(page: str, at: int, name: str) -> int:
+    """Where the text goes on behind an element that holds none: at its end tag, with nested ones of its name counted."""
+    tags = re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.IGNORECASE)
+    depth, first = 1, at
+    for m in tags.finditer(page, at):
+        if m.group(1):
+            depth -= 1
+        elif name in NESTED and not m.group().endswith("/>"):
+            depth += 1
+        if not depth or name not in NESTED and m.group(1):
+            return m.end()
+    return first if name in NESTED else len(page)
+
+
 def in_order(root: Block) -> list[Block]:
     """Blocks, parents first."""
     out, stack = [], [root]
@@ -154,6 +171,12 @@ def in_order(root: Block) -> list[Block]:
         block = stack.pop()
         out.append(block)
         stack.extend(reversed(block.children))
+    for block in reversed(out):
+        block.inner += sum(len(p) - p.count(" ") for p in block.parts if p.__class__ is str)
+        block.inner_link += block.link
+        if block.parent is not None:
+            block.parent.inner += block.inner
+            block.parent.inner_link += block.inner_link
     return out
 
 
@@ -162,7 +185,7 @@ def names_of(attributes: str) -> dict[str, str]:
 
 
 def features(block: Block) -> list[str]:
-    """Tag, words of class, id and role, and coarse statistics of the block's own text."""
+    """Tag, words of class, id and role, and coarse statistics of the text in the block and below it."""
     found = ["tag=" + block.tag] if block.tag in SECTIONS else []  # others take after their parent
     if block.attributes:
         given = names_of(block.attributes)
@@ -172,6 +195,11 @@ def features(block: Block) -> list[str]:
     if text > 1:
         share = block.link / text
         found.append("links=" + ("most" if share > 0.6 else "some" if share > 0.2 else "few"))
+        if block.tag not in HEADINGS:
+            found.append("text=" + ("long" if text > 60 and share < 0.5 else "short"))
+    if block.children:
+        share = block.inner_link / block.inner if block.inner else 1.0
+        found.append("inside=" + ("links" if share > 0.4 else "little" if block.inner < 50 else "text"))
     return found
 
 
@@ -180,14 +208,19 @@ class Model:
     """Log-likelihood ratios of features and the states' transition probabilities."""
 
     ratios: dict[str, float]
-    child: tuple  # P(child state | parent state), for plain blocks and for sections
+    child: tuple  # P(child state | parent state), for plain blocks, sections and table cells
     root: float  # log odds of the root
 
 
+def kind(block: Block) -> int:
+    """Which table of transitions the block has."""
+    return 1 if block.tag in SECTIONS else 2 if block.tag in CELLS else 0
+
+
 def train(pages: list[str] | None = None, smoothing: float = 0.1) -> Model:
     """Count features and transitions over labelled pages."""
     seen = (Counter(), Counter())
-    moves = [[[smoothing, smoothing], [smoothing, smoothing]] for _ in range(2)]
+    moves = [[[smoothing, smoothing], [smoothing, smoothing]] for _ in range(3)]
     roots = [1.0, 1.0]
     totals = [0, 0]
     for page in PAGES if pages is None else pages:
@@ -201,7 +234,7 @@ def train(pages: list[str] | None = None, smoothing: float = 0.1) -> Model:
             if block.parent is None:
                 roots[y] += 1
             else:
-                moves[block.tag in SECTIONS][state[id(block.parent)]][y] += 1
+                moves[kind(block)][state[id(block.parent)]][y] += 1
     ratios = {
         f: log((seen[1][f] + smoothing) / (totals[1] + 2 * smoothing)) - log((seen[0][f] + smoothing) / (totals[0] + 2 * smoothing))
         for f in seen[0] | seen[1]
@@ -227,10 +260,10 @@ def marginals(blocks: list[Block], model: Model) -> dict[int, float]:
     sent = {}
     for b in reversed(blocks):  # children before parents
         if b.parent is not None:
-            message = sent[id(b)] = _through(own[id(b)], tables[b.tag in SECTIONS][0])
+            message = sent[id(b)] = _through(own[id(b)], tables[kind(b)][0])
             own[id(b.parent)] += message
     for b in blocks[1:]:  # parents before children: own of the parent is final
-        own[id(b)] += _through(own[id(b.parent)] - sent[id(b)], tables[b.tag in SECTIONS][1])
+        own[id(b)] += _through(own[id(b.parent)] - sent[id(b)], tables[kind(b)][1])
     return own
 
 

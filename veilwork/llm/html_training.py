@@ -50,4 +50,21 @@ PAGES = [
     f'<div class="sponsor advertisement" data-keep="0"><p>{_TEXT[0]}</p></div><div class="comment-list disqus" data-keep="0"><ol><li><p>{_TEXT[1]}</p></li></ol></div></div></div>{_FOOT}</body></html>',
     f'<html><body data-keep="0"><div id="top"><div class="logo">{_TEXT[2]}</div></div><article data-keep="1"><div class="body"><h1>Deep</h1>{_P}</div><aside class="pullout related" data-keep="0"><p>{_TEXT[3]}</p></aside>'
     f'<form data-keep="0"><p>{_TEXT[4]}</p></form></article><section id="comments" data-keep="0"><article class="comment"><p>{_TEXT[0]}</p></article><article class="comment"><p>{_TEXT[1]}</p></article></section>{_FOOT}</body></html>',
+    # no names, no sections that say what they are
+    f'<html><body data-keep="1"><div><div>{_P}</div></div></body></html>',
+    f'<html><body data-keep="0"><nav><ul>{_LINKS}</ul></nav><p data-keep="1">{_TEXT[0]}</p><p data-keep="1">{_TEXT[1]}</p><footer><p>{_TEXT[2]}</p></footer></body></html>',
+    f'<html><body data-keep="0"><nav><ul>{_LINKS}</ul></nav><div data-keep="1"><p>{_TEXT[0]}</p></div></body></html>',
+    f'<html><body data-keep="0"><div><ul>{_LINKS}</ul></div><div data-keep="1"><h2>Named by nothing</h2>{_P}</div><div><a href="#">Imprint</a> <a href="#">Terms of use</a></div></body></html>',
+    f'<html><body data-keep="0"><div><a href="/">Home</a> <a href="/a">All news</a></div><div data-keep="1"><div><p>{_TEXT[3]}</p><p>{_TEXT[1]}</p></div></div></body></html>',
+    # layout tables
+    f'<html><body data-keep="0"><table><tr><td><a href="/">Home</a><br><a href="/n">News</a></td><td data-keep="1"><p>{_TEXT[0]}</p><p>{_TEXT[4]}</p></td></tr></table></body></html>',
+    f'<html><body data-keep="0"><table><tr><td><ul>{_LINKS}</ul></td><td data-keep="1">{_TEXT[1]} {_TEXT[0]}</td></tr><tr><td><a href="#">Back to the top</a></td></tr></table></body></html>',
+    f'<html><body data-keep="0"><table><tr><td><a href="/">Start</a></td><td data-keep="1">{_TEXT[3]}</td></tr></table></body></html>',
+    f'<html><body data-keep="0"><table><tr><td><a href="/">Start</a> <a href="/b">Next</a></td></tr><tr><td data-keep="1">{_TEXT[4]}<p>{_TEXT[0]}</p></td></tr></table></body></html>',
+    f'<html><body data-keep="0"><center data-keep="1"><h1>Old page</h1>{_TEXT[3]}<p>{_TEXT[1]}</p></center><table><tr><td><a href="/">Home</a></td></tr></table></body></html>',
+    # comment lists, forums, shops
+    f'<html><body data-keep="0"><div data-keep="1"><h1>With replies</h1>{_P}</div><ol class="commentlist" data-keep="0"><li class="comment"><p>{_TEXT[4]}</p></li><li class="comment reply"><p>{_TEXT[0]}</p></li></ol></body></html>',
+    f'<html><body data-keep="0"><article data-keep="1"><h1>Blog</h1>{_P}</article><ul class="commentlist comments" data-keep="0"><li><p>{_TEXT[1]}</p></li></ul><section class="responses comments" data-keep="0"><p>{_TEXT[3]}</p></section></body></html>',
+    f'<html><body data-keep="0">{_MENU}<div class="thread" data-keep="1"><div class="post"><p>{_TEXT[0]}</p></div><div class="post"><p>{_TEXT[1]}</p></div></div>{_FOOT}</body></html>',
+    f'<html><body data-keep="0">{_MENU}<div class="product" data-keep="1"><h1>A kettle</h1><p>{_TEXT[3]}</p><ul><li>{_TEXT[2]}</li></ul></div><div class="related products" data-keep="0"><a href="#">Cup</a> <a href="#">Pot</a></div>{_FOOT}</body></html>',
 ]
