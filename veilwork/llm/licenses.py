@@ -13,6 +13,10 @@ enough words after the first common one in both lists (positional filter).
 Survivors are verified on the whole sets.  The filters only save work: no block
 that meets the threshold is lost.
 
+Short templates (``WHOLE_BELOW`` distinct words and fewer) must be held whole: one
+word tells licences apart that are alike in all others.  Where a block holds
+a template and another one with all its words and more, the larger one counts.
+
 Besides, the places of base phrases (consecutive words) are found over the
 whole text.  Everything is Spark expressions.  The templates are a parameter of
 the caller and few, so their index is a literal table.
@@ -36,18 +40,38 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Opening sentences of public licence notices.
+WHOLE_BELOW = 16  # templates of at most so many distinct words must be held whole
+
+# Opening sentences and usual short forms of public licence notices.  What follows a slash
+# tells templates of one licence apart.
 TEMPLATES = {
+    "agpl-3": "GNU Affero General Public License, version 3",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
     "that the following conditions are met",
+    "bsd/short": "under the BSD License",
+    "cc-by": "Creative Commons Attribution 4.0 International License",
+    "cc-by/short": "Licensed under CC BY 4.0",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
+    "cc-by-nc/long": "Creative Commons Attribution NonCommercial 4.0 International License",
+    "cc-by-nc-nd": "Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License",
+    "cc-by-nc-nd/short": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-nc-sa": "Creative Commons Attribution NonCommercial ShareAlike 4.0 International License",
+    "cc-by-nc-sa/short": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nd": "Creative Commons Attribution NoDerivatives 4.0 International License",
+    "cc-by-nd/short": "Licensed under CC BY-ND 4.0",
+    "cc-by-sa": "Creative Commons Attribution ShareAlike 4.0 International License",
+    "cc-by-sa/short": "Licensed under CC BY-SA 4.0",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights",
-    "gpl-3": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-2": "GNU General Public License, version 2",
+    "gpl-3": "GNU General Public License, version 3",
+    "lgpl-2.1": "GNU Lesser General Public License, version 2.1",
+    "lgpl-3": "GNU Lesser General Public License, version 3",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
     "associated documentation files",
+    "mit/short": "under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2.0/short": "Mozilla Public License, version 2.0",
 }
 
 
@@ -115,22 +139,38 @@ def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def prefix_index(templates: dict[str, str], order: list[str], threshold: float) -> list[tuple]:
+def larger_templates(templates: dict[str, str]) -> dict[str, list[str]]:
+    """For every template those with all its words and more."""
+    sets = {k: set(v) for k, v in _template_words(templates).items()}
+    return {a: [b for b in sets if sets[a] < sets[b]] for a in sets}
+
+
+def needed(size: int, threshold: float, whole_below: int) -> int:
+    """Common words that a template of ``size`` distinct words asks for."""
+    return size if size <= whole_below else max(1, math.ceil(threshold * size - 1e-9))
+
+
+def prefix_index(templates: dict[str, str], order: list[str], threshold: float, whole_below: int = 0) -> list[tuple]:
     """Rows ``(word, label, place, size, need, ordered words)`` for the prefix of each template."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for label, words in _template_words(templates).items():
         ordered = sorted(words, key=rank.__getitem__)
-        need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
+        need = needed(len(ordered), threshold, whole_below)
         rows += [(w, label, i, len(ordered), need, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
     return rows
 
 
-def template_matches(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8) -> DataFrame:
-    """``(doc_id, label, containment)`` of every block that meets the threshold (one row per block and label)."""
+def template_matches(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8, whole_below: int = 0, best_of_kin: bool = False) -> DataFrame:
+    """``(doc_id, label, containment)`` of every block that meets the threshold (one row per block and label).
+
+    Templates of at most ``whole_below`` words must be held whole.  With
+    ``best_of_kin`` a template does not count in a block that a template with
+    all its words and more matches too.
+    """
     spark = docs.sparkSession
     order = token_order(docs, templates)
-    rows = prefix_index(templates, order, threshold)
+    rows = prefix_index(templates, order, threshold, whole_below)
     if not rows:
         return docs.select("doc_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
     index = spark.createDataFrame(rows, "word string, label string, place int, size int, need int, template array<string>")
@@ -143,11 +183,20 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: floa
     first = F.element_at(F.array_intersect("template", "known"), 1) == F.col("word")
     bound = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("known") - F.col("at") - 1)
     common = F.size(F.array_intersect("template", "known"))
-    return (
+    met = (
         hits.where((F.size("known") >= F.col("need")) & (bound >= F.col("need")) & first)
         .where(common >= F.col("need"))
-        .select("doc_id", "label", (common / F.col("size")).alias("containment"))
+        .select("doc_id", "known", "label", (common / F.col("size")).alias("containment"))
     )
+    if not best_of_kin:
+        return met.drop("known")
+    # blocks of one document with the same known words are judged alike
+    each = met.groupBy("doc_id", "known").agg(F.collect_set(F.struct("label", "containment")).alias("met"))
+    kin = F.create_map(*[c for k, v in larger_templates(templates).items() for c in (F.lit(k), _literal(v))])
+    names = F.transform("met", lambda m: m["label"])
+    each = each.withColumn("names", names)
+    best = F.filter("met", lambda m: ~F.arrays_overlap(F.element_at(kin, m["label"]), F.col("names")))
+    return each.select("doc_id", F.inline(best))
 
 
 def phrase_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
@@ -184,7 +233,9 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     ).drop("__joined", *places)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = BASE, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = BASE, threshold: float = 0.8, whole_below: int = WHOLE_BELOW,
+) -> DataFrame:
     """One row per document row: places of base phrases, labels of phrases and templates, best score.
 
     The score is 1 if a base phrase occurs, else the highest containment of a
@@ -192,8 +243,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
     of all of them.
     """
     # one row per matching document before the join: few labels, reduced map-side
-    matched = template_matches(docs, templates, threshold).groupBy("doc_id").agg(
-        F.collect_set("label").alias("__labels"), F.max("containment").alias("__best")
+    matched = template_matches(docs, templates, threshold, whole_below, True).groupBy("doc_id").agg(
+        F.collect_set(F.substring_index("label", "/", 1)).alias("__labels"), F.max("containment").alias("__best")
     )
     based = phrase_places(docs.select("doc_id", "text"), phrases).drop("text").withColumnRenamed("doc_id", "__id")
     both = based.join(matched, F.col("__id").eqNullSafe(matched["doc_id"]), "left").drop("doc_id").withColumnRenamed("__id", "doc_id")
@@ -215,20 +266,29 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_TEMPLATE_SQL = ", ".join(f"('{k}', {v!r})" for k, v in _template_words(TEMPLATES).items())
+_KIN = larger_templates(TEMPLATES)
+_LONGEST = max(map(len, _template_lists(TEMPLATES).values()))
+_TEMPLATE_SQL = ", ".join(
+    f"('{k}', {v!r}, {needed(len(v), 0.8, WHOLE_BELOW)}, {_KIN[k]!r}::VARCHAR[])" for k, v in _template_words(TEMPLATES).items()
+)
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents),
-t(label, ws) AS (VALUES {_TEMPLATE_SQL}),
+t(label, tw, need, kin) AS (VALUES {_TEMPLATE_SQL}),
 w AS (SELECT doc_id, body, list_filter(regexp_split_to_array(body, '{GAP}'), lambda x: x <> '') AS ws FROM d),
 p AS (SELECT doc_id, len(ws) AS n, ws, list_filter(range(len(ws)), lambda i: ws[i+1] = 'cc' AND ws[i+2] = 'by') AS a,
   list_filter(range(len(ws)), lambda i: ws[i+1] = 'general' AND ws[i+2] = 'public' AND ws[i+3] = 'license') AS b,
   list_filter(range(len(ws)), lambda i: ws[i+1] = 'all' AND ws[i+2] = 'rights' AND ws[i+3] = 'reserved') AS c FROM w),
 q AS (SELECT doc_id, n, list_concat(a, b, c) AS ps, list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END,
   CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM d),
-m AS (SELECT doc_id, label, max(len(list_intersect(ws, regexp_split_to_array(line, '{GAP}'))) / len(ws)) AS c
-  FROM l, t WHERE len(list_intersect(ws, regexp_split_to_array(line, '{GAP}'))) >= ceil(0.8 * len(ws) - 1e-9) GROUP BY ALL),
-g AS (SELECT doc_id, list(label) AS ls, max(c) AS best FROM m GROUP BY ALL)
+c AS (SELECT doc_id, ws, list_filter(list_transform(string_split(body, chr(10)),
+  lambda x: len(list_filter(regexp_split_to_array(x, '{GAP}'), lambda y: y <> ''))), lambda k: k > 0) AS ns FROM w),
+l AS (SELECT doc_id, ws, ns, unnest(range(1, len(ns) + 1)) AS i FROM c),
+b AS (SELECT doc_id, i, ws[coalesce(list_sum(ns[1:i - 1]), 0)::BIGINT + 1 : list_sum(ns[1:i])::BIGINT + {_LONGEST - 1}] AS block FROM l),
+m AS (SELECT doc_id, i, label, kin, len(list_intersect(tw, block)) / len(tw) AS c FROM b, t WHERE len(list_intersect(tw, block)) >= need),
+n AS (SELECT doc_id, i, list(label) AS labels FROM m GROUP BY ALL),
+k AS (SELECT m.doc_id, split_part(label, '/', 1) AS label, c FROM m JOIN n ON n.doc_id = m.doc_id AND n.i = m.i
+  WHERE NOT list_has_any(kin, labels)),
+g AS (SELECT doc_id, list(label) AS ls, max(c) AS best FROM k GROUP BY ALL)
 SELECT q.doc_id, n AS n_words, len(ps) AS n_base, list_min(ps) AS first_word, list_max(ps) AS last_word,
   array_to_string(base, ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(ls, [])))), ',') AS labels,
