@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import table, written
+from veilwork.llm.shared import table, unused, written
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -157,11 +157,14 @@ def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 16, ridge: fl
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns with ``lang_pred`` and ``score`` (the winner's response, cut to 0 to 1)."""
+    """The ``keep`` columns with ``lang_pred`` and ``score`` (the winner's response, cut to 0 to 1).
+
+    A kept column of such a name keeps it; the new one gets an underscore more.
+    """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     kept = docs.select(*keep)
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(unused("lang_pred", keep), StringType()), StructField(unused("score", keep), DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -183,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 columns = [batch.column(i).slice(start, TOGETHER) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(score, schema)
+    return docs.select(*keep, docs[text].alias(unused("__text", keep))).mapInArrow(score, schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

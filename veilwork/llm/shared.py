@@ -46,6 +46,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def row_key(text: Column, *more: Column) -> Column:
-    """128-bit digest that tells rows of one document id apart by their text."""
-    return F.struct(*more, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
+def unused(name: str, taken) -> str:
+    """The name, with as many underscores behind it as it takes to differ from the taken ones."""
+    while name in taken:
+        name += "_"
+    return name
