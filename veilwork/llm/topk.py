@@ -14,8 +14,16 @@ nodes behind their covering radius.  Bounds are loosened by a little more than
 rounding can be, and a node that can only tie is passed over only if all its
 ids are larger, so results are exact, ties included.
 
-All queries are run against all blocks: chunks of queries are replicated to the
-blocks' numbers and joined on them; each block returns ``k`` rows a query.
+A task builds the tree of one block and searches it for batches of queries at
+once: a page is visited for the queries of the batch that it could still serve,
+with one matrix product for the entries that the bounds leave.  The rows of a
+block come first in their task and the queries behind them, in Arrow batches, so
+memory is that of a block and a batch.  All queries go to all blocks; where they
+are more than ``CHUNK_ROWS``, they are dealt to groups and a block's rows go to every
+group.  Each block returns ``k`` rows a query.
+
+Vectors without structure (independent random directions) leave the bounds
+little to prune; then the work is that of the plain matrix products.
 
 Vectors that are null, empty or hold null or non-finite components, and rows
 without an id, take no part.  Vectors of another length than the query's are no
@@ -27,12 +35,10 @@ of their vectors.
 from __future__ import annotations
 
 import heapq
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +48,8 @@ from veilwork.llm.shared import table, written
 PAGE = 192  # entries of a leaf
 FANOUT = 16  # entries of an inner node
 BLOCK_ROWS = 8192
-CHUNK_ROWS = 512
+CHUNK_ROWS = 50_000  # queries of a group
+BATCH = 1024  # queries that are searched for together
 EXACT = 2**52  # scores below are exact in doubles
 
 
@@ -68,6 +75,7 @@ class MTree:
         self.longest = float(norms.max())
         self.lifted = np.c_[self.x.astype(float), np.sqrt(np.maximum(self.longest - norms, 0))]
         self.root = self._node(np.arange(len(ids)), self.lifted[0])
+        self.asked = 0  # scores computed so far
 
     def _distances(self, rows: np.ndarray, center: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.lifted[rows] - center) ** 2).sum(1))
@@ -104,6 +112,48 @@ class MTree:
             return np.array_split(rows, min(FANOUT, -(-len(rows) // PAGE)))
         return groups
 
+    def search_many(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query number, score, id)`` of the best ``k`` entries for each of some queries; scores must be exact in doubles."""
+        n, q = len(queries), queries.astype(float)
+        x_total = (q * q).sum(1) + self.longest
+        slack = 1e-9 * x_total + 1e-6
+        worst, worst_id = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        tops = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query, score, id
+        first = np.sqrt(np.maximum(x_total - 2 * (q @ self.root.center[:-1]), 0))
+        heap, count = [(-np.inf, 0, self.root, first, np.full(n, np.inf), np.iinfo(np.int64).min)], 1
+        while heap:
+            _, _, node, to_query, bound, least = heapq.heappop(heap)
+            active = np.flatnonzero((bound > worst) | (bound == worst) & (least < worst_id))
+            if not len(active):
+                continue
+            total, near, beat = x_total[active, None], slack[active, None], worst[active, None]
+            reach = np.abs(to_query[active, None] - node.to_center)
+            if node.radius is not None:
+                reach = np.maximum(reach - node.radius, 0)
+            possible = (total - reach * reach) / 2 + near >= beat
+            columns = np.flatnonzero(possible.any(0))
+            possible = possible[:, columns]
+            scores = q[active] @ node.vectors[columns].T.astype(float)
+            self.asked += scores.size
+            if node.children is not None:
+                distance = np.sqrt(np.maximum(total - 2 * scores, 0))
+                nearest = np.maximum(distance - node.radius[columns], 0)
+                best = np.where(possible, np.floor((total - nearest * nearest) / 2 + near), -np.inf)
+                for j, e in enumerate(columns.tolist()):
+                    far, hope = np.zeros(n), np.full(n, -np.inf)
+                    far[active], hope[active] = distance[:, j], best[:, j]
+                    heapq.heappush(heap, (-best[:, j].max(), count, node.children[e], far, hope, int(node.least_id[e])))
+                    count += 1
+                continue
+            ids = node.least_id[columns]
+            better = (scores > beat) | (scores == beat) & (ids < worst_id[active, None])
+            at, e = np.nonzero(better & (ids != own[active, None]))
+            if len(at):
+                tops = _best(tops, (active[at], scores[at, e], ids[e]), k)
+                full = np.flatnonzero(tops[0][k - 1 :] == tops[0][: max(len(tops[0]) - k + 1, 0)])  # where the k of a query begin
+                worst[tops[0][full]], worst_id[tops[0][full]] = tops[1][full + k - 1], tops[2][full + k - 1]
+        return tops
+
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """``(score, id)`` of the best ``k`` entries of other ids, ties to smaller ids."""
         q = query.astype(float)
@@ -162,6 +212,16 @@ class MTree:
         return [(max(-limit, min(limit, int(a))), int(b)) for a, b in zip(top_s, top_i, strict=True)]
 
 
+def _best(tops: tuple, more: tuple, k: int) -> tuple:
+    """The first ``k`` of every query by score and id, sorted by query."""
+    query, score, ids = (np.concatenate([a, b]) for a, b in zip(tops, more, strict=True))
+    order = np.lexsort((ids, -score, query))
+    query, score, ids = query[order], score[order], ids[order]
+    starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return query[place < k], score[place < k], ids[place < k]
+
+
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """``(vec_id, v, dims)`` of the rows that take part; ``v`` holds ``floor(64 * x)`` as doubles."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -172,51 +232,68 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.select("vec_id", F.transform("x", floor).alias("v"), F.size("x").alias("dims"))
 
 
-def _array(rows: pd.Series) -> np.ndarray:
-    found = np.stack(rows.to_numpy())
-    return found.astype(np.int64).astype(float) if np.abs(found).max() < 2**53 else np.array([[int(v) for v in r] for r in found], object)
+def _array(rows: pa.ListArray) -> np.ndarray:
+    """The vectors of a column as rows; whole numbers of Python where doubles don't hold them."""
+    found = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    return found if np.abs(found).max() < 2**53 else np.array([[int(v) for v in r] for r in found], object)
+
+
+def _searched(tree: MTree, ids: np.ndarray, queries: np.ndarray, forms: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best entries of one tree for some queries."""
+    names = ["query_id", "form", "vec_id", "score"]
+    if tree.x.dtype != object and queries.dtype != object:
+        if float(np.abs(queries).max()) * float(np.abs(tree.x).max()) * queries.shape[1] < EXACT:
+            at, scores, found = tree.search_many(ids, queries, k)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], forms[at], found, scores.astype(np.int64))], names=names)
+    rows = [(int(o), int(f), i, s) for o, f, q in zip(ids, forms, queries, strict=True) for s, i in tree.search(int(o), q, k)]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=names)
+
+
+def search_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """``(query_id, form, vec_id, score)`` from rows sorted by block, the block's own before its queries."""
+
+    def run(batches):
+        key, ids, parts, tree = None, [], [], None
+        for batch in filter(len, batches):
+            dims, block, lot, asking = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            seam = np.flatnonzero((dims[1:] != dims[:-1]) | (block[1:] != block[:-1]) | (lot[1:] != lot[:-1]) | (asking[1:] != asking[:-1])) + 1
+            for start, end in zip(np.append(0, seam), np.append(seam, batch.num_rows), strict=True):
+                piece = batch.slice(start, end - start)
+                here = (dims[start], block[start], lot[start])
+                if here != key:
+                    key, ids, parts, tree = here, [], [], None
+                if not asking[start]:
+                    ids.append(piece.column(4).to_numpy())
+                    parts.append(piece.column(5))
+                    continue
+                if tree is None:
+                    tree = MTree(np.concatenate(ids), _array(pa.concat_arrays(parts)))
+                    ids, parts = [], []
+                for first in range(0, piece.num_rows, BATCH):
+                    asked = piece.slice(first, BATCH)
+                    ids_, forms = asked.column(4).to_numpy(), asked.column(6).to_numpy()
+                    yield _searched(tree, ids_, _array(asked.column(5)), forms, k)
+
+    return rows.mapInArrow(run, "query_id long, form long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on ``vec_id``."""
     rows = written(usable(vectors).withColumn("query", is_query))
     counts = rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q"))
-    counts = counts.select(
-        "dims", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("q") / chunk_rows), F.lit(1)).cast("int").alias("chunks")
+    # numbers of blocks and groups follow the rows
+    counts = counts.where("q > 0").select(
+        "dims", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("q") / chunk_rows).cast("int").alias("lots")
     )
     dealt = rows.join(counts, "dims")
-    # numbers of blocks and chunks follow the rows; the row's place keeps equal rows from meeting in one block
+    # the row's place keeps equal rows from meeting in one block
     place = F.xxhash64("vec_id", "v", F.monotonically_increasing_id())
-    blocks = dealt.select("dims", F.pmod(place, F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = dealt.where("query").select("dims", "blocks", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v").distinct()
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        tree = MTree(frame.vec_id.to_numpy(), _array(frame.v))
-        return pd.DataFrame({"dims": frame.dims[:1], "block": frame.block[:1], "tree": [pickle.dumps(tree)]})
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        packed = pickle.dumps((frame.vec_id.to_numpy(), _array(frame.v)))
-        return pd.DataFrame({"dims": frame.dims[:1], "blocks": frame.blocks[:1], "queries": [packed]})
-
-    trees = blocks.groupBy("dims", "block").applyInPandas(build, "dims int, block int, tree binary")
-    chunks = asked.groupBy("dims", "blocks", "chunk").applyInPandas(pack, "dims int, blocks int, queries binary")
-    pairs = chunks.select("dims", "queries", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def search(frames):
-        for frame in frames:
-            for packed, tree in zip(frame.queries, frame.tree, strict=True):
-                built = pickle.loads(tree)
-                found = []
-                for own, q in zip(*pickle.loads(packed), strict=True):
-                    best = built.search(int(own), q, k)
-                    digest = xxhash.xxh3_64_intdigest(q.tobytes() if q.dtype != object else repr(q.tolist()).encode()) - 2**63
-                    found += [(int(own), digest, i, s) for s, i in best]
-                if found:
-                    yield pd.DataFrame(found, columns=["query_id", "form", "vec_id", "score"])
-
-    each = written(trees).join(pairs, ["dims", "block"]).select("queries", "tree")
-    each = each.repartition(F.xxhash64("tree"), F.xxhash64("queries"))
-    found = each.mapInPandas(search, "query_id long, form long, vec_id long, score long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = dealt.select("dims", F.pmod(place, F.col("blocks")).cast("int").alias("block"), every("lots").alias("lot"), F.lit(False).alias("asking"), "vec_id", "v", F.lit(0).cast("long").alias("form"))
+    asked = dealt.where("query").select("dims", "blocks", F.pmod(F.xxhash64("vec_id", "v"), F.col("lots")).cast("int").alias("lot"), "vec_id", "v").distinct()
+    asked = asked.select("dims", every("blocks").alias("block"), "lot", F.lit(True).alias("asking"), "vec_id", "v", F.xxhash64("v").alias("form"))
+    both = held.unionByName(asked).repartition("dims", "block", "lot").sortWithinPartitions("dims", "block", "lot", "asking")
+    found = search_blocks(both, k)
     order = W.partitionBy("query_id", "form").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
