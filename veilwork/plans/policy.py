@@ -90,6 +90,7 @@ def default_technique(column_name: Column, pii_type: Column) -> Column:
 
 def reason_text(is_pii: Column, pii_type: Column, technique: Column, confidence: Column) -> Column:
     """Why a column is treated the way it is; the last part names the confidence band."""
+    # fixed values: the sentences of a reason and the bounds of its bands
     words = F.create_map(*[F.lit(x) for pair in JUSTIFICATIONS.items() for x in pair])
     conf = F.coalesce(confidence, F.lit(0.0))
     band = (

@@ -29,6 +29,9 @@ CLEAN_RISK, REJECT_RISK = 1.5, 70.0
 NOT_PII = ("NON_PII", "NONE", "NULL")
 
 
+# The codes and sentences of the findings below; reports are read by their wording.
+
+
 def _finding(df: DataFrame, validator: str, category: str, **columns: Column) -> DataFrame:
     values = {
         "validator": F.lit(validator),

@@ -16,7 +16,7 @@ ID_COLUMNS = (
     "full_name",
 )
 
-# The value rules in the reference dialect: name, test on v, base confidence.
+# The value rules in the reference dialect (name, test on v, base confidence).
 _V = {
     "aadhaar": (r"(regexp_full_match(v, '\d{4}[\s-]?\d{4}[\s-]?\d{4}') OR regexp_full_match(replace(replace(v, ' ', ''), '-', ''), '\d{12}'))", 0.95),
     "pan": (r"regexp_full_match(upper(v), '[A-Z]{5}[0-9]{4}[A-Z]')", 0.98),
@@ -106,6 +106,29 @@ def detect_columns(t):
     )
 
 
+_DETECTED = ("aadhaar_no", "pan_no", "email", "city", "ref", "uan_no")
+detect.register_detector("mail")(detect.expression_detector("EMAIL", lambda v: v.rlike(r"^[^@]+@[^@]+$"), "TOKENIZATION"))
+
+
+@query(
+    "detect_with_plugins",
+    cte("persons")
+    + f""", cells AS ({_cells("persons", "customer_id", _DETECTED)}){_VERDICT},
+    m AS (SELECT c, count(*) FILTER (WHERE regexp_full_match(v, '[^@]+@[^@]+')) / nullif(count(*) FILTER (WHERE v <> ''), 0)::double AS share FROM cells GROUP BY c),
+    j AS (SELECT k.c, pii_type, conf AS p, CASE WHEN share >= 0.5 THEN share END AS q FROM (SELECT DISTINCT c FROM cells) k
+      LEFT JOIN best ON best.c = k.c LEFT JOIN m ON m.c = k.c)
+    SELECT c AS column_name, p IS NOT NULL OR q IS NOT NULL AS is_pii,
+    CASE WHEN p IS NOT NULL AND p >= coalesce(q, 0) THEN pii_type WHEN q IS NOT NULL THEN 'email' END AS pii_type,
+    round(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN greatest(p, q) WHEN p IS NOT NULL THEN greatest(p - 0.15, 0.0) ELSE coalesce(q, 0.0) END, 4)::double AS confidence,
+    concat_ws(',', CASE WHEN p IS NOT NULL THEN 'patterns' END, CASE WHEN q IS NOT NULL THEN 'mail' END) AS detectors FROM j""",
+)
+def detect_with_plugins(t):
+    """The pattern rules and a detector that was plugged in, merged by one rule."""
+    cells = detect.long_form(frame(t, "persons"), "persons", F.col("customer_id"), _DETECTED)
+    found = detect.detect_with(cells, ["patterns", "mail"])
+    return found.select("column_name", "is_pii", "pii_type", F.round("confidence", 4).alias("confidence"), "detectors")
+
+
 @query(
     "detect_sampled",
     cte("persons")
