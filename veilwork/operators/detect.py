@@ -266,6 +266,6 @@ def detect_with(cells: DataFrame, detectors: Sequence[str] | None = None) -> Dat
     confidence = F.when(lone, F.greatest(F.lit(0.0), F.col("b.confidence") - LONE_RULE_PENALTY)).otherwise(raised)
     return merged.select(
         "table_name", "column_name", F.col("b").isNotNull().alias("is_pii"), F.col("b.pii_type").alias("pii_type"),
-        F.coalesce(confidence, F.lit(0.0)).alias("confidence"), F.col("b.technique").alias("technique"),
+        F.when(F.col("b").isNotNull(), confidence).otherwise(0.0).alias("confidence"), F.col("b.technique").alias("technique"),
         F.array_join(F.transform("said", lambda s: F.element_at(F.array(*[F.lit(n) for n in names]), s["place"] + 1)), ",").alias("detectors"),
     )
