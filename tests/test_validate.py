@@ -275,3 +275,21 @@ def test_dates_under_noise_keep_their_type(spark):
     keys = declared_keys(spark, [("t", "id", True, None, None, True)])
     source, target = (catalog(columns_of(spark, {"t": d}), keys) for d in (df, done))
     assert validate.schema_findings(source, noisy, target).count() == 0
+
+
+def test_certificate_says_what_was_checked(spark, customers, tmp_path):
+    rows = [(t, True, True, 0.0, 10) for t in ("customers", "clean")]
+    report = reports.compliance_report(
+        spark.createDataFrame(rows, "table_name string, row_counts_match boolean, checks_passed boolean, risk_score double, rows long"), {}, "Officer", "DPDP Act 2023"
+    )
+    of = lambda validator, code: (validator, "X", "customers", "c", code, "HIGH", "FAIL", 1, f"about {code}")
+    findings = spark.createDataFrame([of("leak_scan", "A"), of("leak_scan", "B"), of("exploit", "C"), of("linkage", "D")], validate.FINDING)
+    lines = [r["line"] for r in reports.certificate_lines(report, policy(spark, False), findings, "2026-01-02").collect()]
+    assert "Date of Verification : 2026-01-02" in lines and lines[-2] == "END OF CERTIFICATE" and lines[-1] == lines[0]
+    clean, dirty = lines[lines.index("Table: 'clean'") : lines.index("Table: 'customers'")], lines[lines.index("Table: 'customers'") :]
+    strip = lambda part: {x.split(":", 1)[0].strip(): x.split(":", 1)[1].strip() for x in part if x.startswith("  ") and ":" in x}
+    assert (strip(clean)["Raw values"], strip(clean)["Attack status"], strip(clean)["Linkage level"]) == ("PASSED (none found)", "SECURE [PASS]", "LOW")
+    assert (strip(dirty)["Raw values"], strip(dirty)["Attack status"], strip(dirty)["Linkage level"]) == ("FAILED (2 found)", "BROKEN [FAIL]", "HIGH")
+    assert strip(dirty)["Note"] == "about D"
+    unseen = [r["line"] for r in reports.certificate_lines(report, policy(spark, False), findings, attacked=False).collect()]
+    assert sum("UNVERIFIED" in x for x in unseen) == 2 and not any("Linkage level" in x for x in unseen)

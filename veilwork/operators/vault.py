@@ -104,7 +104,13 @@ def lookup_or_create(
 
 
 def reveal(replaced: DataFrame, column: str, vault: DataFrame, scope: str, key: str) -> DataFrame:
-    """Reverse lookup: from replacement to the original(s) stored for it."""
+    """Reverse lookup: from replacement to the original(s) stored for it.
+
+    Vaults written before entries had a digest of their replacement are
+    decrypted to find it.
+    """
+    if "token_hash" not in vault.columns:
+        vault = vault.withColumn("token_hash", keyed_digest(unseal(F.col("cipher"), key), key, TOKEN_SCOPE))
     asked = replaced.select(column).distinct().withColumn("token_hash", keyed_digest(F.col(column).cast("string"), key, TOKEN_SCOPE))
     entries = vault.filter(F.col("scope") == scope).select("token_hash", "original_sealed")
     return asked.join(entries, "token_hash").select(column, unseal(F.col("original_sealed"), key).alias("original"))

@@ -94,6 +94,15 @@ def upsert_runs(history: DataFrame, new: DataFrame, keys: Sequence[str] = ("user
     return latest.select(*keys, "r.*").select(*history.columns)
 
 
+def record_runs(history: DataFrame, new: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """History after new records: a known run is replaced, the newest of each user is current, all others are demoted.
+
+    Versions are counted anew over the whole history, as a replaced record
+    moves to the end of it.
+    """
+    return run_versions(upsert_runs(history, new, (*keys, "run_id")), keys)
+
+
 def records_total(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Records of current runs; when they hold none, those of the latest run."""
     current = F.coalesce(F.sum(F.when(F.col("is_current"), F.col("records"))), F.lit(0))

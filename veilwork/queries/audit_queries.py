@@ -150,6 +150,22 @@ def records_total(t):
     return audit.records_total(current, ["user_id"])
 
 
+@query(
+    "runs_recorded",
+    cte("runs")
+    + """, n AS (SELECT user_id, run_id, '2030-01-01' AS timestamp, 1 AS records FROM runs WHERE risk_score > 60),
+    a AS (SELECT * FROM n UNION ALL SELECT user_id, run_id, timestamp, records FROM runs WHERE NOT risk_score > 60),
+    v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, run_id) AS version_no, count(*) OVER (PARTITION BY user_id) AS k FROM a)
+    SELECT user_id, run_id, records, version_no, version_no = k AS is_current,
+    CASE WHEN version_no = k THEN 'active_current' ELSE 'history_previous_version' END AS status FROM v""",
+)
+def runs_recorded(t):
+    """Recording runs again: they move to the end, the newest of each user is current, the others are demoted."""
+    runs = frame(t, "runs")
+    new = runs.filter("risk_score > 60").withColumns({"timestamp": F.lit("2030-01-01"), "records": F.lit(1).cast(runs.schema["records"].dataType)})
+    return audit.record_runs(runs, new).select("user_id", "run_id", "records", "version_no", "is_current", "status")
+
+
 @query(
     "mean_scores",
     cte("runs")
