@@ -308,7 +308,7 @@ def test_messages_equal_enumeration():
             own = sum(model.ratios.get(f, 0.0) for f in html_text.features(b)) + (model.root if i == 0 else 0)
             p *= np.exp(own * y[i])
             if b.parent is not None:
-                p *= model.child[b.tag in html_text.SECTIONS][y[place[id(b.parent)]]][y[i]]
+                p *= model.child[html_text.kind(b)][y[place[id(b.parent)]]][y[i]]
         for i in range(len(blocks)):
             mass[i, y[i]] += p
     for i, b in enumerate(blocks):
@@ -443,3 +443,207 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, nothing):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, "")
         assert nothing.count() == 0
+
+
+CLASHES = ("lang_pred", "score", "n_dropped", "n_near_dropped", "n_links", "__id", "__text", "__copy", "__key", "node", "id", "taken", "c0")
+
+
+def test_pipeline_survives_clashing_columns(spark, docs):
+    """Extra columns of any name come through all stages as they were."""
+    import corpus_pipeline
+
+    now = docs
+    for i, name in enumerate(CLASHES):
+        now = now.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        schema = now.schema
+        now = spark.createDataFrame(stage(spark, now, "").collect(), schema)
+        assert now.schema == schema, name
+        for r in now.collect():
+            assert [r[c] for c in CLASHES] == [f"{i}-{r['doc_id']}" for i in range(len(CLASHES))]
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+    dropped = lines.dedup_lines(docs.withColumn("n_dropped", F.lit("mine")))
+    assert dropped.columns == [*docs.columns, "n_dropped", "n_dropped_", "n_near_dropped", "n_links"]
+    assert {r["n_dropped"] for r in dropped.collect()} == {"mine"}
+    judged = langid.identify(docs.withColumn("score", F.lit("mine")), None, keep=("doc_id", "score"))
+    assert judged.columns == ["doc_id", "score", "lang_pred", "score_"]
+
+
+def test_rows_that_share_an_id_stay_unless_they_are_copies(spark):
+    base, other, third = prose(21, 120), prose(22, 120), prose(23, 120)
+    near = base.replace(base.split()[60], "changed", 1)
+    rows = [(5, base), (5, other), (5, other), (7, near), (3, other + " tail"), (9, third), (9, third), (9, None), (9, ""), (None, base)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = stages.keep_one_of_each_group(spark, frame, "")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    # of the group of base and near the row of id 5 stays; other has its least id in row 3; null and empty texts are one form
+    assert got == sorted([(5, base), (3, other + " tail"), (9, third), (9, ""), (0, base)])
+
+
+def plain_pipeline(rows, edits, shortest):
+    """Language ID (letters), line dedup, near-dedup of rows of one id each; texts as they reach the mix."""
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    rows = [(i, t, s) for i, t, s in rows if t and re.search(r"[^\W\d_]", t)]
+    first = {}
+    for i, t, _ in sorted(rows):
+        for n, x in enumerate(t.split("\n")):
+            if x.strip(" \t\n\v\f\r"):
+                first.setdefault(x, (i, n))
+    bad = set()
+    for x, at in first.items():
+        if len(x) >= shortest:
+            if any(len(y) >= shortest and abs(len(x) - len(y)) <= edits and x != y and first[y] < at and distance(x, y) <= edits for y in first):
+                bad.add(x)
+    out = []
+    for i, t, s in rows:
+        kept = [x for n, x in enumerate(t.split("\n")) if not x.strip(" \t\n\v\f\r") or (x not in bad and first[x] == (i, n))]
+        out.append((i, "\n".join(kept), s))
+    sets = {}
+    for i, t, _ in out:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: t for i, t, _ in out if find(i) == i}
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """``run()`` over a fixture with exact and near copies, repeated lines and junk."""
+    import corpus_pipeline
+
+    ranks, pattern = bpe.vocabulary()
+    code = bpe.Coder(bpe.ByteBPE(bpe.parse_ranks(ranks)), pattern)
+    rows = []
+    for i in range(24):
+        text = "\n".join(prose(100 + 10 * i + k, 30) for k in range(4))
+        rows.append((3 * i, text, f"s{i % 3}"))
+        if i % 4 == 0:
+            rows.append((3 * i + 1, text, "s0"))
+        if i % 6 == 0:
+            rows.append((3 * i + 2, " ".join(text.split()[:-2] + ["other"]), "s1"))
+    rows += [(900, "a shared line of some words\n" + prose(990, 40), "s2"), (901, "a shared line of some words\n" + prose(991, 40), "s2")]
+    rows += [(902, "12345 !!", "s0"), (903, None, "s0"), (904, "a shared line of some wards\n" + prose(992, 40), None)]
+    frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = plain_pipeline(rows, lines.EDITS, lines.SHORTEST)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    wordless = {i for i, t in kept.items() if not t.split()}
+    assert {r["doc_id"] for r in got} <= set(kept) - wordless
+    for r in got:
+        assert r["ids"] == code.rows([kept[r["doc_id"]]], ("ids",))[0][0]
+    sizes = Counter()
+    for i, t in kept.items():
+        sizes[dict((a, c) for a, _, c in rows)[i]] += len(t.split())
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += len(kept[r["doc_id"]].split())
+    # weights 5, 2, 1, 5 share 150 percent of the words, twice a source's size at most; whole documents come near that
+    wanted, open_, left = {}, dict(zip(["s0", "s1", "s2", None], [5, 2, 1, 5], strict=True)), 1.5 * sum(sizes.values())
+    while open_:
+        full = [s for s, w in open_.items() if left * w / sum(open_.values()) >= 2 * sizes[s]]
+        for s in full or list(open_):
+            wanted[s] = 2 * sizes[s] if full else left * open_[s] / sum(open_.values())
+        if not full:
+            break
+        left -= sum(2 * sizes[s] for s in full)
+        open_ = {s: w for s, w in open_.items() if s not in full}
+    longest = max(len(t.split()) for t in kept.values())
+    assert all(abs(taken[s] - wanted[s]) <= longest for s in wanted)
+
+
+def test_sibling_licences_and_short_forms(spark):
+    """One word tells licences apart; short forms count; the larger template wins in its block."""
+    wanted = {
+        "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under CC BY-NC-SA\n4.0": "cc-by,cc-by-nc-sa", "This is under the GNU General Public License, version 2.": "gpl,gpl-2",
+        "Under the GNU Lesser General Public License version 2.1": "gpl,lgpl-2.1", "GNU Affero General Public License, version 3": "agpl-3,gpl",
+        "the GNU General Public License, version 3": "gpl,gpl-3", "Released under the MIT License.": "mit", "Use is under the BSD\n# License": "bsd",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "Mozilla Public License, version 2.0": "mpl-2.0", "under a license of MITRE": "", "CC 4.0 licensed under": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    got = {r["text"]: ",".join(r["labels"]) for r in licenses.scan_licenses(frame).join(frame, "doc_id").collect()}
+    assert got == wanted
+
+
+def test_op7_sql_knows_wrapped_notices(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["# Permission is hereby granted, free\n# of charge, to any person obtaining a copy of\n# this software and associated documentation files", None, ""]
+    texts += ["Released under\nthe MIT\n\nLicense", "x\n" * 30 + "Licensed under CC BY-NC\n4.0 all rights reserved"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in licenses.op7_license_scan(spark, str(tmp_path)).collect())
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(connection.execute(licenses.OP7_SQL).fetchall())
+    assert [r[6] for r in got] == ["mit", "", "", "mit", "cc-by,cc-by-nc,reserved"]
+
+
+def test_edits_grow_with_the_line(spark):
+    """Length classes: the shorter line of a pair decides, and every pair within its edits is found."""
+    rng = random.Random(31)
+    classes = [(0, 1), (30, 2), (60, 3)]
+    rows, n = [], 0
+    for _ in range(60):
+        base = prose(rng.randrange(10**6), rng.randint(3, 18))[: rng.randint(14, 90)].strip()
+        rows.append((n, base))
+        for _ in range(2):
+            c = list(base)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(c))
+                c[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "zz"[: rng.randint(1, 2)]])
+            n += 1
+            rows.append((n, "".join(c)))
+        n += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame, edits=classes).collect()}
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    allowed = lambda a, b: max(k for least, k in classes if min(len(a), len(b)) >= least)
+    for i, text in rows:
+        near = any(j < i and (t == text or (len(t) >= 12 and len(text) >= 12 and distance(t, text) <= allowed(t, text))) for j, t in rows)
+        assert found[i] == ("" if near else text), (i, text)
+
+
+def test_pages_without_names_or_sections():
+    """Layouts that the training pages don't have word for word."""
+    t = "The council decided on Monday that the old road will stay open for now."
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+    model = html_text.train()
+    for page in (
+        f"<body><div><div><p>{t}</p></div></div></body>", f"{menu}<p>{t}</p><footer>Small print 2020</footer>", f"{menu}<div><p>{t}</p></div>",
+        f'<table><tr><td><a href="/">Home</a></td><td>{t}</td></tr></table>', f"{menu}<div><div class='message'><p>{t}</p></div></div>",
+        f"<article><p>{t}</p></article><ol class='commentlist'><li><p>I do not agree with any of this, as I said before.</p></li></ol>",
+        f'<div><span>{t}</span></div><div><a href="#">x</a> <a href="#">yy</a></div>', f"{menu}<section><p>{t}</p></section><aside><p>{t} Not here.</p></aside>",
+        f"<p>{t}<svg><svg></svg>no</svg></p>", f"<p>{t}<button>no <button>none</button></button></p>",
+    ):
+        assert html_text.main_text(page, model) == t, page
+    assert html_text.main_text(menu, model) == ""
+    assert html_text.main_text("<article><p>a<svg>open to the end", model).startswith("a")
