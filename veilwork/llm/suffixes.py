@@ -21,7 +21,7 @@ windows of one anchor lie in one stretch of bytes, its context.
    the gram with its common prefix lengths.
    A gram with more than ``HOT`` contexts would be too much for one task.  Its
    contexts are not sorted: each sends a 128-bit digest of every window, and
-   digests are counted map-side.  A repeated one is looked up by salted keys.
+   digests are counted map-side.  A context keeps the windows that occur once.
 4. Two contexts share a window exactly if the common part to the right of the
    anchor and the common part to the left of it add up to ``size``; the windows
    of a context that are repeated cover one interval around its anchor.
@@ -52,7 +52,7 @@ STRETCH = 1 << 22  # bytes anchored at once; places within a stretch fit into 24
 RUN_BYTES = 1 << 20  # bytes of a front-coded run
 PART_SUFFIXES = 20_000  # suffixes that a merging task is meant to get
 HOT = 2_000  # contexts of one gram that a merging task gets at most
-SALTS = 64  # tasks over which the rows of a hot gram or window are dealt
+SALTS = 64  # tasks over which the contexts of a hot gram are dealt
 
 _BYTES = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -289,19 +289,19 @@ def sorted_runs(texts: DataFrame, size: int, parts: int) -> DataFrame:
 
 
 def merged_intervals(runs: DataFrame, size: int) -> DataFrame:
-    """``(gram_key, context, before, behind)``: what repeated windows cover around the anchors of a context."""
+    """``(gram, context, before, behind)``: what repeated windows cover around the anchors of a context."""
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = LoserTree([r for b in batches for r in b.column("run").to_pylist()])
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
 
         def finish(group):
             if len(group) > 1:
+                gram = int(gram_digests(np.frombuffer(group[0][1][:GRAM], np.uint8)).view(np.int64)[0])
                 for g, interval in zip(group, covered([g[:3] for g in group], size), strict=True):
                     if interval:
-                        out[0].append(g[3])
-                        out[1].append(interval[0])
-                        out[2].append(interval[1])
+                        for c, v in zip(out, (gram, g[3], *interval), strict=True):
+                            c.append(v)
 
         group: list[tuple] = []
         for shared, right, left, context in tree:
@@ -311,41 +311,42 @@ def merged_intervals(runs: DataFrame, size: int) -> DataFrame:
             group.append((shared, right, left, context))
             if len(out[0]) > 50_000:
                 yield table_of(out)
-                out = ([], [], [])
+                out = ([], [], [], [])
         finish(group)
         yield table_of(out)
 
     def table_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["context", "before", "behind"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "context", "before", "behind"])
 
-    return runs.groupBy("part").applyInArrow(merge, "context long, before int, behind int")
+    return runs.groupBy("part").applyInArrow(merge, "gram long, context long, before int, behind int")
 
 
 def window_rows(texts: DataFrame, size: int) -> DataFrame:
-    """``(w1, w2, distance, context)``: digests of all windows around the wanted anchors, and the start's distance from the anchor."""
+    """``(w1, w2, distance, gram, context)``: digests of all windows around the wanted anchors, and the start's distance from the anchor."""
 
     def run(batches):
         for batch in batches:
-            columns: tuple[list, ...] = ([], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [])
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 for w in wanted:
                     for distance in range(w["after"], w["before"] + 1):
                         start = w["at"] - distance
                         digest = xxhash.xxh3_128_intdigest(raw[start : start + size])
-                        values = ((digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, distance, w["context"])
+                        values = ((digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, distance, w["gram"], w["context"])
                         for c, v in zip(columns, values, strict=True):
                             c.append(v)
                     if len(columns[0]) > 50_000:
                         yield rows_of(columns)
-                        columns = ([], [], [], [])
+                        columns = ([], [], [], [], [])
             yield rows_of(columns)
 
     def rows_of(columns):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["w1", "w2", "distance", "context"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["w1", "w2", "distance", "gram", "context"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, distance int, context long")
+    return texts.mapInArrow(run, "w1 long, w2 long, distance int, gram long, context long")
 
 
 def salted(keys: DataFrame) -> DataFrame:
@@ -354,12 +355,20 @@ def salted(keys: DataFrame) -> DataFrame:
 
 
 def counted_intervals(windows: DataFrame, size: int) -> DataFrame:
-    """``(context, before, behind)`` as of ``merged_intervals``, from windows of hot grams; each context comes once."""
-    windows = written(windows.withColumn("salt", F.pmod("context", F.lit(SALTS)).cast("int")))
-    key = ["w1", "w2", "distance"]
-    several = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    found = windows.join(salted(several), [*key, "salt"])
-    return found.groupBy("context").agg(F.max("distance").alias("before"), (F.lit(size) - F.min("distance")).alias("behind"))
+    """``(gram, context, before, behind)`` as of ``merged_intervals``, from windows of hot grams; each context comes once.
+
+    Windows are counted map-side.  Those that occur once are gathered by their
+    context, which has ``size`` windows at most; its other windows are repeated.
+    """
+    windows = written(windows)
+    place = F.struct("gram", "context")
+    counted = windows.groupBy("w1", "w2", "distance").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    alone = counted.where("n = 1").groupBy("place").agg(F.collect_list("distance").alias("alone"))
+    ranges = windows.groupBy(place.alias("place")).agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    none = F.array().cast("array<int>")
+    shared = F.array_except(F.sequence("low", "high"), F.coalesce("alone", none))
+    found = ranges.join(alone, "place", "left").withColumn("shared", shared).where(F.size("shared") > 0)
+    return found.select("place.*", F.array_max("shared").alias("before"), (F.lit(size) - F.array_min("shared")).alias("behind"))
 
 
 def repeated_intervals(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -395,10 +404,10 @@ def repeated_intervals(docs: DataFrame, size: int = SIZE) -> DataFrame:
     if any_hot:
         merged = merged.unionByName(counted_intervals(window_rows(with_text(by_document(parted.where("hot"))), size), size))
     whole_context = contexts.where("n > 1").select(
-        "context", F.col("one.before").alias("before"), (F.lit(size) - F.col("one.after")).alias("behind")
+        "gram", "context", F.col("one.before").alias("before"), (F.lit(size) - F.col("one.after")).alias("behind")
     )
-    found = written(merged.unionByName(whole_context).groupBy("context").agg(F.max("before").alias("left"), F.max("behind").alias("right")))
-    spans = rows.select("doc_id", "h", "at", "context").join(found, "context")
+    found = written(merged.unionByName(whole_context).groupBy("gram", "context").agg(F.max("before").alias("left"), F.max("behind").alias("right")))
+    spans = rows.select("doc_id", "h", "at", "gram", "context").join(found, ["gram", "context"])
     spans = spans.select("doc_id", "h", F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")).alias("span"))
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
