@@ -632,6 +632,57 @@ def test_edits_grow_with_the_line(spark):
         assert found[i] == ("" if near else text), (i, text)
 
 
+def test_lines_with_replaced_words_are_near(spark, tmp_path):
+    """Words replaced, inserted, deleted, split and joined: every pair within its edits or words is found, and no other."""
+    rng = random.Random(47)
+    rows, n = [], 0
+    for _ in range(70):
+        base = prose(rng.randrange(10**6), rng.randint(4, 16)).split()
+        rows.append((n, " ".join(base)))
+        for _ in range(3):
+            c = list(base)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(c))
+                rng.choice((
+                    lambda: c.__setitem__(k, "replacement"), lambda: c.insert(k, "another"), lambda: c.__delitem__(k), lambda: c.__setitem__(k, c[k][:1] + " " + c[k][1:]),
+                    lambda: c.__setitem__(slice(k, k + 2), ["".join(c[k : k + 2])]), lambda: c.__setitem__(k, c[k] + "x"), lambda: c.__setitem__(k, c[k] + " \t"),
+                ))()
+            n += 1
+            rows.append((n, " ".join(c)))
+        n += 1
+    rows.append((n, "word word word word word word"))
+    rows.append((n + 1, "word word word word word"))
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    texts = {t: t.split() for _, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for classes in ([(5, 1)], [(5, 1), (9, 2)], [(6, 2), (12, 3)]):
+        allowed = lambda a, b: max([k for least, k in classes if min(len(a), len(b)) >= least], default=0)  # noqa: B023, E731
+        by_words = lambda a, b: bool(k := allowed(a, b)) and abs(len(a) - len(b)) <= k and distance(a, b) <= k
+        near = {a: {b for b in texts if a != b and min(len(a), len(b)) >= 12 and (by_words(texts[a], texts[b]) or (abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1))} for a in texts}
+        found = {r["doc_id"]: r for r in lines.dedup_lines(frame, words=classes).collect()}
+        seen = set()
+        for i, text in rows:
+            gone = text in seen or bool(near[text] & seen)
+            assert (found[i]["text"], found[i]["n_links"]) == (("", len(near[text])) if gone else (text, 0)), (classes, i, text)
+            seen.add(text)
+    # the query and the pipeline's stage use them: one replaced word of eight and more, two of 24 and more
+    long = prose(77, 30).split()
+    swapped = [*long[:4], "replacement", *long[5:20], "another", *long[21:]]
+    spark.createDataFrame([(1, " ".join(long)), (2, " ".join(swapped)), (3, " ".join(long[:9])), (4, " ".join(swapped[:9]))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["n_near_dropped"] for r in lines.op5_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+    left = stages.remove_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")
+    assert {r["doc_id"] for r in left.where("text = ''").collect()} == {2, 4}
+
+
 def test_pages_without_names_or_sections():
     """Layouts that the training pages don't have word for word."""
     t = "The council decided on Monday that the old road will stay open for now."

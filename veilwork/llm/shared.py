@@ -34,10 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the frame to the shared folder as Parquet and read it again."""
+    """Cut the lineage: write the frame to the shared folder as Parquet (zstd: mostly texts) and read it again."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
