@@ -184,6 +184,16 @@ def test_ordered_plans_shuffle_the_table_once(spark):
     assert rows.count("Exchange hashpartitioning") <= 3 and "max_by" not in rows
 
 
+def test_vault_joins_are_not_broadcast(spark):
+    """A vault passes for small by the size of the columns it is made of."""
+    from tests.test_plans import simple
+
+    df, scope = spark.createDataFrame([("x",), ("y",)], "v string"), vault.scope_name("t", "v")
+    entries = vault.build(df, "v", F.upper("v"), scope, KEY)
+    for found in (vault.lookup(df, "v", entries, scope, KEY, "r"), vault.reveal(df, "v", entries, scope, KEY), vault.merge(entries, entries)):
+        assert "BroadcastHashJoin" not in simple(found)
+
+
 def test_vault_store_first_writer_wins(spark, tmp_path):
     value = F.col("v")
     store = vault.VaultStore(str(tmp_path / "v"), 4)

@@ -64,10 +64,20 @@ def first_entries(entries: DataFrame) -> DataFrame:
 
 def merge(existing: DataFrame, offline: DataFrame) -> DataFrame:
     """Add offline entries; an entry that is already there wins."""
-    new = first_entries(offline).join(existing.select(*KEY), list(KEY), "left_anti")
+    new = first_entries(offline).join(_shuffled(existing.select(*KEY)), list(KEY), "left_anti")
     return existing.unionByName(new)
 
 
+def _shuffled(entries: DataFrame) -> DataFrame:
+    """Entries for a join that is not to send them to the driver.
+
+    Their size is estimated from the compressed columns they are made of, and
+    digests and sealed texts are many times as large: a vault of a gigabyte
+    passes for a side small enough to broadcast.
+    """
+    return entries.hint("merge")
+
+
 def _found(values: DataFrame, column: str, vault: DataFrame, scope: str, key: str) -> DataFrame:
     """Distinct values with their digest, and the sealed replacement where there is one.
 
@@ -76,7 +86,7 @@ def _found(values: DataFrame, column: str, vault: DataFrame, scope: str, key: st
     """
     text = F.col(column).cast("string")
     distinct = values.select(F.col(column)).distinct().withColumn("key_hash", keyed_digest(text, key))
-    return distinct.join(vault.filter(F.col("scope") == scope).select("key_hash", "cipher"), "key_hash", "left")
+    return distinct.join(_shuffled(vault.filter(F.col("scope") == scope).select("key_hash", "cipher")), "key_hash", "left")
 
 
 def lookup(values: DataFrame, column: str, vault: DataFrame, scope: str, key: str, out: str) -> DataFrame:
@@ -113,7 +123,7 @@ def reveal(replaced: DataFrame, column: str, vault: DataFrame, scope: str, key:
         vault = vault.withColumn("token_hash", keyed_digest(unseal(F.col("cipher"), key), key, TOKEN_SCOPE))
     asked = replaced.select(column).distinct().withColumn("token_hash", keyed_digest(F.col(column).cast("string"), key, TOKEN_SCOPE))
     entries = vault.filter(F.col("scope") == scope).select("token_hash", "original_sealed")
-    return asked.join(entries, "token_hash").select(column, unseal(F.col("original_sealed"), key).alias("original"))
+    return asked.join(_shuffled(entries), "token_hash").select(column, unseal(F.col("original_sealed"), key).alias("original"))
 
 
 def stats(vault: DataFrame) -> DataFrame:
