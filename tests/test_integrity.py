@@ -184,6 +184,16 @@ def test_ordered_plans_shuffle_the_table_once(spark):
     assert rows.count("Exchange hashpartitioning") <= 3 and "max_by" not in rows
 
 
+def test_only_large_groups_are_cut(spark, monkeypatch):
+    """Small groups stay whole: the summary has rows of large groups alone, whatever the number of groups."""
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 40)
+    df = spark.createDataFrame([("hot" if i % 2 else (None if i % 10 == 0 else f"g{i % 90}"), f"{i:04d}", i) for i in range(600)], "g string, a string, b int")
+    cut = ordered._cut(df, ["g"], ["a", "b"], None)
+    found = {r["g"]: r for r in cut.groupBy("g").agg(F.countDistinct(ordered.BUCKET).alias("n"), F.max(ordered.LARGE).alias("large")).collect()}
+    assert {g for g, r in found.items() if r["large"]} == {"hot", None} and found["hot"]["n"] > 3 and found[None]["n"] > 1
+    assert all(r["n"] == 1 for g, r in found.items() if g not in ("hot", None)) and len(found) > 10
+
+
 def test_vault_joins_are_not_broadcast(spark):
     """A vault passes for small by the size of the columns it is made of."""
     from tests.test_plans import simple

@@ -1,14 +1,16 @@
 """Order-dependent operators that survive a hot group.
 
-A plain window sorts a whole group in one task.  Here a group is cut into
-buckets along its order; windows run inside (group, bucket), and only one
-summary row per bucket is windowed per group.  Both sides meet on (group,
-bucket), by which the window has dealt the rows already: the table is shuffled
-once.
+A plain window sorts a whole group in one task.  Here a group of more than
+``ROWS_PER_BUCKET`` rows is cut into buckets along its order; windows run inside
+(group, bucket), and only one summary row per bucket of these groups is
+windowed per group.  Both sides meet on (group, bucket), by which the window
+has dealt the rows already: the table is shuffled once.  Other groups are one
+bucket and need no summary; which groups are large is counted first, and there
+are at most as many as the table has times ``ROWS_PER_BUCKET`` rows.
 
 Where the buckets come from:
 
-* by default from the quantiles of the first order column over the whole table,
+* by default from the quantiles of the first order column over the large groups,
   read off a mergeable KLL sketch.  A bucket has about ``ROWS_PER_BUCKET`` rows, so
   no part of a group has more; beyond ``SKETCH`` buckets they grow with the table.
   Values so frequent that they are several quantiles are cut again by the
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKET, GROUP = "_bucket", "_group"
+BUCKET, GROUP, LARGE = "_bucket", "_group", "_large"
 ROWS_PER_BUCKET = 1_000_000
 SKETCH = 4096  # size of the quantile sketch, and the quantiles it is asked for: ranks are right to about 0.1 percent
 FINE = 1 << 31  # buckets of the second column inside one of the first
@@ -104,26 +106,36 @@ def _below(bounds: Column, place: Column) -> Column:
     return F.when(blocks == 0, 0).otherwise(start + inside).cast("long")
 
 
-def with_sketched_buckets(df: DataFrame, order: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
-    """The frame with a bucket number that never falls along the order; buckets are of about equal size."""
+def with_sketched_buckets(
+    df: DataFrame, order: Sequence[str], rows_per_bucket: int | None = None, among: Column | None = None
+) -> DataFrame:
+    """The frame with a bucket number that never falls along the order; buckets are of about equal size.
+
+    With ``among`` this holds for the rows it is true of; all others get bucket 0.
+    """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    among = F.lit(True) if among is None else among
     # bounds are columns first: a lambda must not hold a subquery
-    placed = df.withColumns({"_place": position(df, order[0])})
-    placed = placed.withColumns({"_bounds": _quantiles(placed, F.col("_place"), rows_per_bucket)})
+    placed = df.withColumns({"_place": F.when(among, position(df.filter(among), order[0]))})
+    placed = placed.withColumns({"_bounds": _quantiles(placed.filter(among), F.col("_place"), rows_per_bucket)})
     bucket = _below(F.array_distinct("_bounds"), F.col("_place")) * F.lit(FINE)
     if len(order) > 1:
-        often = F.size(F.filter("_bounds", lambda x: x == F.col("_place"))) > 1
-        placed = placed.withColumns({"_often": often, "_second": position(df, order[1])})
+        often = among & (F.size(F.filter("_bounds", lambda x: x == F.col("_place"))) > 1)
+        placed = placed.withColumns({"_often": often, "_second": F.when(among, position(df.filter(among), order[1]))})
         frequent = placed.filter("_often")
         placed = placed.withColumns({"_inner": F.array_distinct(_quantiles(frequent, F.col("_second"), rows_per_bucket))})
         bucket = bucket + F.when(F.col("_often"), _below(F.col("_inner"), F.col("_second"))).otherwise(F.lit(0))
-    return placed.withColumn(BUCKET, bucket).select(*df.columns, BUCKET)
+    return placed.withColumn(BUCKET, F.when(among, bucket).otherwise(F.lit(0).cast("long"))).select(*df.columns, BUCKET)
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
-    """The frame with its group (one column, so that null keys meet by equality) and its bucket."""
-    cut = with_sketched_buckets(df, order) if bucket is None else df.withColumn(BUCKET, bucket)
-    return cut.withColumn(GROUP, F.struct(*keys) if keys else F.lit(0))
+    """The frame with its group (one column, so that null keys meet by equality), whether that has several buckets, and its bucket."""
+    cut = df.withColumn(GROUP, F.struct(*keys) if keys else F.lit(0))
+    if bucket is not None:
+        return cut.withColumns({LARGE: F.lit(True), BUCKET: bucket})
+    sizes = cut.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS_PER_BUCKET)
+    large = sizes.agg(F.collect_list(GROUP).alias("g")).scalar()
+    return with_sketched_buckets(cut.withColumn(LARGE, F.array_contains(large, F.col(GROUP))), order, among=F.col(LARGE))
 
 
 def _fine(order: Sequence[str]):
@@ -145,7 +157,7 @@ def previous_value(
 ) -> DataFrame:
     """``lag(value)`` per group in the given order, plus ``<out>_exists`` for "there was one"."""
     cut = _cut(df, keys, order, bucket)
-    ends = cut.groupBy(GROUP, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    ends = cut.filter(LARGE).groupBy(GROUP, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
     carried = ends.select(GROUP, BUCKET, F.lag("_last").over(_coarse()).alias("_carry"))
     inside = cut.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(_fine(order)))
     joined = _join_bucket(inside, carried)
@@ -159,15 +171,17 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``amount`` over the rows up to and including this one, per group; with ``total`` also over the whole group."""
     cut = _cut(df, keys, order, bucket).withColumn("_amount", amount)
-    sums = cut.groupBy(GROUP, BUCKET).agg(F.sum("_amount").alias("_sum"))
+    sums = cut.filter(LARGE).groupBy(GROUP, BUCKET).agg(F.sum("_amount").alias("_sum"))
     before = _coarse().rowsBetween(Window.unboundedPreceding, -1)
     whole = F.sum("_sum").over(Window.partitionBy(GROUP))
     carried = sums.select(GROUP, BUCKET, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"), whole.alias("_total"))
     up_to = _fine(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = cut.withColumn("_inside", F.sum("_amount").over(up_to))
+    if total:
+        inside = inside.withColumn("_own", F.sum("_amount").over(Window.partitionBy(GROUP, BUCKET)))
     joined = _join_bucket(inside, carried)
-    more = [F.col("_total").alias(total)] if total else []
-    return joined.select(*df.columns, (F.col("_inside") + F.col("_carry")).alias(out), *more)
+    more = [F.when(F.col(LARGE), F.col("_total")).otherwise(F.col("_own")).alias(total)] if total else []
+    return joined.select(*df.columns, (F.col("_inside") + F.when(F.col(LARGE), F.col("_carry")).otherwise(F.lit(0))).alias(out), *more)
 
 
 def row_numbers(
