@@ -194,6 +194,14 @@ def test_only_large_groups_are_cut(spark, monkeypatch):
     assert all(r["n"] == 1 for g, r in found.items() if g not in ("hot", None)) and len(found) > 10
 
 
+def test_versions_are_counted_once_for_totals(spark, data):
+    from tests.test_plans import simple
+    from veilwork import queries
+
+    windows = [simple(queries.all_queries()[q](spark, data)).count("Window [") for q in ("run_versions", "records_total")]
+    assert windows[0] == windows[1]
+
+
 def test_vault_joins_are_not_broadcast(spark):
     """A vault passes for small by the size of the columns it is made of."""
     from tests.test_plans import simple

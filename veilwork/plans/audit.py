@@ -65,9 +65,9 @@ def drop_repeats(
 
 
 def run_versions(
-    runs: DataFrame, keys: Sequence[str] = ("user_id",), bucket: Column | None = None
+    runs: DataFrame, keys: Sequence[str] = ("user_id",), bucket: Column | None = None, total: str | None = None
 ) -> DataFrame:
-    """Version number (oldest is 1), newest is current, label as shown in the history."""
+    """Version number (oldest is 1), newest is current, label as shown in the history; with ``total`` also the number of versions."""
     full = row_numbers(runs, keys, ["timestamp", "run_id"], "version_no", bucket, "_n")
     current = F.col("version_no") == F.col("_n")
     label = F.concat(
@@ -80,6 +80,7 @@ def run_versions(
         current.alias("is_current"),
         label.alias("version_label"),
         F.when(current, "active_current").otherwise("history_previous_version").alias("status"),
+        *([F.col("_n").alias(total)] if total else []),
     )
 
 

@@ -144,9 +144,8 @@ def run_upsert(t):
 )
 def records_total(t):
     """Records of the current runs of each user (here the last two count as current)."""
-    versions = audit.run_versions(frame(t, "runs"))
-    n = versions.groupBy("user_id").agg(F.max("version_no").alias("n"))
-    current = versions.join(n, "user_id").withColumn("is_current", F.col("version_no") >= F.col("n") - 1)
+    versions = audit.run_versions(frame(t, "runs"), total="n")
+    current = versions.withColumn("is_current", F.col("version_no") >= F.col("n") - 1)
     return audit.records_total(current, ["user_id"])
 
 
