@@ -190,3 +190,18 @@ def test_repeated_and_late_events(spark, tmp_path):
     assert marks == {"t": (3, "e4", at(19)), "u": (1, "e3", at(20))}
     with pytest.raises(ValueError, match="name both"):
         sync.start_event_queue(stored, queue, "x", event_id="event_id")
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Rows of a task follow ``ROWS_PER_TASK``, not the number of buckets."""
+    from veilwork.sources import keyed
+
+    monkeypatch.setattr(keyed, "ROWS_PER_TASK", 50)
+    target = keyed.KeyedTarget(str(tmp_path / "t"), ("k",), 2)
+    events = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("at"), F.lit("PUT").alias("operation"), F.col("id").alias("v"))
+    target.merge(events, ["at"])
+    later = events.filter("v % 2 = 0").withColumns({"at": F.lit(2), "v": -F.col("v")})
+    version = target.merge(later, ["at"])
+    files = spark.read.parquet(f"{target.path}/data/_version={version}").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 2000 and max(r["count"] for r in files) < 400
+    assert {r["k"]: r["v"] for r in target.read(spark).select("k", "v").collect()} == {str(i): i if i % 2 else -i for i in range(2000)}

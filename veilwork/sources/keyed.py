@@ -18,8 +18,10 @@ come late, or be run again from a new checkpoint folder: the target stays that
 of a batch run over all events.  One writer at a time: a second one fails
 because its manifest exists, and starts again from the new one.
 
-A bucket is written by one task, so ``buckets`` should keep it at about a million
-rows (``buckets_for``).  Keys are hashed and every key has one row after the
+A bucket is written by one task for every ``ROWS_PER_TASK`` rows of it, so that
+tasks stay small however few buckets a target was made with.  A batch rewrites
+whole buckets: ``buckets`` should keep them at about a million rows
+(``buckets_for``).  Keys are hashed and every key has one row after the
 reduction, so no bucket is hot.  The driver sees bucket numbers only.
 """
 
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 
 BUCKET, CHANGED, GONE, VERSION = "_bucket", "_changed", "_gone", "_version"
 OWN = (BUCKET, CHANGED, GONE)
+PIECE = "_piece"
+ROWS_PER_TASK = 125_000  # several pieces may meet in a task
 WHOLE = -1  # manifest row that holds the number of buckets
 
 
@@ -126,24 +130,27 @@ class KeyedTarget:
         )
         latest = _last(marked, self.key).persist()
         try:
-            touched = [r[0] for r in latest.select(BUCKET).distinct().collect()]
+            sizes = dict(latest.groupBy(BUCKET).count().collect())
+            touched = list(sizes)
             old = {b: v for b, v in now.held.items() if b in set(touched)}
             news = _news(latest, self._rows(spark, old), self.key) if old else latest
-            touched = [r[0] for r in news.select(BUCKET).distinct().collect()] if old else touched
-            if touched or refused is not None and not refused.isEmpty():
-                return self._switch(now, news, touched, refused)
+            sizes = dict(news.groupBy(BUCKET).count().collect()) if old else sizes
+            if sizes or refused is not None and not refused.isEmpty():
+                return self._switch(now, news, sizes, refused)
             return now.version
         finally:
             latest.unpersist()
 
-    def _switch(self, now: Manifest, latest: DataFrame, touched: Sequence[int], refused: DataFrame | None) -> int:
-        spark, version = latest.sparkSession, now.version + 1
+    def _switch(self, now: Manifest, latest: DataFrame, sizes: Mapping[int, int], refused: DataFrame | None) -> int:
+        """``sizes``: the touched buckets, and the rows that come to each."""
+        spark, version, touched = latest.sparkSession, now.version + 1, list(sizes)
         old = {b: v for b, v in now.held.items() if b in set(touched)}
         merged = latest
         if old:
             merged = self._rows(spark, old).unionByName(latest, allowMissingColumns=True)
         if touched:
-            merged = _last(merged.repartition(len(touched), BUCKET), self.key)
+            rows = sum(sizes.values()) + (self._rows(spark, old).count() if old else 0)
+            merged = _dealt(merged, self.key, len(touched), buckets_for(rows, len(touched) * ROWS_PER_TASK))
             merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{VERSION}={version}")
         if refused is not None:
             refused.write.mode("overwrite").parquet(f"{self.path}/refused/{VERSION}={version}")
@@ -159,11 +166,18 @@ def _rank(columns: Sequence[str]) -> Column:
     return F.struct(CHANGED, GONE, F.xxhash64(*columns) if columns else F.lit(0).cast("long"))
 
 
-def _last(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The row of the last event per key; combined map-side, and without a shuffle on rows dealt by bucket."""
-    rest = [c for c in rows.columns if c not in (*key, BUCKET)]
+def _dealt(rows: DataFrame, key: Sequence[str], buckets: int, pieces: int) -> DataFrame:
+    """The row of the last event per key, dealt by bucket and piece of it (by key) in one shuffle."""
+    piece = F.pmod(F.hash(F.lit("piece"), *[F.col(k).cast("string") for k in key]), F.lit(pieces))
+    cut = rows.withColumn(PIECE, piece).repartition(buckets * pieces, BUCKET, PIECE)
+    return _last(cut, key, PIECE).drop(PIECE)
+
+
+def _last(rows: DataFrame, key: Sequence[str], *dealt: str) -> DataFrame:
+    """The row of the last event per key; combined map-side, and without a shuffle on rows dealt by bucket (and ``dealt``)."""
+    rest = [c for c in rows.columns if c not in (*key, BUCKET, *dealt)]
     rank = _rank(sorted(c for c in rest if c not in OWN))
-    last = rows.groupBy(BUCKET, *key).agg(F.max_by(F.struct(*rest), rank).alias("_e"))
+    last = rows.groupBy(BUCKET, *dealt, *key).agg(F.max_by(F.struct(*rest), rank).alias("_e"))
     return last.select(*key, "_e.*", BUCKET)
 
 
