@@ -308,3 +308,16 @@ def test_op12_counts_and_digests(spark, data):
         assert [r[f"n_{k}"] for k in KINDS] == [sum(1 for b in base if b[1] == i) for i in range(4)]
         assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert [s for s in r["spans"].split(",") if s and not s.startswith("term:")] == said
+
+
+def test_local_counts_are_narrow_rows(spark):
+    """A shuffled row of a local count is three numbers; every shard and language counts by itself."""
+    from veilwork.llm import collocations
+
+    rows = [("a b a", "en", 0), ("a", "en", 2), ("a b", None, 2), ("b", "en", 0)]
+    docs = spark.createDataFrame(rows, "text string, lang string, shard int")
+    found = collocations.local_counts(docs, [], 16, 3)
+    assert found.columns == ["cell", "key", "count"]
+    got = found.collect()
+    assert sorted((r["cell"] & 3, r["count"]) for r in got) == [(0, 2), (0, 2), (2, 1), (2, 1), (2, 1)]
+    assert len({r["cell"] for r in got}) == 3 and len({r["cell"] >> 2 for r in got}) == 2

@@ -106,16 +106,23 @@ def slots(keys: np.ndarray, bits: int, shift: np.ndarray | int) -> np.ndarray:
     return ((keys >> np.uint64(24)).astype(np.int64) + shift) & ((1 << bits) - 1)
 
 
+def shard_bits(shards: int) -> int:
+    """How many bits the number of a shard takes."""
+    return max(shards - 1, 0).bit_length()
+
+
 def _arrays(tables: list) -> list[np.ndarray]:
     return [np.frombuffer(t.value, np.uint8) for t in tables]
 
 
-def local_counts(docs: DataFrame, tables: list, bits: int) -> DataFrame:
-    """``(tongue, shard, key, count)`` of the phrases one word longer than the tables go.
+def local_counts(docs: DataFrame, tables: list, bits: int, shards: int = SHARDS) -> DataFrame:
+    """``(cell, key, count)`` of the phrases one word longer than the tables go.
 
-    ``tongue`` is a hash of the language, so that rows are narrow; two
-    languages of one hash would share a lowered support, which stays low enough.
+    ``cell`` is a hash of the language with the shard in its last bits, so that
+    rows are narrow; two languages of one hash would share a lowered support,
+    which stays low enough.
     """
+    low = shard_bits(shards)
 
     def run(batches):
         held = _arrays(tables)
@@ -132,11 +139,12 @@ def local_counts(docs: DataFrame, tables: list, bits: int) -> DataFrame:
                     first = np.zeros(len(names), np.int64)
                     first[code[::-1]] = at[::-1]
                     at = first
-                columns = [pieces.seed[at].astype(np.int64), shard[at].astype(np.int32), keys[at].astype(np.int64), counts]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tongue", "shard", "key", "count"])
+                cell = pieces.seed[at] << np.uint64(low) | shard[at].astype(np.uint64)
+                columns = [cell.astype(np.int64), keys[at].astype(np.int64), counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "key", "count"])
 
-    counted = docs.select("lang", "shard", "text").mapInArrow(run, "tongue long, shard int, key long, count long")
-    return counted.groupBy("tongue", "shard", "key").agg(F.sum("count").alias("count"))
+    counted = docs.select("lang", "shard", "text").mapInArrow(run, "cell long, key long, count long")
+    return counted.groupBy("cell", "key").agg(F.sum("count").alias("count"))
 
 
 def global_counts(docs: DataFrame, tables: list, bits: int) -> DataFrame:
@@ -177,16 +185,18 @@ def mine(
     spark = docs.sparkSession
     shard = F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(shards)).cast("int")
     docs = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), shard.alias("shard"))
-    local = written(local_counts(docs, [], bits))
-    shares = local.groupBy("tongue", "shard").agg(F.sum("count").alias("words"))
+    low = shard_bits(shards)
+    local = written(local_counts(docs, [], bits, shards))
+    shares = local.groupBy("cell").agg(F.sum("count").alias("words")).withColumn("tongue", F.shiftrightunsigned("cell", low))
     n = shares.groupBy("tongue").agg(F.sum("words").alias("n"))
     lowered = F.expr(f"cast(({support} * words + n - 1) div n as long)")  # rounded up
-    lowered = written(shares.join(n, "tongue").select("tongue", "shard", lowered.alias("lowered")))
+    lowered = written(shares.join(n, "tongue").select("cell", lowered.alias("lowered")))
     tables, found = [], []
     for size in range(1, longest + 1):
         if size > 1:
-            local = local_counts(docs, tables, bits)
-        frequent = written(local.join(lowered, ["tongue", "shard"]).where(F.col("count") >= F.col("lowered")).select("shard", "key"))
+            local = local_counts(docs, tables, bits, shards)
+        shard_of = F.col("cell").bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("shard")
+        frequent = written(local.join(lowered, "cell").where(F.col("count") >= F.col("lowered")).select(shard_of, "key"))
         found.append(frequent)
         if size < longest:
             place = F.pmod(F.shiftrightunsigned("key", 24) + F.col("shard") * F.lit(SHARD_SHIFT), F.lit(1 << bits))
