@@ -738,7 +738,7 @@ def test_lines_around_a_crowd_are_not_paired(spark):
     def crowd(size):
         found = {" ".join(long)}
         while len(found) < size:
-            c, kind = list(long), len(found) % 8
+            c, kind = list(long), rng.randrange(8)
             i, j = rng.randrange(30), rng.choice((3, 4, 12, 20))
             if kind < 4:  # often at the same places, by few words and those of the line
                 c[j], c[i] = rng.choice(("new", "newer", long[j - 1], long[i])), f"new{rng.randrange(40)}"
