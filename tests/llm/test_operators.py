@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import bpe, html_text, langid, licenses, lines, minhash, mixing, quality, stages, suffixes, topk
 from veilwork.llm.components import components
+from veilwork.llm.shared import BATCH_BYTES, small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -86,6 +87,49 @@ def test_decode_round_trip(docs):
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in bpe.decode(coded, ranks, ("doc_id", "text")).collect())
 
 
+def task_of(monkeypatch, make):
+    """What a frame sends to Python and the function that gets it, by batches in this process."""
+    got = {}
+    with monkeypatch.context() as m:
+        m.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda self, run, schema: got.update(sent=self, run=run) or self)
+        make()
+    return got["sent"], lambda: list(got["run"](got["sent"].toArrow().to_batches()))
+
+
+def test_a_task_leaves_no_pieces_and_pieces_share_their_ids(docs, monkeypatch):
+    ranks, pattern = bpe.vocabulary()
+    _, run = task_of(monkeypatch, lambda: bpe.encode(docs, ranks, pattern, outputs=("ids",)))
+    assert sum(b.num_rows for b in run()) == docs.count()
+    assert bpe._CODERS and not any(c.known for c in bpe._CODERS.values())
+    code = bpe.ByteBPE(bpe.parse_ranks(ranks))
+    pieces = [b"qzxjv%d" % i for i in range(1000, 1100)]
+    for made in (code.merge(pieces), [code.merge_one(p) for p in pieces]):
+        ids = [i for piece in made for i in piece]
+        assert max(ids) > 256 and len(set(map(id, ids))) == len(set(ids))
+
+
+@pytest.mark.parametrize("make", [lambda d: bpe.encode(d, *bpe.vocabulary()), lambda d: langid.identify(d, None)])
+def test_batches_of_long_texts_hold_few_rows(spark, make):
+    long = spark.range(0, 30, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text"))
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        make(long)
+
+        def rows(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+        sizes = [r["n"] for r in long.mapInArrow(rows, "n long").collect()]
+        assert sum(sizes) == 30 and max(sizes) < 12
+        spark.conf.set(BATCH_BYTES, "7m")
+        assert small_batches(spark).conf.get(BATCH_BYTES) == "7m"
+    finally:
+        spark.conf.set(BATCH_BYTES, before) if before else spark.conf.unset(BATCH_BYTES)
+
+
 # --- 2 exact top-k ----------------------------------------------------------------------------------------------
 
 
@@ -386,6 +430,25 @@ def test_languages_held_out(spark, data):
     assert langid.fit(docs.limit(0)) is None
 
 
+def test_a_kept_text_goes_to_python_once(docs, monkeypatch):
+    sent, run = task_of(monkeypatch, lambda: langid.identify(docs, None, keep=("text", "lang")))
+    assert sent.columns == ["text", "lang"]
+    batches = run()
+    assert batches[0].schema.names == ["text", "lang", "lang_pred", "score"] and sum(b.num_rows for b in batches) == docs.count()
+    model = langid.fit(docs)
+    key = lambda r: (r["doc_id"], r["lang_pred"], round(r["score"], 5))
+    first = langid.identify(docs, model, keep=("text", "doc_id", "lang")).collect()
+    assert sorted(map(key, first)) == sorted(map(key, langid.identify(docs, model).collect()))
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in first) == Counter(map(tuple, docs.select("doc_id", "text", "lang").collect()))
+
+
+def test_training_rows_are_chosen_without_python_workers(spark):
+    frame = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id") % 2).alias("lang"))
+    sample, languages = langid.training_rows(frame, 5)
+    assert languages == ["l0", "l1"] and sample.groupBy("lang").count().where("count = 5").count() == 2
+    assert "ExistingRDD" not in sample._jdf.queryExecution().executedPlan().toString()
+
+
 def test_languages_of_all_scripts_and_numbers_are_told_apart(spark):
     rng = random.Random(9)
     scripts = {"el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "hy": range(0x561, 0x587)}

@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm.shared import table
+from veilwork.llm.shared import small_batches, table
 
 NONE = np.int64(1) << 62  # "no pair": larger than any packed rank
 KNOWN_PIECES = 500_000  # pieces a task keeps at once; more are encoded anew
 STRETCH = 50_000  # pieces of a text that are handled at once
-TOGETHER = 512  # documents whose new pieces are encoded together
+TOGETHER = 128  # documents whose new pieces are encoded together; their pieces are held at once
 OUTPUTS = {
     "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string",
 }
@@ -49,6 +49,7 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.entries = {i: b for b, i in ranks.items()}
+        self.own = {i: i for i in self.entries}  # one object for each id, however many pieces have it
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs: dict[int, int] = {}
         for entry, rank in ranks.items():
@@ -113,7 +114,7 @@ class ByteBPE:
             live = live[tree[live, 1] < NONE]
         flat = ids[:, :-1]
         kept = flat >= 0
-        out, start = flat[kept].tolist(), 0
+        out, start = list(map(self.own.__getitem__, flat[kept].tolist())), 0
         result = []
         for k in kept.sum(1).tolist():
             result.append(tuple(out[start : start + k]))
@@ -154,9 +155,9 @@ class ByteBPE:
                         if tree[node] == low:
                             break  # nothing changes further up
                         tree[node] = low
-        return tuple(i for i in ids if i >= 0)
+        return tuple(self.own[i] for i in ids if i >= 0)
 
-    def encode_pieces(self, pieces: list[bytes], room: int = 1 << 20) -> dict[bytes, tuple[int, ...]]:
+    def encode_pieces(self, pieces: list[bytes], room: int = 1 << 17) -> dict[bytes, tuple[int, ...]]:
         """Ids of distinct pieces; trees of like width are built together, at most ``room`` leaves at once."""
         out, by_bits = {}, {}
         for p in pieces:
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
     broadcast (its size does not depend on the documents).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = small_batches(spark).sparkContext.broadcast(ranks)
     kept = docs.select(*keep).schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -274,6 +275,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
                 columns = [batch.column(i).slice(start, TOGETHER) for i in range(len(kept))]
                 columns += [pa.array(v, types.get(k, pa.string())) for k, v in zip(outputs, zip(*made, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        coder.known.clear()  # Spark uses the worker again, perhaps for something else
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
 

@@ -25,12 +25,13 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import table, unused, written
+from veilwork.llm.shared import small_batches, table, unused, written
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -108,7 +109,9 @@ def training_rows(docs: DataFrame, per_language: int) -> tuple[DataFrame, list[s
     draw, steps = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
     # a digest below the threshold: about twice as many as are needed, whatever the size
     share = lambda n: min(1.0, 2.0 * per_language / n + 50 / n)
-    below = docs.sparkSession.createDataFrame([(r["lang"], int(share(r["count"]) * steps) + 1) for r in counts], "lang string, below long")
+    bounds = {"lang": [r["lang"] for r in counts], "below": [int(share(r["count"]) * steps) + 1 for r in counts]}
+    # from Arrow, not from rows: those would start Python workers of their own on the executors
+    below = docs.sparkSession.createDataFrame(pa.table(bounds, pa.schema({"lang": pa.string(), "below": pa.int64()})))
     order = W.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
     # one row per language, which the driver holds anyway
     chosen = usable.join(F.broadcast(below), "lang").where(draw < F.col("below")).select("doc_id", "lang", "text")
@@ -139,6 +142,7 @@ def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 16, ridge: fl
                 part = frame.iloc[i : i + TOGETHER]
                 yield pd.DataFrame({"lang": part.lang, "place": part.place, "k": list(kernel(m, part.text.tolist()))})
 
+    small_batches(docs.sparkSession)
     n, place = len(model.landmark_sizes), {x: i for i, x in enumerate(languages)}
     products, goals, total = np.zeros((n, n)), np.zeros((n, len(languages))), 0
     rows = sample.mapInPandas(features, "lang string, place int, k array<float>").orderBy("lang", "place").toLocalIterator()
@@ -160,19 +164,19 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     """The ``keep`` columns with ``lang_pred`` and ``score`` (the winner's response, cut to 0 to 1).
 
     A kept column of such a name keeps it; the new one gets an underscore more.
+    A text that is kept goes to Python once.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     kept = docs.select(*keep)
     schema = StructType([*kept.schema.fields, StructField(unused("lang_pred", keep), StringType()), StructField(unused("score", keep), DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def score(batches):
-        import pyarrow as pa
-
         m = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for start in range(0, max(1, batch.num_rows), TOGETHER):
                 part = texts.slice(start, TOGETHER).to_pylist()
                 names, scores = [UNKNOWN] * len(part), np.zeros(len(part))
@@ -183,10 +187,11 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                     scores[known] = np.clip(response[np.arange(len(known)), best], 0, 1)
                     for i, b in zip(known, best, strict=True):
                         names[i] = m.languages[b]
-                columns = [batch.column(i).slice(start, TOGETHER) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i).slice(start, TOGETHER) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, docs[text].alias(unused("__text", keep))).mapInArrow(score, schema)
+    read = kept if text in keep else docs.select(*keep, docs[text].alias(unused("__text", keep)))
+    return read.mapInArrow(score, schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

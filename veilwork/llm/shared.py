@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word in the sense of the query contracts
 BROADCAST_ROWS = 50_000  # sides of at most so many narrow rows, counted first, are broadcast
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +42,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Spark hand texts to Python in batches of 4 MB, not of 10,000 rows whatever their size.
+
+    A batch stands several times beside the heap of an executor (columns, message,
+    the worker's copy), for every task at once.  A session that sets the size itself
+    is left alone.  No operator's rows depend on where a batch ends.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+    return spark
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written frame for broadcast if it has at most ``rows`` rows; else leave it to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
