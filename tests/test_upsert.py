@@ -1,12 +1,15 @@
 """The keyed sync target: every way of feeding it ends where a batch run over all events ends."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions.techniques import ColumnRule, Settings
 from veilwork.operators.apply import apply_policy
+from veilwork.session import SHUFFLE_CLEANUP
 from veilwork.sources.keyed import KeyedTarget, buckets_for
 from veilwork.sources.sinks import conform
 from veilwork.streaming import changes, sync
@@ -205,3 +208,71 @@ def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch
     files = spark.read.parquet(f"{target.path}/data/_version={version}").groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in files) == 2000 and max(r["count"] for r in files) < 400
     assert {r["k"]: r["v"] for r in target.read(spark).select("k", "v").collect()} == {str(i): i if i % 2 else -i for i in range(2000)}
+
+
+def shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+    return {p.name for folder in folders for p in Path(folder).rglob("shuffle_*")}
+
+
+def test_a_merge_leaves_nothing_on_the_local_disks(spark, tmp_path):
+    """Three batches, refused deletes among them: no shuffle file stays until the driver collects its garbage, nothing is cached."""
+    target = KeyedTarget(str(tmp_path / "t"), ("id",), 4)
+    child = apply_policy(spark.createDataFrame([(7,), (3,)], "owner long"), "child", RULES, SETTINGS)
+    events, before, setting = events_of(11, 120), shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP)
+    for part in (events[60:], events[:60], events[60:]):
+        merge(spark, target, part, [(child, "owner")])
+    end = time.monotonic() + 20
+    while (left := shuffle_files(spark) - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and not spark.sparkContext._jsc.getPersistentRDDs()
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert rows_of(target, spark) == batch_run(spark, events, [(child, "owner")])
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_large_batches_are_merged_in_steps(spark, tmp_path, monkeypatch, seed):
+    """A batch of many rows is read once for every few buckets; it still counts as a whole or not at all."""
+    from veilwork.sources import keyed
+
+    monkeypatch.setattr(keyed, "ROWS_PER_STEP", 10)
+    children = [(apply_policy(spark.createDataFrame([(k,) for k in ks], "owner long"), "child", RULES, SETTINGS), "owner") for ks in ([7, 3], [3, 5])]
+    target, events = KeyedTarget(str(tmp_path / "t"), ("id",), 5), events_of(seed, 60)
+    spark.createDataFrame([(0, "x")], "_bucket int, id string").write.partitionBy("_bucket").parquet(f"{target.path}/data/_version=1")  # of a failed attempt
+    versions = [merge(spark, target, part, children) for part in (events[30:], events[:30], [e for e in events if e[2] != "DELETE"])]
+    assert versions == [1, 2, 2]
+    assert rows_of(target, spark) == batch_run(spark, events, children)
+    assert rows_of(target, spark, 1) == batch_run(spark, events[30:], children)
+    assert target.refused(spark).count() == sum(1 for e in events if e[0] in (7, 3, 5) and e[2] == "DELETE")
+
+
+def test_only_refused_deletes(spark, tmp_path):
+    """A bucket to which nothing else comes holds no row, and the manifest does not name it."""
+    target = KeyedTarget(str(tmp_path / "t"), ("id",), 4)
+    child = apply_policy(spark.createDataFrame([(7,)], "owner long"), "child", RULES, SETTINGS)
+    assert merge(spark, target, [(7, "a@x.org", "DELETE", 1)], [(child, "owner")]) == 1
+    assert target.read(spark) is None and target.refused(spark).count() == 1
+    later = [(7, "b@x.org", "INSERT", 2), (7, "c@x.org", "DELETE", 3), (8, "d@x.org", "INSERT", 4)]
+    assert merge(spark, target, later, [(child, "owner")]) == 2
+    assert rows_of(target, spark) == batch_run(spark, later, [(child, "owner")]) and len(rows_of(target, spark)) == 2
+
+
+def test_any_text_is_a_key(spark, tmp_path):
+    """Keys in hex travel as bytes: no two keys fall together, none is changed, and columns that order the events come back."""
+    import datetime as dt
+
+    keys = ["ab", "AB", "Ab", "0ab", "ab0", "", None, "a", "00", "0", "é", "c3a9", "ab ", "x" * 70, "f" * 64]
+    schema = "k string, n int, operation string, day date, at double, v array<string>"
+
+    def rows(turn):
+        return [(k, i, "PUT", dt.date(2024, 1, turn), [0.5, None, float("nan"), 1.5][(i + turn) % 4], [str(turn), None]) for i, k in enumerate(keys)]
+
+    one, two = (spark.createDataFrame(rows(turn), schema) for turn in (1, 2))
+    for order in (["day", "at"], ["day", "operation", "k"]):
+        target = KeyedTarget(str(tmp_path / order[1]), ("k",), 3)
+        assert [target.merge(df, order) for df in (two.limit(9), one, two, one)] == [1, 2, 3, 3]
+        assert sorted(map(repr, target.read(spark).select("k", "n", "day", "at", "v").collect())) == sorted(map(repr, two.drop("operation").collect()))
+    pair = KeyedTarget(str(tmp_path / "pair"), ("k", "n"), 3)
+    pair.merge(one, ["day"])
+    assert pair.read(spark).count() == len(keys)

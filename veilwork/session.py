@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ LOCAL_DEFAULTS = {
 
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 JIT_LIMIT = 8000  # HotSpot never compiles a method with more bytecode than this
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def keep_methods_compiled(spark: SparkSession) -> SparkSession:
@@ -36,6 +39,21 @@ def keep_methods_compiled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let the shuffle files of an action go when it ends, on all executors.
+
+    Else they stay until the driver happens to collect its garbage, so that
+    several passes over a large batch fill the disk with what nobody reads.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def get_session(
     app: str = "veilwork", master: str | None = None, **conf: str
 ) -> SparkSession:

@@ -23,23 +23,38 @@ tasks stay small however few buckets a target was made with.  A batch rewrites
 whole buckets: ``buckets`` should keep them at about a million rows
 (``buckets_for``).  Keys are hashed and every key has one row after the
 reduction, so no bucket is hot.  The driver sees bucket numbers only.
+
+A batch and the buckets it touches meet in one aggregate by key, once to see
+which buckets it changes and once to write them.  Events are reduced before they
+are shuffled, digests in hex travel as bytes and the order columns once.
+Nothing is cached, and shuffle files go when their action ends.  A large batch
+is merged in steps of some buckets each, all of them before the manifest, so
+that a step shuffles about ``ROWS_PER_STEP`` rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffles_dropped
+
 BUCKET, CHANGED, GONE, VERSION = "_bucket", "_changed", "_gone", "_version"
 OWN = (BUCKET, CHANGED, GONE)
 PIECE = "_piece"
+HELD, PARENT = "_held", "_parent"  # marks of rows: from the target, or a key that has children
+DIGEST, APART = "_digest", "_apart"
 ROWS_PER_TASK = 125_000  # several pieces may meet in a task
+ROWS_PER_STEP, MOST_STEPS = 64_000_000, 8  # a step reads the whole batch and shuffles its own buckets
 WHOLE = -1  # manifest row that holds the number of buckets
+CODEC = "zstd"  # of the files: keys are digests in hex
 
 
 def buckets_for(rows: int, rows_per_bucket: int = 1_000_000) -> int:
@@ -108,86 +123,165 @@ class KeyedTarget:
                 return None
             raise
 
-    def bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.key]), F.lit(buckets)).cast("int")
+    def bucket(self, buckets: int, values: Iterable[Column] | None = None) -> Column:
+        values = [F.col(k) for k in self.key] if values is None else values
+        return F.pmod(F.xxhash64(*[v.cast("string") for v in values]), F.lit(buckets)).cast("int")
 
     def merge(
-        self, events: DataFrame, order: Sequence[str], operation: str = "operation", refused: DataFrame | None = None
-    ) -> int:
+        self, events: DataFrame, order: Sequence[str], operation: str = "operation", refused: DataFrame | None = None,
+        parents: DataFrame | None = None,
+    ) -> int:
         """Bring events into the target and return its version, unchanged if they bring nothing new.
 
         ``events`` hold anonymized rows, an operation (``DELETE`` or anything
-        else) and the order columns.  Of events with equal order a delete wins,
-        then a digest of the row decides.  ``refused`` events are no part of
-        them and are kept apart.
+        else) and the order columns; they are read several times.  Of events
+        with equal order a delete wins, then a digest of the row decides.
+        Deletes of ``parents`` (key values, for keys of one column) count as no
+        event.  ``refused`` events are kept apart.
         """
         spark = events.sparkSession
-        now = self.manifest(spark)
-        rest = [c for c in events.columns if c not in (*self.key, operation)]
-        gone = F.col(operation).eqNullSafe("DELETE")
-        marked = events.select(
-            *self.key, *rest, F.struct(*order).alias(CHANGED), gone.alias(GONE), self.bucket(now.buckets).alias(BUCKET)
-        )
-        latest = _last(marked, self.key).persist()
-        try:
-            sizes = dict(latest.groupBy(BUCKET).count().collect())
-            touched = list(sizes)
-            old = {b: v for b, v in now.held.items() if b in set(touched)}
-            news = _news(latest, self._rows(spark, old), self.key) if old else latest
-            sizes = dict(news.groupBy(BUCKET).count().collect()) if old else sizes
-            if sizes or refused is not None and not refused.isEmpty():
-                return self._switch(now, news, sizes, refused)
-            return now.version
-        finally:
-            latest.unpersist()
-
-    def _switch(self, now: Manifest, latest: DataFrame, sizes: Mapping[int, int], refused: DataFrame | None) -> int:
-        """``sizes``: the touched buckets, and the rows that come to each."""
-        spark, version, touched = latest.sparkSession, now.version + 1, list(sizes)
-        old = {b: v for b, v in now.held.items() if b in set(touched)}
-        merged = latest
+        with shuffles_dropped(spark):
+            now = self.manifest(spark)
+            rest = [c for c in events.columns if c not in (*self.key, operation)]
+            gone, bucket = F.col(operation).eqNullSafe("DELETE"), self.bucket(now.buckets).alias(BUCKET)
+            marked = events.select(*self.key, *rest, F.struct(*order).alias(CHANGED), gone.alias(GONE), bucket)
+            marks = None
+            if parents is not None:
+                marks = parents.filter(F.col(self.key[0]).isNotNull()).select(*self.key, F.lit(True).alias(PARENT), bucket)
+            counts = marked.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*self.key)).alias("keys")).collect()
+            old = {r[BUCKET]: now.held[r[BUCKET]] for r in counts if r[BUCKET] in now.held}
+            rows = sum(r["rows"] for r in counts) + (self._rows(spark, old).count() if old else 0)
+            steps = min(now.buckets, MOST_STEPS, buckets_for(rows, ROWS_PER_STEP))
+            changed: list[int] = []
+            for i in range(steps):
+                keys = {r[BUCKET]: r["keys"] for r in counts if r[BUCKET] % steps == i}
+                changed += self._write(now, marked, old, marks, keys, "append" if changed else "overwrite") if keys else []
+            parts, n = [], -(-steps // 2)  # deletes only, and no rows of the target
+            if refused is not None:
+                parts = [refused.filter(self.bucket(now.buckets) % n == i) if n > 1 else refused for i in range(n)]
+            if not changed and all(p.isEmpty() for p in parts):
+                return now.version
+            for i, part in enumerate(parts):
+                path = f"{self.path}/refused/{VERSION}={now.version + 1}"
+                part.write.mode("append" if i else "overwrite").option("compression", CODEC).parquet(path)
+            return self._switch(spark, now, changed)
+
+    def _gathered(self, events: DataFrame, old: Mapping[int, int], marks: DataFrame | None) -> DataFrame:
+        """Events, what the target holds in the buckets they touch, and the keys that have children."""
+        rows = events
         if old:
-            merged = self._rows(spark, old).unionByName(latest, allowMissingColumns=True)
-        if touched:
-            rows = sum(sizes.values()) + (self._rows(spark, old).count() if old else 0)
-            merged = _dealt(merged, self.key, len(touched), buckets_for(rows, len(touched) * ROWS_PER_TASK))
-            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{VERSION}={version}")
-        if refused is not None:
-            refused.write.mode("overwrite").parquet(f"{self.path}/refused/{VERSION}={version}")
-        held = dict(now.held) | {b: version for b in touched}
+            rows = self._rows(events.sparkSession, old).withColumn(HELD, F.lit(True)).unionByName(rows, allowMissingColumns=True)
+        return rows if marks is None else rows.unionByName(marks, allowMissingColumns=True)
+
+    def _changed(self, now: Manifest, rows: DataFrame) -> dict[int, int]:
+        """The buckets that the events change, and how many rows these have then."""
+        winners = _winners(rows, self.key, ())
+        bucket = self.bucket(now.buckets, _unpacked(rows, self.key)).alias(BUCKET)
+        found = winners.groupBy(bucket).agg(F.count(F.lit(1)).alias("rows"), F.max("_new").alias("new")).collect()
+        return {r[BUCKET]: r["rows"] for r in found if r["new"]}
+
+    def _write(
+        self, now: Manifest, events: DataFrame, old: Mapping[int, int], marks: DataFrame | None, keys: Mapping[int, int], mode: str
+    ) -> list[int]:
+        """Write those of some buckets that the events change, and return them; ``keys``: about how many keys come to each."""
+        spark, path = events.sparkSession, f"{self.path}/data/{VERSION}={now.version + 1}"
+
+        def rows(buckets: Iterable[int]) -> DataFrame:
+            here = F.col(BUCKET).isin(list(buckets))
+            return self._gathered(events.filter(here), {b: old[b] for b in buckets if b in old}, None if marks is None else marks.filter(here))
+
+        known = any(b in old for b in keys)
+        sizes = self._changed(now, rows(keys)) if known else keys
+        if not sizes:
+            return []
+        merged = self._dealt(now, rows(sizes), buckets_for(sum(sizes.values()), len(sizes) * ROWS_PER_TASK), len(sizes))
+        merged.write.mode(mode).option("compression", CODEC).partitionBy(BUCKET).parquet(path)
+        if known:
+            return list(sizes)
+        written = spark.read.schema(f"{BUCKET} int").parquet(path).distinct().collect()  # refused deletes leave no row
+        return [r[BUCKET] for r in written if r[BUCKET] in sizes]
+
+    def _switch(self, spark: SparkSession, now: Manifest, changed: Sequence[int]) -> int:
+        version = now.version + 1
+        held = dict(now.held) | {b: version for b in changed}
         rows = [(WHOLE, now.buckets), *sorted(held.items())]
         manifest = spark.createDataFrame(rows, "bucket int, version long").coalesce(1)
         manifest.write.mode("errorifexists").parquet(f"{self.path}/manifest/{VERSION}={version}")
         return version
 
+    def _dealt(self, now: Manifest, rows: DataFrame, pieces: int, buckets: int) -> DataFrame:
+        """The row of the last event per key, dealt by bucket and piece of it (by key)."""
+        plain, values = _plain(rows, self.key), _unpacked(rows, self.key)
+        winners = _winners(rows, self.key, plain)
+        piece = F.pmod(F.hash(F.lit("piece"), *[v.cast("string") for v in values]), F.lit(pieces))
+        packed = [c for c in winners.columns if c != "_new"]
+        dealt = winners.select(*packed, self.bucket(now.buckets, values).alias(BUCKET), piece.alias(PIECE)).repartition(buckets * pieces, BUCKET, PIECE)
+        e, twice = F.col("_e"), _twice(rows, plain)
+        apart = e.getField(APART)
+        whole = [(F.when(apart.isNotNull(), apart.getField(c)).otherwise(e.getField(CHANGED).getField(c)) if c in twice else e.getField(c)).alias(c) for c in plain]
+        return dealt.select(*[v.alias(k) for k, v in zip(self.key, values, strict=True)], *whole, e.getField(CHANGED).alias(CHANGED), e.getField(GONE).alias(GONE), BUCKET)
 
-def _rank(columns: Sequence[str]) -> Column:
-    """What decides between two rows of a key: event order, deletes last, then a digest of the row."""
-    return F.struct(CHANGED, GONE, F.xxhash64(*columns) if columns else F.lit(0).cast("long"))
 
+def _is_text(rows: DataFrame, name: str) -> bool:
+    return rows.schema[name].dataType.simpleString() == "string"  # not one with a collation
 
-def _dealt(rows: DataFrame, key: Sequence[str], buckets: int, pieces: int) -> DataFrame:
-    """The row of the last event per key, dealt by bucket and piece of it (by key) in one shuffle."""
-    piece = F.pmod(F.hash(F.lit("piece"), *[F.col(k).cast("string") for k in key]), F.lit(pieces))
-    cut = rows.withColumn(PIECE, piece).repartition(buckets * pieces, BUCKET, PIECE)
-    return _last(cut, key, PIECE).drop(PIECE)
 
+def _packed(rows: DataFrame, key: Sequence[str]) -> list[Column]:
+    """The key as it is shuffled: text in lower-case hex as its bytes, any other value as it is."""
+    packed = []
+    for k in key:
+        if _is_text(rows, k):
+            raw = F.unhex(k)
+            is_hex = F.lower(F.hex(raw)).eqNullSafe(F.col(k))
+            packed.append(F.when(is_hex, raw).alias(f"_hex_{k}"))
+            packed.append(F.when(~is_hex, F.col(k)).alias(f"_text_{k}"))
+        else:
+            packed.append(F.col(k).alias(f"_text_{k}"))
+    return packed
 
-def _last(rows: DataFrame, key: Sequence[str], *dealt: str) -> DataFrame:
-    """The row of the last event per key; combined map-side, and without a shuffle on rows dealt by bucket (and ``dealt``)."""
-    rest = [c for c in rows.columns if c not in (*key, BUCKET, *dealt)]
-    rank = _rank(sorted(c for c in rest if c not in OWN))
-    last = rows.groupBy(BUCKET, *dealt, *key).agg(F.max_by(F.struct(*rest), rank).alias("_e"))
-    return last.select(*key, "_e.*", BUCKET)
 
+def _unpacked(rows: DataFrame, key: Sequence[str]) -> list[Column]:
+    """The key columns from what ``_packed`` made of them."""
+    return [F.coalesce(F.col(f"_text_{k}"), F.lower(F.hex(f"_hex_{k}"))) if _is_text(rows, k) else F.col(f"_text_{k}") for k in key]
 
-def _news(latest: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The rows that are not older than what the target holds, nor the same."""
-    plain = sorted(c for c in latest.columns if c not in (*key, *OWN))
-    known = plain if set(plain) <= set(old.columns) else []
-    was = old.select(*[F.col(k).alias(f"_o_{k}") for k in key], F.col(CHANGED).alias("_was"), _rank(known).alias("_rank"))
-    same_key = F.lit(True)
-    for k in key:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    stale = (F.col(CHANGED) < F.col("_was")) | F.col("_rank").eqNullSafe(_rank(plain))
-    return latest.join(was, same_key, "left").filter(~F.coalesce(stale, F.lit(False))).select(*latest.columns)
+
+def _plain(rows: DataFrame, key: Sequence[str]) -> list[str]:
+    return [c for c in rows.columns if c not in (*key, *OWN, HELD, PARENT)]
+
+
+def _twice(rows: DataFrame, plain: Iterable[str]) -> list[str]:
+    """Columns that the event order holds as well; they travel once."""
+    order = {f.name: f.dataType for f in rows.schema[CHANGED].dataType}
+    return [c for c in plain if order.get(c) == rows.schema[c].dataType]
+
+
+def _winners(rows: DataFrame, key: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """What decides between the rows of a key: event order, deletes last, then a digest of the row.
+
+    One row per key: its columns packed, the winner ``_e`` with the ``kept``
+    columns, and whether it is an event the target does not hold.
+    """
+    plain = _plain(rows, key)
+    twice = _twice(rows, kept)
+    digest = F.xxhash64(*sorted(plain)) if plain else F.lit(0).cast("long")
+    fields = [F.col(CHANGED), F.col(GONE), digest.alias(DIGEST), *[F.col(c) for c in kept if c not in twice]]
+    if twice:
+        differs = reduce(or_, [~F.col(c).eqNullSafe(F.col(CHANGED).getField(c)) for c in twice])
+        fields.append(F.when(differs, F.struct(*twice)).alias(APART))
+    event, gone = F.struct(*fields), F.col(GONE)
+    held = F.coalesce(F.col(HELD), F.lit(False)) if HELD in rows.columns else F.lit(False)
+    packed = _packed(rows, key)
+    if PARENT not in rows.columns:
+        parts = rows.select(*packed, F.when(held, event).alias("_o"), F.when(~held, event).alias("_n"))
+        aggregates, new = [F.max("_o").alias("_o"), F.max("_n").alias("_n")], F.col("_n")
+    else:  # a delete counts unless its key has children, which is known when all rows of the key have met
+        is_event = ~held & gone.isNotNull()
+        parts = rows.select(
+            *packed, F.when(held, event).alias("_o"), F.when(is_event & ~gone, event).alias("_n"), F.when(is_event & gone, event).alias("_d"), PARENT
+        )
+        aggregates = [F.max(c).alias(c) for c in ("_o", "_n", "_d", PARENT)]
+        new = F.when(F.col(PARENT), F.col("_n")).otherwise(F.greatest("_n", "_d"))
+    names = parts.columns[: len(packed)]
+    found = parts.groupBy(*names).agg(*aggregates).select(*names, "_o", new.alias("_n"))
+    is_new = F.col("_n").isNotNull() & (F.col("_o").isNull() | (F.col("_n") > F.col("_o")))
+    return found.select(*names, F.coalesce(F.when(is_new, F.col("_n")), F.col("_o")).alias("_e"), is_new.alias("_new")).filter("_e is not null")

@@ -130,8 +130,9 @@ def apply_changes(
 def split_deletes(
     latest: DataFrame, key: str, children: DataFrame, child_key: str, operation: str = "operation"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(allowed, refused)``: a delete of a row that still has children is refused."""
+    """``(allowed, refused)``: a delete of a row that still has children is refused; only deletes are looked up."""
     parents = children.filter(F.col(child_key).isNotNull()).select(F.col(child_key).alias("_p")).distinct()
-    flagged = latest.join(parents, F.col(key) == F.col("_p"), "left")
-    refused = (F.col(operation) == "DELETE") & F.col("_p").isNotNull()
-    return flagged.filter(~refused).drop("_p"), flagged.filter(refused).drop("_p")
+    is_delete = F.col(operation).eqNullSafe("DELETE")
+    deletes, met = latest.filter(is_delete), F.col(key) == F.col("_p")
+    allowed = latest.filter(~is_delete).unionByName(deletes.join(parents, met, "left_anti"))
+    return allowed, deletes.join(parents, met, "left_semi")

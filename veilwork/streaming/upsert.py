@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.techniques import ColumnRule, Settings
@@ -25,13 +27,17 @@ def merge_events(
 
     A delete whose key occurs in one of the ``children`` (frame, column) is
     refused: it counts as no event, earlier changes of its row stand, and it is
-    kept in ``target.refused``.
+    kept in ``target.refused``.  A target with one key column tells refused
+    deletes when it reduces the events by key, and needs no join before.
     """
-    refused = None
+    key, allowed, refused, parents = target.key[0], events, None, []
     for frame, column in children:
-        events, turned_down = split_deletes(events, target.key[0], frame, column, operation)
+        allowed, turned_down = split_deletes(allowed, key, frame, column, operation)
         refused = turned_down if refused is None else refused.unionByName(turned_down)
-    return target.merge(events, order, operation, refused)
+        parents.append(frame.select(F.col(column).alias(key)))
+    if not parents or len(target.key) > 1 or any(p.schema[key].dataType != events.schema[key].dataType for p in parents):
+        return target.merge(allowed, order, operation, refused)
+    return target.merge(events, order, operation, refused, reduce(DataFrame.union, parents))
 
 
 def quarantine(target: KeyedTarget, checkpoint: str) -> str:
