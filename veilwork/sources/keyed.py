@@ -35,7 +35,7 @@ that a step shuffles about ``ROWS_PER_STEP`` rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -52,7 +52,7 @@ PIECE = "_piece"
 HELD, PARENT = "_held", "_parent"  # marks of rows: from the target, or a key that has children
 DIGEST, APART = "_digest", "_apart"
 ROWS_PER_TASK = 125_000  # several pieces may meet in a task
-ROWS_PER_STEP, MOST_STEPS = 64_000_000, 8  # a step reads the whole batch and shuffles its own buckets
+ROWS_PER_STEP, MOST_STEPS = 100_000_000, 8  # a step reads the whole batch and shuffles its own buckets
 WHOLE = -1  # manifest row that holds the number of buckets
 CODEC = "zstd"  # of the files: keys are digests in hex
 
@@ -155,14 +155,15 @@ class KeyedTarget:
             changed: list[int] = []
             for i in range(steps):
                 keys = {r[BUCKET]: r["keys"] for r in counts if r[BUCKET] % steps == i}
-                changed += self._write(now, marked, old, marks, keys, "append" if changed else "overwrite") if keys else []
+                part = marked if steps == 1 else marked.filter(F.col(BUCKET) % steps == i)
+                changed += self._write(now, part, old, marks, keys, "append" if changed else "overwrite") if keys else []
             parts, n = [], -(-steps // 2)  # deletes only, and no rows of the target
             if refused is not None:
                 parts = [refused.filter(self.bucket(now.buckets) % n == i) if n > 1 else refused for i in range(n)]
             if not changed and all(p.isEmpty() for p in parts):
                 return now.version
+            path = f"{self.path}/refused/{VERSION}={now.version + 1}"
             for i, part in enumerate(parts):
-                path = f"{self.path}/refused/{VERSION}={now.version + 1}"
                 part.write.mode("append" if i else "overwrite").option("compression", CODEC).parquet(path)
             return self._switch(spark, now, changed)
 
@@ -183,12 +184,14 @@ class KeyedTarget:
     def _write(
         self, now: Manifest, events: DataFrame, old: Mapping[int, int], marks: DataFrame | None, keys: Mapping[int, int], mode: str
     ) -> list[int]:
-        """Write those of some buckets that the events change, and return them; ``keys``: about how many keys come to each."""
+        """Write those of the events' buckets that they change, and return them; ``keys``: about how many keys come to each."""
         spark, path = events.sparkSession, f"{self.path}/data/{VERSION}={now.version + 1}"
 
-        def rows(buckets: Iterable[int]) -> DataFrame:
-            here = F.col(BUCKET).isin(list(buckets))
-            return self._gathered(events.filter(here), {b: old[b] for b in buckets if b in old}, None if marks is None else marks.filter(here))
+        def rows(buckets: Collection[int]) -> DataFrame:
+            few = F.col(BUCKET).isin(list(buckets))
+            came = events if len(buckets) == len(keys) else events.filter(few)
+            near = marks if marks is None or len(buckets) == now.buckets else marks.filter(few)
+            return self._gathered(came, {b: old[b] for b in buckets if b in old}, near)
 
         known = any(b in old for b in keys)
         sizes = self._changed(now, rows(keys)) if known else keys
